@@ -202,7 +202,7 @@ def _runs(value, start, end, top, sure, best, second, number) -> list[tuple]:
     return [(value, k, LANGUAGES[x], float(min(1.0, max(0.0, a / (a + b) if a + b else 0.0))), n, len(runs), number[start + i]) for k, (x, i, a, b, n) in enumerate(runs, 1)]
 
 
-def identify(df: DataFrame, id_col: str, text_col: str, train_rows: int = 20_000, train_chars: int = 10_000) -> DataFrame:
+def identify(df: DataFrame, id_col: str, text_col: str, train_rows: int = 6_000, train_chars: int = 10_000) -> DataFrame:
     """For each text its stretches in one language: id, stretch, lang, confidence (the language's share of
     its and its strongest rival's hits), n_sentences, n_stretches, first_sentence (1-based)."""
     sample = df.filter(F.length(text_col).between(1, train_chars)).select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h").limit(train_rows)
@@ -217,7 +217,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, train_rows: int = 20_000
     return df.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string")).filter(F.col(id_col).isNotNull()).mapInPandas(run, FIT_COLUMNS.format(id=id_col))
 
 
-def mislabelled(df: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int = 20_000) -> DataFrame:
+def mislabelled(df: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int = 6_000) -> DataFrame:
     """The stretches of texts whose label names no language or another than the text's, or with more than one language."""
     found = identify(df, id_col, text_col, train_rows)
     labels = df.select(F.col(id_col).cast("bigint").alias(id_col), language_label(F.col(label_col)).alias("named"))
