@@ -1,4 +1,4 @@
-"""All queries over the core operators, and their SQL."""
+"""All queries over the core operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmere.plans import graphs, retrieval, structure
+
+MODULES = (retrieval, structure, graphs)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
