@@ -14,7 +14,7 @@ EXCLUDED = (".git", ".obsidian", ".smart-env", "PDF")
 
 def notes(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """The markdown notes below a folder: path (relative), text. Folders in `excluded` are left out."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root)
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     base = F.concat(F.regexp_replace(F.lit(root), "^file:/*|/+$", ""), F.lit("/"))
     full = F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", r"\+", "%2B"), "^file:/*", ""))
     at = F.when(full.startswith(F.regexp_replace(base, "^/+", "")), F.substring(full, F.length(F.regexp_replace(base, "^/+", "")) + 1, F.length(full))).otherwise(full)
