@@ -193,6 +193,27 @@ def first_year(text: Column) -> Column:
     return F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1)
 
 
+def text_lines(text: Column) -> Column:
+    """The normalised non-blank lines of a text."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: normalize(x)), lambda x: x != "")
+
+
+def first_title(lines: Column, file: Column) -> Column:
+    """A paper's title: the first of its first eight lines of three words or more and at most 160 characters that is no
+    heading by its form, else the file's name."""
+    fits = F.filter(F.slice(lines, 1, 8), lambda x: heading_level(x).isNull() & (F.length(x) <= 160) & (F.size(F.split(x, " ")) >= 3))
+    return F.coalesce(F.try_element_at(fits, F.lit(1)), file)
+
+
+def first_authors(lines: Column, title: Column) -> Column:
+    """A paper's authors: the first of the three lines after its title that lists names and has no digit."""
+    at = F.array_position(lines, title).cast("int")
+    after = F.when(at > 0, F.slice(lines, at + 1, 3)).otherwise(F.slice(lines, 1, 3))
+    names = F.filter(after, lambda x: (F.contains(x, F.lit(",")) | F.contains(x, F.lit(" and "))) & ~x.rlike(r"\d"))
+    parts = F.split(F.regexp_replace(F.try_element_at(names, F.lit(1)), " and ", ","), ",")
+    return F.coalesce(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), F.array().cast("array<string>"))
+
+
 def route(query: Column) -> Column:
     """The mode that `auto` takes for a query: fts, hybrid-graph or hybrid."""
     q = F.trim(query)

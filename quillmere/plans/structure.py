@@ -52,6 +52,13 @@ def page_years(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "indexing_pages").select("page_id", X.first_year(F.col("text")).alias("year"))
 
 
+def paper_heads(spark: SparkSession, base: str) -> DataFrame:
+    """Title and authors as the first pages give them."""
+    pages = table(spark, base, "indexing_pages").filter("page = 1").select("page_id", "source_file", X.text_lines(F.col("text")).alias("lines"))
+    title = X.first_title(F.col("lines"), F.col("source_file"))
+    return pages.withColumn("title", title).select("page_id", "title", F.array_join(X.first_authors(F.col("lines"), F.col("title")), "|").alias("authors"))
+
+
 def page_blocks(spark: SparkSession, base: str) -> DataFrame:
     return structure.page_blocks(table(spark, base, "indexing_pages")).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
@@ -105,7 +112,7 @@ def event_sessions(spark: SparkSession, base: str) -> DataFrame:
     return reindex.sessions(table(spark, base, "events"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_snippet, chunk_ids, chunk_stats, kind_counts, index_projection, repeated_lines, trimmed_pages, heading_lines, page_years, page_blocks, section_rows, packed_chunks, recursive_split, note_validation, note_fields, notes_filter_list, url_candidates, events_by_hour, event_sessions)}
+QUERIES = {f.__name__: f for f in (normalize_snippet, chunk_ids, chunk_stats, kind_counts, index_projection, repeated_lines, trimmed_pages, heading_lines, page_years, paper_heads, page_blocks, section_rows, packed_chunks, recursive_split, note_validation, note_fields, notes_filter_list, url_candidates, events_by_hour, event_sessions)}
 
 #: White space as Spark's engine knows it, for DuckDB's.
 _S = r"[\s\x0b\x{85}\p{Z}]"
@@ -145,6 +152,13 @@ WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, unnest(r
  h AS (SELECT page_id, line_no, line, length(regexp_extract(line, '^(#{1,6})\s+\S', 1)) AS hashes, regexp_extract(line, '^(\d+(?:\.\d+)*)\.?\s+\p{L}', 1) AS num FROM l)
 SELECT page_id, line_no, level, caption FROM (SELECT page_id, line_no, CASE WHEN hashes > 0 THEN hashes WHEN num <> '' AND length(line) <= 120 THEN length(num) - length(replace(num, '.', '')) + 1
   WHEN lower(trim(line)) IN ('references', 'bibliography', 'works cited', 'literature cited', 'abstract') THEN 1 END AS level, regexp_matches(line, '(?i)^\s*(figure|fig\.)\s*\d+') AS caption FROM h) WHERE level IS NOT NULL OR caption""",
+    "paper_heads": rf"""
+WITH p AS (SELECT page_id, source_file, {_LINES} AS ls FROM indexing_pages WHERE page = 1),
+ t AS (SELECT *, coalesce(list_filter(ls[1:8], lambda x: NOT (regexp_matches(x, '^#{{1,6}}\s+\S') OR regexp_matches(x, '^\d+(?:\.\d+)*\.?\s+\p{{L}}') AND length(x) <= 120 OR lower(trim(x)) IN ('references', 'bibliography', 'works cited', 'literature cited', 'abstract'))
+   AND length(x) <= 160 AND len(string_split(x, ' ')) >= 3)[1], source_file) AS title FROM p),
+ a AS (SELECT *, coalesce(list_position(ls, title), 0) AS pos FROM t),
+ n AS (SELECT page_id, title, list_filter(ls[pos + 1:pos + 3], lambda x: (contains(x, ',') OR contains(x, ' and ')) AND NOT regexp_matches(x, '\d'))[1] AS l FROM a)
+SELECT page_id, title, coalesce(array_to_string(list_filter(list_transform(string_split(replace(l, ' and ', ','), ','), lambda x: trim(x)), lambda x: x <> ''), '|'), '') AS authors FROM n""",
     "page_years": r"SELECT page_id, regexp_extract(text, '\b((?:19|20)\d{2})\b', 1) AS year FROM indexing_pages",
     "note_fields": r"""
 WITH d AS (SELECT *, CASE WHEN starts_with(text, '---' || chr(10)) AND strpos(text, chr(10) || '---' || chr(10)) > 0 THEN substr(text, 5, greatest(0, strpos(text, chr(10) || '---' || chr(10)) - 4)) ELSE '' END AS fm,
