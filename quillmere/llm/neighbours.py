@@ -100,9 +100,9 @@ def _masks(bits: int, flips: int) -> list[int]:
     return [sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(bits), n)]
 
 
-def _pairs(buckets: np.ndarray, bits: int, flips: int, low: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(buckets: np.ndarray, bits: int, flips: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows (positions) whose buckets differ in at most `flips` bits, each pair once. `own` marks rows
-    that belong to this part; the others are here as probes only. `low` bits tell the buckets of one part apart."""
+    that belong to this part; the others are here as probes only."""
     order = np.argsort(buckets, kind="stable")
     named, first, count = np.unique(buckets[order], return_index=True, return_counts=True)
     for mask in _masks(bits, flips):
@@ -149,7 +149,7 @@ def nearest_in_part(ids, codes, raw, own, which: int, dim: int, bits: int, flips
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         best, fresh, held = [v[rank < k] for v in (a, b, s)], [], 0
 
-    for i, j in _pairs(rep_codes[:, which], bits, flips, 0, rep_own):
+    for i, j in _pairs(rep_codes[:, which], bits, flips, rep_own):
         apart = np.bitwise_count(rep_codes[i] ^ rep_codes[j])
         ok = apart.sum(1) <= radius
         if which:
