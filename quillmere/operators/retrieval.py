@@ -63,8 +63,9 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return tokens.select(id_col, F.explode("tokens").alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf")), tokens.select(id_col, F.size("tokens").alias("dl"))
 
 
-def bm25_batch(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, query_id: str, query_text: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 for many queries: query_id, id, score, rank. Only postings of the queries' terms are counted."""
+def bm25_batch(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, query_id: str, query_text: str, k: int, k1: float = K1, b: float = B, most_broadcast: int = 1_000_000) -> DataFrame:
+    """BM25 for many queries: query_id, id, score, rank. Only postings of the queries' terms are counted. Up to
+    `most_broadcast` of those terms go to the documents; more are joined by shuffles."""
     asked = queries.select(query_id, F.explode(F.array_distinct(X.words(F.col(query_text)))).alias("term"))
     tokens = docs.filter(F.col(text_col).isNotNull()).select(id_col, X.words(F.col(text_col)).alias("tokens"))
     sized = tokens.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
@@ -73,7 +74,10 @@ def bm25_batch(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame,
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     weighed = post.join(df, "term").join(F.broadcast(stats))  # stats is one row
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(weighed.select("term", id_col, part.alias("part")), "term").groupBy(query_id, id_col).agg(F.round(F.sum("part"), 9).alias("score"))
+    # whole documents lie together, so that sums and the first k of a partition come before any shuffle of query times document
+    placed = weighed.select("term", id_col, part.alias("part")).repartition(id_col)
+    sent = F.broadcast(asked) if asked.limit(most_broadcast + 1).count() <= most_broadcast else asked
+    scored = placed.join(sent, "term").groupBy(query_id, id_col).agg(F.round(F.sum("part"), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
