@@ -6,7 +6,8 @@ item leaked into which document, how much of it, and where; documents can then b
 
 Normalising: entities resolved, footnote marks, soft hyphens and zero-width characters removed, words broken at
 line ends joined, case, Latin accents and full-width forms folded; separators inside numbers are dropped, and all
-that is no letter or digit parts words. Lines that `shared_lines` or more items have (instructions) don't count.
+that is no letter or digit parts words. An item's leading line does not count if it is an instruction: one that stands
+before `shared_lines` or more different lines which are longer than it. Copies and items on one passage keep theirs.
 
 Verifying: an item's words count as held where runs of three words match along one diagonal near n-gram hits;
 up to two changed words between held ones are held too. A sentence of the item counts only if three quarters of
@@ -14,6 +15,9 @@ the held stretch and half of its own numbers, codes and rare words match, so tha
 other content don't. Documents with fewer hits than `hit_share` of an item's words are not verified: those that hold
 a third of an item have over twice as many even where every tenth word was changed. A leak holds at least `least` of the item's words.
 
+Equal items are looked for once and reported under each of their ids; n-grams that many items have keep all of them,
+in lists that n-grams of one passage share.
+
 Items are few beside documents; they are sent to the workers `slice_items` at a time, in a pass for each slice.
 
 Defined results: null or empty texts hold nothing; texts of any length are scanned whole; repeated documents are
@@ -26,7 +30,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -120,25 +124,38 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]], shared: set[str], n: int = 6, most_items: int = 3):
         kept = [(i, _own_lines(t, shared)) for i, t in rows if i is not None and t]
         self.n, self.ids, self.words, self.sentence, self.rare = n, [], [], [], []
-        per_item = []
+        known: dict[tuple[bytes, ...], int] = {}
+        first: dict[bytes, int] = {}
+        within: dict[int, set[int]] = defaultdict(set)
         for i, text in kept:
             parts = [words([s])[0] for s in sentences(text.replace("\n", " "))]
             parts = [p for p in parts if len(p)]
-            if parts:
-                self.ids.append(i)
-                self.words.append(np.concatenate(parts))
-                self.sentence.append(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-                per_item.append(set(self.words[-1].tolist()))
-        seen = Counter(x for s in per_item for x in s)
+            if not parts:
+                continue
+            if (k := known.setdefault(tuple(p.tobytes() for p in parts), len(self.ids))) < len(self.ids):
+                self.ids[k].append(i)
+                continue
+            self.ids.append([i])
+            self.words.append(np.concatenate(parts))
+            self.sentence.append(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+            for p in parts:
+                # a sentence that several items share counts as one item's
+                at = first.setdefault(p.tobytes(), k)
+                for x in p.tolist():
+                    within[x].add(at)
+        seen = {x: len(at) for x, at in within.items()}
         most_common = max(most_items, len(self.ids) // 100)
         self.rare = [np.array([seen[x] <= most_common for x in w.tolist()]) for w in self.words]
         pairs = [(h, k) for k, w in enumerate(self.words) for h in np.unique(grams(w, min(n, len(w)))).tolist()]
-        use = Counter(h for h, _ in pairs)
-        pairs = sorted((h, k) for h, k in pairs if use[h] <= most_items)
-        self.hashes = np.array([h for h, _ in pairs], np.uint64)
-        self.owners = np.array([k for _, k in pairs], np.int64)
-        self.unique, self.first = np.unique(self.hashes, return_index=True)
-        self.sizes = np.diff(np.append(self.first, len(self.hashes)))
+        owners: dict[int, list[int]] = defaultdict(list)
+        for h, k in pairs:
+            owners[h].append(k)
+        lists: dict[tuple[int, ...], int] = {}
+        self.unique = np.array(sorted(owners), np.uint64)
+        self.list_of = np.array([lists.setdefault(tuple(owners[h]), len(lists)) for h in self.unique.tolist()], np.int64)
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.owners = np.array([k for x in lists for k in x], np.int64)
         self.lengths = sorted({min(n, len(w)) for w in self.words})
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[(self.unique & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -152,7 +169,12 @@ class Items:
 
 
 def _own_lines(text: str, shared: set[str]) -> str:
-    return "\n".join(x for x in text.split("\n") if " ".join(x.split()).lower() not in shared)
+    lines = [x for x in text.split("\n") if x.strip()]
+    return "\n".join(lines[1:] if len(lines) > 1 and _plain(lines[0]) in shared else lines)
+
+
+def _plain(line: str) -> str:
+    return " ".join(line.split()).lower()
 
 
 def held(item: np.ndarray, sentence: np.ndarray, rare: np.ndarray, doc: np.ndarray, n: int, dense: float = 0.75) -> tuple[float, int, int]:
@@ -213,13 +235,17 @@ def scan(items: Items, ids: list[int], texts: list[str], least: float, hit_share
         at, to = items.hits(h)
         ok = owner[at] == owner[at + n - 1]
         at, to = at[ok], to[ok]
-        reps = items.sizes[to]
-        nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        seen.append(np.stack([np.repeat(owner[at], reps), items.owners[np.repeat(items.first[to], reps) + nth], np.repeat(to, reps)], 1))
+        seen.append(np.stack([owner[at], items.list_of[to], to], 1))
     found = np.unique(np.concatenate(seen), axis=0)
     if not len(found):
         return out
-    pairs, count = np.unique(found[:, :2], axis=0, return_counts=True)
+    # different n-grams of a document by list of owners, then by owner
+    of, many = np.unique(found[:, :2], axis=0, return_counts=True)
+    reps = items.sizes[of[:, 1]]
+    nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    each = np.stack([np.repeat(of[:, 0], reps), items.owners[np.repeat(items.first[of[:, 1]], reps) + nth]], 1)
+    pairs, place = np.unique(each, axis=0, return_inverse=True)
+    count = np.bincount(place.ravel(), np.repeat(many, reps)).astype(np.int64)
     begin = np.searchsorted(owner, np.arange(len(texts) + 1))
     for (d, k), c in zip(pairs.tolist(), count.tolist(), strict=True):
         item = items.words[k]
@@ -228,7 +254,7 @@ def scan(items: Items, ids: list[int], texts: list[str], least: float, hit_share
         share, a, b = held(item, items.sentence[k], items.rare[k], w[begin[d] : begin[d + 1]], items.n)
         if share >= least:
             start, end = _span(texts[d], w[begin[d] : begin[d + 1]][a : b + 1])
-            out.append((items.ids[k], ids[d], share, start, end))
+            out += [(i, ids[d], share, start, end) for i in items.ids[k]]
     return out
 
 
@@ -248,10 +274,22 @@ def _span(text: str, stretch: np.ndarray) -> tuple[int, int]:
     return places[int(found[:, 1].min())][0], places[min(len(places) - 1, int(found[:, 1].max()) + 2)][1]
 
 
+def instructions(items: DataFrame, item_text: str, shared_lines: int) -> set[str]:
+    """Leading lines that `shared_lines` or more different and longer lines follow, as `_plain` writes them. A passage is
+    none: copies have one line after it, and questions on it are shorter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [[_plain(x) for x in t.split("\n") if x.strip()][:2] for t in batch["t"]]
+            yield pd.DataFrame([x for x in texts if len(x) == 2 and x[0].count(" ") < x[1].count(" ")], columns=["x", "y"])
+
+    heads = items.select(F.col(item_text).cast("string").alias("t")).filter(F.length("t") > 0).mapInPandas(run, "x string, y string")
+    return {r.x for r in heads.groupBy("x").agg(F.count_distinct("y").alias("n")).filter(F.col("n") >= shared_lines).select("x").collect()}
+
+
 def leaks(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", least: float = 1 / 3, n: int = 6, shared_lines: int = 3, slice_items: int = 50_000) -> DataFrame:
     """The test items found in documents: item_id, doc_id, held (share of the item's words), span_start, span_end."""
-    lines = items.select(F.explode(F.split(item_text, "\n")).alias("x")).select(F.lower(F.regexp_replace(F.trim("x"), r"\s+", " ")).alias("x")).filter(F.col("x") != "")
-    shared = {r.x for r in lines.groupBy("x").count().filter(F.col("count") >= shared_lines).select("x").collect()}
+    shared = instructions(items, item_text, shared_lines)
     pool = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).filter(F.length("t") > 0)
     passes = max(1, -(-pool.count() // slice_items))
     read = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).cast("string").alias("t")).filter(F.length("t") > 0)
