@@ -12,7 +12,8 @@ Notes are mirrored if their file names begin with the same number. The side of a
 rows may lie in the other branch's folder. A row without path takes that of the rows with its title and time of change.
 
 Equal sentences of a side of a note are compared once. Notes with more than `block_rows` rows a side are compared in
-blocks, and their best candidates are put together afterwards; so no task holds a note of any size whole. The
+blocks, and their best candidates are put together afterwards; so no task holds a note of any size whole. Blocks are
+stretches of neighbouring sentences with one more at either end, so that each window stands whole in a block. The
 decomposition is fitted on at most `train_notes` notes, those with the smallest hashes.
 
 Defined results: null and empty texts and texts of one line have no sentences; rows without number, path or twin have
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import FOLD, sentences
+from quillmere.llm.splitting import numbered
 from quillmere.session import cut, table
 
 _CODE = re.compile(r"\b[A-Z]{2,3}-\d+\b")
@@ -185,8 +187,9 @@ def scores(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def candidates(space: Space, a: list[tuple], b: list[tuple], keep: int = 4) -> list[tuple]:
-    """The best candidates of each sentence (row, sent, h, text) of either side: ha, hb, score, inside, shared. Where a
-    window of two neighbouring sentences fits better than either of them alone, the pair takes the window's score."""
+    """The best candidates of each sentence (row, sent, h, text, core) of either side: ha, hb, score, inside, shared. Where
+    a window of two neighbouring sentences fits better than either of them alone, the pair takes the window's score.
+    Sentences that are not core only take part in windows. Ties go by h, not by place, so that blocks agree."""
     one, other = sides(space, [x[3] for x in a], [x[3] for x in b])
     s, inside, shared = scores(one, other)
     best = s.copy()
@@ -200,8 +203,11 @@ def candidates(space: Space, a: list[tuple], b: list[tuple], keep: int = 4) -> l
             for x in (i, j):
                 fits = (m[k] > single[[i, j]].max(0) + 0.02) & ((inside.T if flip else inside)[x] >= 0.6) & ((shared.T if flip else shared)[x] >= 1)
                 view[x] = np.where(fits, np.maximum(view[x], m[k]), view[x])
-    top = [np.argsort(-best, axis=1, kind="stable")[:, :keep], np.argsort(-best, axis=0, kind="stable")[:keep].T]
-    out = {(i, int(j)) for i, js in enumerate(top[0]) for j in js} | {(int(i), j) for j, is_ in enumerate(top[1]) for i in is_}
+    ka, kb = (np.array(sorted((k for k, x in enumerate(rows) if x[4]), key=lambda k: rows[k][2]), np.int64) for rows in (a, b))
+    best = np.round(best, 5)
+    core = best[np.ix_(ka, kb)]
+    top = [np.argsort(-core, axis=1, kind="stable")[:, :keep], np.argsort(-core, axis=0, kind="stable")[:keep].T]
+    out = {(int(ka[i]), int(kb[j])) for i, js in enumerate(top[0]) for j in js} | {(int(ka[i]), int(kb[j])) for j, is_ in enumerate(top[1]) for i in is_}
     return [(a[i][2], b[j][2], float(best[i, j]), float(inside[i, j]), float(shared[i, j])) for i, j in sorted(out)]
 
 
@@ -249,13 +255,22 @@ def align(notes: DataFrame, train_notes: int = 3000, block_rows: int = 1500, lea
     for r in units.join(F.broadcast(chosen), "key").select("key", "side", "text", "row", "sent").orderBy("key", "side", "row", "sent").toPandas().itertuples():
         lists[r.key][r.side].append(r.text)
     space = notes.sparkSession.sparkContext.broadcast(fit([lists[k] for k in sorted(lists)]))
-    own = F.pmod("h", F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1"))).cast("int")
+    single = F.array(F.struct(F.lit(0).alias("own"), F.lit(True).alias("core")))
+    small = units.filter("parts0 = 1 AND parts1 = 1").withColumn("in", single)
+    large = numbered(units.filter("parts0 > 1 OR parts1 > 1"), ["key", "side"], ["row", "sent"], [F.floor(F.col("row") / 1000)], "at")
+    block, parts = F.floor(F.col("at") / block_rows).cast("int"), F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1"))
+    place = lambda x, core: F.struct(x.alias("own"), F.lit(core).alias("core"))
+    before = F.when((F.col("at") % block_rows == 0) & (block > 0), place(block - 1, False))
+    after = F.when((F.col("at") % block_rows == block_rows - 1) & (block + 1 < parts), place(block + 1, False))
+    large = large.withColumn("in", F.array_compact(F.array(place(block, True), before, after)))
     others = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1)
-    spread = units.withColumn("own", own).withColumn("other", F.explode(others)).select("key", "side", "h", "row", "sent", "text", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("part0"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("part1"))
+    wide = small.unionByName(large.select(*small.columns)).withColumn("in", F.explode("in")).withColumn("other", F.explode(others))
+    own, other = F.col("in.own"), F.col("other")
+    spread = wide.select("key", "side", "h", "row", "sent", "text", F.col("in.core").alias("core"), F.when(F.col("side") == 0, own).otherwise(other).alias("part0"), F.when(F.col("side") == 0, other).otherwise(own).alias("part1"))
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
         names = ["key", "ha", "hb", "score", "inside", "shared"]
-        rows = sorted(zip(group["side"].tolist(), group["row"].tolist(), group["sent"].tolist(), group["h"].tolist(), group["text"].tolist(), strict=True))
+        rows = sorted(zip(group["side"].tolist(), group["row"].tolist(), group["sent"].tolist(), group["h"].tolist(), group["text"].tolist(), group["core"].tolist(), strict=True))
         a, b = ([x[1:] for x in rows if x[0] == side] for side in (0, 1))
         found = candidates(space.value, a, b, keep) if a and b else []
         return pd.DataFrame([(group["key"].iat[0], *x) for x in found], columns=names)

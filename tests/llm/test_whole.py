@@ -1,6 +1,9 @@
 """The operators do the whole job: copies, shared passages, large groups."""
 
-from quillmere.llm import leaks
+import pytest
+from pyspark.sql import functions as F
+
+from quillmere.llm import alignment, leaks
 
 PASSAGE = "The polymer chain in run NB-3515 reached 27 units after 113 hours. If the acid titration fails, the precipitate can be rebuilt from archive LX-7395 in 174 hours. Readers of Lumrith should compare the superfluid film with version DX-5198."
 COPY = "Ulvmuquin keeps two copies of the shipping cost in vault TX-2831. The log lists 529 failures of the currency reserve in building two."
@@ -26,3 +29,17 @@ def test_copies_and_shared_passages_leak_under_every_id(spark):
 def test_a_line_repeated_in_one_item_stays(spark):
     line = "Any change to the parser module must wait until Mirtkoth signs form LT-3362 at noon."
     assert _leaks(spark, [(1, f"{line}\n{line}\n{line}\nWhy?")], [(1, f"So. {line} {line} {line} End."), (2, "Else.")]) == {(1, 1)}
+
+
+@pytest.mark.parametrize("block_rows", [7, 8, 1500])
+def test_windows_reach_over_blocks(spark, monkeypatch, block_rows):
+    """A sentence that two say in the other language pairs with both, in one block or in many."""
+    monkeypatch.setattr(alignment, "fit", lambda *a, **k: alignment.Space({}, frozenset(), 96))
+    rows = []
+    for r in range(3):
+        ks = range(10 * r, 10 * r + 10)
+        rows.append((r + 1, "Title\n" + " ".join(f"Form AB-{k} goes with CD-{k}." for k in ks), "EN/1. M/1.1. Note.md", "n", "EN"))
+        rows.append((r + 4, "Заголовок\n" + " ".join(f"Акт AB-{k} є тут. Акт CD-{k} є там." for k in ks), "UA/1. М/1.1. Нотатка.md", "н", "UA"))
+    df = spark.createDataFrame(rows, "note_row bigint, text string, source_path string, title string, language_branch string").withColumn("modified_at", F.lit("2025-01-01").cast("timestamp"))
+    got = {(x.row_a, x.sent_a, x.row_b, x.sent_b) for x in alignment.align(df, block_rows=block_rows).collect()}
+    assert got == {(r + 1, k + 1, r + 4, 2 * k + half) for r in range(3) for k in range(10) for half in (1, 2)}
