@@ -14,7 +14,7 @@ rows may lie in the other branch's folder. A row without path takes that of the
 Equal sentences of a side of a note are compared once. Notes with more than `block_rows` rows a side are compared in
 blocks, and their best candidates are put together afterwards; so no task holds a note of any size whole. Blocks are
 stretches of neighbouring sentences with one more at either end, so that each window stands whole in a block. The
-decomposition is fitted on at most `train_notes` notes, those with the smallest hashes.
+decomposition is fitted on all mirrored notes and all terms that their paired sentences have three times or more.
 
 Defined results: null and empty texts and texts of one line have no sentences; rows without number, path or twin have
 no pairs; repeated rows pair each; an empty table gives an empty result.
@@ -23,8 +23,8 @@ no pairs; repeated rows pair each; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,57 +93,113 @@ class Space:
         return v
 
 
-def fit(notes: list[tuple[list[str], list[str]]], dim: int = 96, least: int = 3, most_terms: int = 6000) -> Space:
-    """Learn a space from the sentences of the two sides of some mirrored notes."""
-    lower, seen = Counter(), Counter()
-    for sides in notes:
-        for s in (*sides[0], *sides[1]):
-            words = [w for w in _WORD.findall(s)]
-            lower.update({w.lower() for w in words[1:] if w[0].islower()})
-            seen.update({w.lower() for w in words})
-    common = frozenset(w for w, n in lower.items() if n >= 3)
-    pairs: list[tuple[set[str], set[str]]] = []
-    for sides in notes:
-        by = []
-        for side in sides:
-            where = defaultdict(list)
-            for k, s in enumerate(side):
-                for m in analysed(s, common)[1]:
-                    where[m].append(k)
-            by.append({m: ks[0] for m, ks in where.items() if len(ks) == 1 and (len(m) > 2)})
-        votes = Counter((by[0][m], by[1][m]) for m in by[0].keys() & by[1].keys())
-        for (i, j), n in votes.items():
-            if n >= 2 or n == 1 and len(notes) < 50:
-                pairs.append(tuple({t for t in analysed(sides[k][x], common)[0] if t in common or len(notes) < 50} for k, x in enumerate((i, j))))
-    df = [Counter(t for p in pairs for t in p[k]) for k in (0, 1)]
-    terms = [[t for t, n in c.most_common(most_terms) if n >= least] for c in df]
-    at = [{t: k for k, t in enumerate(ts)} for ts in terms]
-    if not terms[0] or not terms[1]:
+def _per_batch(count: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from count(batch)
+
+    return run
+
+
+def _lower_words(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    lower: Counter = Counter()
+    for s in batch["text"]:
+        lower.update({w.lower() for w in _WORD.findall(s)[1:] if w[0].islower()})
+    yield pd.DataFrame(list(lower.items()), columns=["w", "n"])
+
+
+def _together(batch: pd.DataFrame, width: int = 1 << 31, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """How often terms (numbers from 1) stand together in pairs of sentences; 0 stands for any."""
+    held, size = [], 0
+
+    def counted() -> pd.DataFrame:
+        both, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"i": both // width, "j": both % width, "n": n})
+
+    for ta, tb in zip(batch["ta"], batch["tb"], strict=True):
+        x, y = (np.append(0, np.asarray(t, np.int64)) for t in (ta, tb))
+        step = max(1, most // len(y))
+        for at in range(0, len(x), step):
+            held.append((x[at : at + step, None] * width + y).ravel())
+            if (size := size + len(held[-1])) >= most:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
+
+
+def fit(units: DataFrame, dim: int = 96, least: int = 3, votes: int = 2) -> Space:
+    """Learn a space from all mirrored notes' sentences (key, side, h, text). Sentences that share `votes` marks, each
+    unique on either side of their note, count as paired; counts of terms are taken on the workers, and only the
+    matrix of terms, which grows with the vocabulary, comes to the driver."""
+    lower = units.select("text").mapInPandas(_per_batch(_lower_words), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter("n >= 3")
+    names = sorted(r.w for r in lower.select("w").collect())
+    common = frozenset(names)
+    number = units.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(names, 1)})
+
+    def parsed(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        known = number.value
+        both = [analysed(s, known.keys()) for s in batch["text"]]
+        batch = batch[["key", "side", "h"]].copy()
+        batch["marks"] = [[m for m in marks if len(m) > 2] for _, marks in both]
+        batch["terms"] = [sorted({known[t] for t in terms if t in known}) for terms, _ in both]
+        yield batch
+
+    rows = cut(units.select("key", "side", "h", "text").mapInPandas(_per_batch(parsed), "key string, side int, h bigint, marks array<string>, terms array<int>"))
+    unique = rows.select("key", "side", "h", F.explode("marks").alias("m")).select("key", "side", "h", F.xxhash64("m").alias("m")).groupBy("key", "m", "side").agg(F.count("*").alias("n"), F.min("h").alias("h")).filter("n = 1")
+    one, other = (unique.filter(F.col("side") == k).select("key", "m", F.col("h").alias(name)) for k, name in enumerate(("ha", "hb")))
+    anchored = one.join(other, ["key", "m"]).groupBy("key", "ha", "hb").count().filter(F.col("count") >= votes)
+    sided = [rows.filter(F.col("side") == k).select("key", F.col("h").alias(h), F.col("terms").alias(t)) for k, (h, t) in enumerate((("ha", "ta"), ("hb", "tb")))]
+    found = anchored.join(sided[0], ["key", "ha"]).join(sided[1], ["key", "hb"]).select("ta", "tb")
+    table = found.mapInPandas(_per_batch(_together), "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas().sort_values(["i", "j"])
+    i, j, n = (table[c].to_numpy(np.int64) for c in ("i", "j", "n"))
+    return _decomposed(i, j, n, names, common, dim, least)
+
+
+def _decomposed(i: np.ndarray, j: np.ndarray, n: np.ndarray, names: list[str], common: frozenset[str], dim: int, least: int) -> Space:
+    """The space of the counts n of terms i and j (numbers from 1) together; counts with 0 are the terms' own."""
+    total = int(n[(i == 0) & (j == 0)].sum())
+    own = [np.zeros(len(names) + 1, np.float32) for _ in (0, 1)]
+    own[0][i[j == 0]], own[1][j[i == 0]] = n[j == 0], n[i == 0]
+    own[0][0] = own[1][0] = 0
+    terms = [np.flatnonzero(c >= least) for c in own]
+    if not len(terms[0]) or not len(terms[1]):
         return Space({}, common, dim)
-    both = np.zeros((len(terms[0]), len(terms[1])), np.float32)
-    for a, b in pairs:
-        i, j = [at[0][t] for t in a if t in at[0]], [at[1][t] for t in b if t in at[1]]
-        if i and j:
-            both[np.ix_(i, j)] += 1
-    n = [np.array([df[k][t] for t in terms[k]], np.float32) for k in (0, 1)]
-    with np.errstate(divide="ignore"):
-        both = np.maximum(0, np.log(both * len(pairs) / np.outer(*n))).astype(np.float32)
-    rank = min(dim, *both.shape)
+    df = [c[t] for c, t in zip(own, terms, strict=True)]
+    keep = (own[0][i] >= least) & (own[1][j] >= least)
+    i, j, n = np.searchsorted(terms[0], i[keep]), np.searchsorted(terms[1], j[keep]), n[keep]
+    value = np.log(n * total / (df[0][i].astype(np.float64) * df[1][j])).astype(np.float32)
+    i, j, value = i[value > 0], j[value > 0], value[value > 0]
+    shape = (len(terms[0]), len(terms[1]))
+    order = np.lexsort((i, j))
+    down = lambda q: _times(i, j, value, shape[0], q)
+    up = lambda q: _times(j[order], i[order], value[order], shape[1], q)
+    rank = min(dim, *shape)
     rng = np.random.default_rng(3)
-    q = np.linalg.qr(both @ rng.standard_normal((both.shape[1], min(rank + 16, *both.shape))).astype(np.float32))[0]
+    q = np.linalg.qr(down(rng.standard_normal((shape[1], min(rank + 16, *shape))).astype(np.float32)))[0]
     for _ in range(3):
-        q = np.linalg.qr(both @ (both.T @ q))[0]
-    u, s, vt = np.linalg.svd(q.T @ both, full_matrices=False)
+        q = np.linalg.qr(down(up(q)))[0]
+    u, s, vt = np.linalg.svd(up(q).T, full_matrices=False)
     sides = ((q @ u)[:, :rank] * np.sqrt(s[:rank]), vt[:rank].T * np.sqrt(s[:rank]))
     vectors = {}
     for k, side in enumerate(sides):
         norm = np.maximum(np.linalg.norm(side, axis=1), 1e-6)
-        weight = np.log(1 + len(pairs) / n[k])
-        for t, x in zip(terms[k], (side / norm[:, None] * weight[:, None]).astype(np.float32), strict=True):
-            vectors[t] = np.pad(x, (0, dim - rank))
+        weight = np.log(1 + total / df[k])
+        for t, x in zip(terms[k].tolist(), (side / norm[:, None] * weight[:, None]).astype(np.float32), strict=True):
+            vectors[names[t - 1]] = np.pad(x, (0, dim - rank))
     return Space(vectors, common, dim)
 
 
+def _times(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_rows: int, q: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """A sparse matrix, its entries in order of rows, times a dense one."""
+    out = np.zeros((n_rows, q.shape[1]), np.float32)
+    for at in range(0, len(rows), step):
+        r = rows[at : at + step]
+        starts = np.flatnonzero(np.diff(r, prepend=-1))
+        out[r[starts]] += np.add.reduceat(values[at : at + step, None] * q[cols[at : at + step]], starts)
+    return out
+
+
 class Side:
     """One side's sentences as arrays: vectors, and the weights of the marks that either side has."""
 
@@ -243,18 +299,14 @@ def sentence_rows(notes: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("text"))
 
 
-def align(notes: DataFrame, train_notes: int = 3000, block_rows: int = 1500, least: float = 0.42, keep: int = 4) -> DataFrame:
+def align(notes: DataFrame, block_rows: int = 1500, least: float = 0.42, keep: int = 4) -> DataFrame:
     """Pairs of sentences that say the same: row_a, sent_a, row_b, sent_b (row_a < row_b), score."""
     all_rows = cut(sentence_rows(notes))
     counts = all_rows.groupBy("key").agg(F.count_distinct(F.when(F.col("side") == 0, F.col("h"))).alias("n0"), F.count_distinct(F.when(F.col("side") == 1, F.col("h"))).alias("n1")).filter("n0 > 0 AND n1 > 0")
     sized = counts.select("key", F.ceil(F.col("n0") / block_rows).cast("int").alias("parts0"), F.ceil(F.col("n1") / block_rows).cast("int").alias("parts1"))
     # one copy of a sentence that a side of a note has several times, the earliest
-    units = all_rows.groupBy("key", "side", "h").agg(F.min_by(F.struct("row", "sent", "text"), F.struct("row", "sent")).alias("u")).select("key", "side", "h", "u.*").join(sized, "key")
-    chosen = sized.filter("parts0 = 1 AND parts1 = 1").orderBy(F.xxhash64("key")).limit(train_notes).select("key")
-    lists: dict[str, tuple[list[str], list[str]]] = defaultdict(lambda: ([], []))
-    for r in units.join(F.broadcast(chosen), "key").select("key", "side", "text", "row", "sent").orderBy("key", "side", "row", "sent").toPandas().itertuples():
-        lists[r.key][r.side].append(r.text)
-    space = notes.sparkSession.sparkContext.broadcast(fit([lists[k] for k in sorted(lists)]))
+    units = cut(all_rows.groupBy("key", "side", "h").agg(F.min_by(F.struct("row", "sent", "text"), F.struct("row", "sent")).alias("u")).select("key", "side", "h", "u.*").join(sized, "key"))
+    space = notes.sparkSession.sparkContext.broadcast(fit(units))
     single = F.array(F.struct(F.lit(0).alias("own"), F.lit(True).alias("core")))
     small = units.filter("parts0 = 1 AND parts1 = 1").withColumn("in", single)
     large = numbered(units.filter("parts0 > 1 OR parts1 > 1"), ["key", "side"], ["row", "sent"], [F.floor(F.col("row") / 1000)], "at")

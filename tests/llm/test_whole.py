@@ -43,3 +43,28 @@ def test_windows_reach_over_blocks(spark, monkeypatch, block_rows):
     df = spark.createDataFrame(rows, "note_row bigint, text string, source_path string, title string, language_branch string").withColumn("modified_at", F.lit("2025-01-01").cast("timestamp"))
     got = {(x.row_a, x.sent_a, x.row_b, x.sent_b) for x in alignment.align(df, block_rows=block_rows).collect()}
     assert got == {(r + 1, k + 1, r + 4, 2 * k + half) for r in range(3) for k in range(10) for half in (1, 2)}
+
+
+def test_space_takes_every_note_and_term(spark, monkeypatch):
+    """Notes of any number and size train, by the same marks, and every term that they have often enough counts."""
+    words = [(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}", f"ж{chr(1072 + k // 26)}{chr(1072 + k % 26)}") for k in range(60)]
+    rows = [(f"1.{k % 3}", side, 1000 * k + side, f"Form AB-{k} {words[k % 60][side]} to CD-{k}." if side == 0 else f"Акт AB-{k} {words[k % 60][side]} до CD-{k}.") for k in range(240) for side in (0, 1)]
+    units = spark.createDataFrame(rows, "key string, side int, h bigint, text string")
+    space = alignment.fit(units)
+    assert {w for pair in words for w in pair} <= space.vectors.keys()
+    unit = lambda w: space.vectors[w] / (space.vectors[w] ** 2).sum() ** 0.5
+    assert all(max(words, key=lambda p: float(unit(a) @ unit(p[1])))[1] == b for a, b in words)
+    # one mark alone trains at no size
+    assert not alignment.fit(units.withColumn("text", F.regexp_replace("text", r"CD-\d+", "it"))).vectors
+
+
+def test_space_of_a_note_above_block_rows(spark, monkeypatch):
+    """Each size of block gives the same training, so a large note trains, too."""
+    seen = []
+    fit = alignment.fit
+    monkeypatch.setattr(alignment, "fit", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    rows = [(1, "Title\n" + " ".join(f"Form AB-{k} goes with value to CD-{k}." for k in range(20)), "EN/1. M/1.1. Note.md", "n"), (2, "Заголовок\n" + " ".join(f"Акт AB-{k} має таке значення до CD-{k}." for k in range(20)), "UA/1. М/1.1. Нотатка.md", "н")]
+    df = spark.createDataFrame(rows, "note_row bigint, text string, source_path string, title string").withColumn("modified_at", F.lit("2025-01-01").cast("timestamp"))
+    got = [{tuple(x)[:4] for x in alignment.align(df, block_rows=n).collect()} for n in (1500, 6)]
+    assert got[0] == got[1]
+    assert seen[0].vectors.keys() == seen[1].vectors.keys() >= {"value", "значення"}
