@@ -176,9 +176,10 @@ def explain(edges: DataFrame, domains: DataFrame, source: str, target: str, hops
 
 def merge(hits: DataFrame, boosts: DataFrame, k: int) -> DataFrame:
     """Text hits (source_path, score, rank) and notes that the graph adds (source_path, score): hits gain their note's
-    score, other notes enter with 0.6 of theirs. source_path, combined, origin, rank."""
-    gained = hits.join(boosts.select("source_path", F.col("score").alias("boost")), "source_path", "left").select("source_path", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("combined"), F.lit("text").alias("origin"), F.col("rank").alias("was"))
+    score, other notes enter with 0.6 of theirs. source_path, combined, origin, rank, and the hits' other columns."""
+    extra = [c for c in hits.columns if c not in ("source_path", "score", "rank")]
+    gained = hits.join(boosts.select("source_path", F.col("score").alias("boost")), "source_path", "left").select("source_path", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("combined"), F.lit("text").alias("origin"), F.col("rank").alias("was"), *extra)
     added = boosts.join(hits.select("source_path"), "source_path", "left_anti").select("source_path", (0.6 * F.col("score")).alias("combined"), F.lit("graph").alias("origin"), F.lit(None).cast("int").alias("was"))
     order = [F.desc("combined"), F.desc(F.col("origin")), F.asc_nulls_last("was"), F.asc("source_path")]
-    out = gained.unionByName(added).orderBy(*order).limit(k)
+    out = gained.unionByName(added, allowMissingColumns=True).orderBy(*order).limit(k)
     return out.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("was")

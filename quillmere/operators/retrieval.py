@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as X
+from quillmere.operators import graph as G
 
 #: Named constants of the ranking functions.
 K1, B = 1.2, 0.75
@@ -140,16 +141,22 @@ def check_search(mode: str, reranker: str, k: int, fetch_k: int, min_score: floa
         raise ValueError("max_distance must not be negative")
 
 
-def search(rows: DataFrame, id_col: str, text_col: str, vector_col: str, query: str, query_vector: list[float] | None = None, mode: str = "auto", reranker: str = "none", k: int = 5, fetch_k: int = 20, min_score: float | None = None, max_distance: float | None = None, scorer: Callable[[list[str]], list[float]] | None = None, snippet_chars: int = 320) -> tuple[DataFrame, list[str], str]:
+def search(rows: DataFrame, id_col: str, text_col: str, vector_col: str, query: str, query_vector: list[float] | None = None, mode: str = "auto", reranker: str = "none", k: int = 5, fetch_k: int = 20, min_score: float | None = None, max_distance: float | None = None, scorer: Callable[[list[str]], list[float]] | None = None, snippet_chars: int = 320, replier: Callable[[list[str]], list[str]] | None = None, graph: tuple[DataFrame, DataFrame] | None = None, path_col: str = "source_path", hops: int = 2) -> tuple[DataFrame, list[str], str]:
     """A search as users run it: hits (id, score and/or distance, rank, snippet), warnings, and the mode that ran.
 
     `auto` routes by the query's form. Without a query vector a vector or hybrid search falls back to full text; without
-    a scorer the cross-encoder falls back to rank fusion or none. Thresholds apply after ranking and before the cut to k.
+    a scorer the cross-encoder falls back to rank fusion or none, without a replier (texts to a model's replies) the llm
+    to none, and without a graph (its edges and domains) hybrid-graph to hybrid. Thresholds apply after ranking and before
+    the graph and the cut to k. With the graph, the notes of `path_col` around the first three hits' notes add to the hits'
+    scores and enter themselves, with a null id; hits then have source_path and origin, too.
     """
     check_search(mode, reranker, k, fetch_k, min_score, max_distance)
     warnings: list[str] = []
     if mode == "auto":
         mode = rows.sparkSession.range(1).select(X.route(F.lit(query)).alias("m")).first().m
+    if mode == "hybrid-graph" and (graph is None or path_col not in rows.columns):
+        warnings.append("no graph: hybrid search instead")
+        mode = "hybrid"
     base = "hybrid" if mode == "hybrid-graph" else mode
     if base in ("vector", "hybrid") and query_vector is None:
         warnings.append("no query vector: full-text search instead")
@@ -157,9 +164,12 @@ def search(rows: DataFrame, id_col: str, text_col: str, vector_col: str, query:
     if reranker == "cross-encoder" and scorer is None:
         warnings.append("no scorer: reranking skipped")
         reranker = "none"
+    if reranker == "llm" and replier is None:
+        warnings.append("no replier: reranking skipped")
+        reranker = "none"
     if reranker == "rrf" and base != "hybrid":
         reranker = "none"
-    depth = fetch_k if base == "hybrid" or reranker != "none" else k
+    depth = fetch_k if base == "hybrid" or reranker != "none" or mode == "hybrid-graph" else k
     if base == "vector":
         hits = nearest(rows, id_col, vector_col, query_vector, depth)
     elif base == "fts":
@@ -168,12 +178,39 @@ def search(rows: DataFrame, id_col: str, text_col: str, vector_col: str, query:
         hits = fuse([nearest(rows, id_col, vector_col, query_vector, depth), bm25(rows, id_col, text_col, query, depth)], id_col, depth)
     if reranker == "cross-encoder":
         hits = rerank(hits.join(rows.select(id_col, text_col), id_col), id_col, text_col, scorer, depth).drop(text_col)
+    if reranker == "llm":
+        hits = rerank_by_replies(hits.join(rows.select(id_col, text_col), id_col).withColumn("_reply", _replies(replier)(F.col(text_col))).drop(text_col), id_col, "_reply", depth).drop("_reply")
     kept = above(hits, min_score, max_distance)
     order = F.asc("rank")
+    if mode == "hybrid-graph":
+        merged = _with_graph(kept, rows, graph, id_col, path_col, k, max(fetch_k, k), hops)
+        return merged.join(rows.select(id_col, X.snippet(F.col(text_col), snippet_chars).alias("snippet")), id_col, "left").orderBy(order), warnings, mode
     top = ranked(kept.withColumnRenamed("rank", "_rank"), id_col, F.asc("_rank"), k).drop("_rank")
     return top.join(rows.select(id_col, X.snippet(F.col(text_col), snippet_chars).alias("snippet")), id_col).orderBy(order), warnings, mode
 
 
+def _replies(replier: Callable[[list[str]], list[str]]) -> Callable[[Column], Column]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(replier(batch.fillna("").tolist()), dtype="object")
+
+    return F.pandas_udf(run, "string")
+
+
+def base_score(hits: DataFrame) -> Column:
+    """A hit's score, else 1 / (1 + distance)."""
+    score = F.col("score") if "score" in hits.columns else F.lit(None).cast("double")
+    return F.coalesce(score, 1 / (1 + F.col("distance"))) if "distance" in hits.columns else score
+
+
+def _with_graph(hits: DataFrame, rows: DataFrame, graph: tuple[DataFrame, DataFrame], id_col: str, path_col: str, k: int, limit: int, hops: int) -> DataFrame:
+    """Hits merged with the notes around the notes of the first of them: id, score, rank, source_path, origin."""
+    placed = hits.join(rows.select(id_col, F.col(path_col).alias("source_path")), id_col).select(id_col, "source_path", base_score(hits).alias("score"), "rank")
+    seeds = placed.filter("source_path IS NOT NULL").groupBy("source_path").agg(F.min("rank").alias("rank")).orderBy("rank").limit(min(k, 3))
+    boosts = G.expand(*graph, seeds.select(F.concat(F.lit("note::"), "source_path").alias("id")), hops, limit)
+    return G.merge(placed, boosts, k).select(id_col, F.col("combined").alias("score"), "rank", "source_path", "origin")
+
+
 def degrade(attempts: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[list, list[str]]:
     """Rows of the first attempt whose action succeeds, and a warning for each that failed. As plans are lazy, the
     action itself is inside the guard."""

@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from quillmere.operators import retrieval
 from quillmere.plans import registry
 
 
@@ -39,3 +40,30 @@ def test_batch_search_takes_every_item(spark, tmp_path):
     want = _brute_bm25(docs, [(i, t.split("\n")[-1]) for i, t in items], 5)
     assert sorted((r[0], r[1], r[3]) for r in got) == [(q, d, n) for q, d, _, n in want]
     assert [r[2] for r in sorted(got)] == pytest.approx([s for _, _, s, _ in want], abs=2e-6)
+
+
+@pytest.fixture(scope="module")
+def chunks(spark):
+    return spark.createDataFrame([(1, "cat sat", [1.0, 0.0], "a.md"), (2, "cat cat dog", [0.9, 0.1], "b.md"), (3, "cat bird", [0.8, 0.0], "c.md"), (4, "cat tree", [0.1, 0.9], "d.md")], "id int, text string, v array<double>, source_path string")
+
+
+def test_hybrid_graph_merges_notes_and_boosts(spark, chunks):
+    edges = spark.createDataFrame([("note::a.md", "note::far.md", "mirror_of"), ("note::a.md", "note::d.md", "links_to")], "src string, dst string, edge_type string")
+    domains = spark.createDataFrame([], "id string, domain string")
+    hits, warnings, mode = retrieval.search(chunks, "id", "text", "v", "how does cat relate", [1.0, 0.0], mode="auto", k=4, graph=(edges, domains))
+    rows = {r.source_path: r for r in hits.collect()}
+    assert (warnings, mode) == ([], "hybrid-graph")
+    assert rows["far.md"].origin == "graph" and rows["far.md"].id is None
+    assert rows["far.md"].score == pytest.approx(0.6 * 1.4)
+    assert rows["d.md"]["rank"] == 1 and rows["d.md"].id == 4
+
+
+def test_hybrid_graph_without_a_graph_says_so(chunks):
+    hits, warnings, mode = retrieval.search(chunks, "id", "text", "v", "cat", [1.0, 0.0], mode="hybrid-graph", k=2)
+    assert (mode, len(warnings), hits.count()) == ("hybrid", 1, 2)
+
+
+def test_llm_reranks_by_replies_or_warns(chunks):
+    hits, warnings, _ = retrieval.search(chunks, "id", "text", "v", "cat", mode="fts", reranker="llm", k=2, replier=lambda texts: ["90" if "bird" in t else "5" for t in texts])
+    assert hits.first().id == 3 and not warnings
+    assert retrieval.search(chunks, "id", "text", "v", "cat", mode="fts", reranker="llm", k=2)[1]
