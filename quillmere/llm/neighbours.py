@@ -4,13 +4,17 @@ Method: multi-index hashing. Rotations learned on a bounded sample (iterative qu
 into a binary code of `tables` substrings; a substring grows with the logarithm of the row count, so buckets
 keep their size. Each substring is an index of its own. Probing all substrings within `flips` bits retrieves,
 by the pigeonhole principle, every code within a Hamming radius of `tables * (flips + 1) - 1`, and most codes
-somewhat beyond it; what is retrieved is reranked by its floats. The floats travel with the codes, 12 bits a
-component with a scale for each vector, so that no pair has to fetch them.
+somewhat beyond it; what is retrieved, and differs in at most a share `radius` of its bits, is reranked by its floats,
+which travel with the codes so that no pair has to fetch them.
 
-A pair is reranked in the first table that retrieves it only. Every table is split by the leading bits of its
-substring once it holds more than `part_rows` rows; a vector is then also sent to the parts that its probes
-reach. Equal vectors are compared once: copies are linked in a ring to their next k copies, since all others
-are as near, and stand in for each other towards the rest.
+A table of up to `part_rows` rows is one part. A larger one is parted by the pigeonhole principle again: of `flips` + 1
+stretches of a substring two codes within `flips` bits share at least one, so a vector goes to the part of each of
+its stretches' values, `flips` + 1 copies a table at any size. A pair is reranked in the first table and part that
+retrieve it only.
+
+Equal vectors of different ids are compared once, by the smallest id; each of them then has its copies, those with
+the smallest ids, as neighbours, and shares what the one has found. Vectors for which fewer than k are found within the
+radius are compared with all others, `block_rows` of them at a time; so each vector has k neighbours if there are k others.
 
 Defined results: vectors that are null, of another length, all zero or with a value that is null or not finite
 take no part; rows of the same id and vector count once, and an id with several vectors is as near as its
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillmere.session import table
+from quillmere.session import cut, table
 
 CHUNK = 1_000_000
 
@@ -55,57 +59,28 @@ def substrings(x: np.ndarray, projections: np.ndarray, tables: int) -> np.ndarra
     return (bits * (1 << np.arange(bits.shape[2], dtype=np.uint32))).sum(2, dtype=np.uint32)
 
 
-def usable(values: np.ndarray, lengths: np.ndarray, missing: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The unit vectors among flattened lists, and the numbers of the lists they come from."""
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
-    at = np.flatnonzero((lengths == dim) & ~missing)
-    x = values[starts[at][:, None] + np.arange(dim)] if len(at) else np.zeros((0, dim))
-    top = np.abs(x).max(1, initial=0)
-    good = np.isfinite(x).all(1) & (top > 0)
-    x = x[good] / top[good][:, None]
-    return x / np.linalg.norm(x, axis=1)[:, None], at[good]
-
-
-def packed(x: np.ndarray) -> np.ndarray:
-    """Unit vectors as bytes: a scale, then 12 bits a component."""
-    scale = np.maximum(np.abs(x).max(1), 1e-12).astype(np.float32)
-    q = np.clip(np.rint(x / scale[:, None] * 2047) + 2048, 1, 4095).astype(np.uint16)
-    if q.shape[1] % 2:
-        q = np.concatenate([q, np.full((len(q), 1), 2048, np.uint16)], 1)
-    a, b = q[:, ::2], q[:, 1::2]
-    body = np.stack([a >> 4, (a & 15) << 4 | b >> 8, b & 255], 2).astype(np.uint8).reshape(len(x), -1)
-    return np.concatenate([scale.view(np.uint8).reshape(-1, 4), body], 1)
-
-
-def unpacked(raw: np.ndarray, dim: int) -> np.ndarray:
-    scale = np.ascontiguousarray(raw[:, :4]).view(np.float32)
-    body = raw[:, 4:].reshape(len(raw), -1, 3).astype(np.uint16)
-    q = np.stack([body[..., 0] << 4 | body[..., 1] >> 4, (body[..., 1] & 15) << 8 | body[..., 2]], 2).reshape(len(raw), -1)[:, :dim]
-    x = (q.astype(np.float32) - 2048) * (scale / 2047)
+def usable(values: np.ndarray, dim: int) -> np.ndarray:
+    """The unit vectors of flattened lists of `dim` values."""
+    x = values.reshape(-1, dim)
+    x = x / np.abs(x).max(1, initial=1e-300)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _flattened(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values, lengths and null marks of an Arrow list column; null values become NaN."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    missing = np.asarray(pc.is_null(column))
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
-    values = pc.cast(pc.list_flatten(column), pa.float64())
-    return np.asarray(pc.fill_null(values, float("nan"))), lengths, missing
+def _masks(bits: list[int], flips: int) -> list[int]:
+    return [sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(bits, n)]
 
 
-def _masks(bits: int, flips: int) -> list[int]:
-    return [sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(bits), n)]
+def stretches(width: int, n: int) -> list[tuple[int, int]]:
+    """A substring's bits in n stretches: first bit and number of bits."""
+    edges = [width * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _pairs(buckets: np.ndarray, bits: int, flips: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (positions) whose buckets differ in at most `flips` bits, each pair once. `own` marks rows
-    that belong to this part; the others are here as probes only."""
+def _pairs(buckets: np.ndarray, masks: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (positions) whose buckets differ by one of the masks, each pair once."""
     order = np.argsort(buckets, kind="stable")
     named, first, count = np.unique(buckets[order], return_index=True, return_counts=True)
-    for mask in _masks(bits, flips):
+    for mask in masks:
         there = named ^ np.uint32(mask)
         to = np.searchsorted(named, there)
         hit = np.flatnonzero((to < len(named)) & (there >= named))
@@ -122,105 +97,187 @@ def _pairs(buckets: np.ndarray, bits: int, flips: int, own: np.ndarray) -> Itera
                 of = np.searchsorted(ends, k, side="right")
                 k -= (ends - sizes[start:end])[of]
                 i, j = order[a[of] + k // wide[of]], order[b[of] + k % wide[of]]
-                keep = (own[i] | own[j]) & ((i < j) if mask == 0 else True)
-                yield i[keep], j[keep]
+                if mask == 0:
+                    i, j = i[i < j], j[i < j]
+                yield i, j
             start = end
 
 
-def nearest_in_part(ids, codes, raw, own, which: int, dim: int, bits: int, flips: int, k: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One part of one table: for each vector its up to k nearest among the pairs that this table is the first to retrieve."""
-    _, first, back = np.unique(np.ascontiguousarray(raw).view(f"V{raw.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    members = np.lexsort((ids, back))
-    keep = np.ones(len(members), bool)
-    keep[1:] = (ids[members][1:] != ids[members][:-1]) | (back[members][1:] != back[members][:-1])
-    members = members[keep]
-    begin = np.searchsorted(back[members], np.arange(len(first) + 1))
-    rep_codes, rep_own, x = codes[first], np.zeros(len(first), bool), unpacked(raw[first], dim)
-    np.logical_or.at(rep_own, back, own)
+def first_k(a: np.ndarray, b: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int, once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row a those of its candidates b, with similarities s, that hold the k different ids nearest to it; `once`:
+    of each id the nearest only."""
+    order = np.lexsort((ids[b], -s, a))
+    a, b, s = a[order], b[order], s[order]
+    twice = np.lexsort((np.arange(len(a)), ids[b], a))  # an id's vectors one after another, the nearest first
+    again = np.zeros(len(a), bool)
+    again[twice[1:]] = (a[twice][1:] == a[twice][:-1]) & (ids[b[twice]][1:] == ids[b[twice]][:-1])
+    seen = np.cumsum(~again)
+    keep = seen - np.where(again, 0, 1) - np.concatenate([[0], seen])[np.searchsorted(a, a)] < k
+    if once:
+        keep &= ~again
+    return a[keep], b[keep], s[keep]
+
+
+def nearest_in_part(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, which: int, stretch: int, spans: list[tuple[int, int]], flips: int, k: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One part of one table: for each row its nearest among the pairs that this part is the first to retrieve, and their
+    similarities less 1. `spans` are the stretches by which the table is parted, `stretch` this part's; none if the table is whole."""
+    width = sum(n for _, n in spans)
+    own = range(0) if len(spans) == 1 else range(spans[stretch][0], sum(spans[stretch]))
+    before = [np.uint32(((1 << n) - 1) << at) for at, n in spans[:stretch]]
     best: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
     fresh: list[tuple] = []
     held = 0
-
-    def prune() -> None:
-        nonlocal best, fresh, held
-        a, b, s = (np.concatenate([best[c], *[f[c] for f in fresh]]) for c in range(3))
-        order = np.lexsort((b, -s, a))
-        a, b, s = a[order], b[order], s[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        best, fresh, held = [v[rank < k] for v in (a, b, s)], [], 0
-
-    for i, j in _pairs(rep_codes[:, which], bits, flips, rep_own):
-        apart = np.bitwise_count(rep_codes[i] ^ rep_codes[j])
+    for i, j in _pairs(codes[:, which], _masks([b for b in range(width) if b not in own], flips)):
+        differ = codes[i] ^ codes[j]
+        apart = np.bitwise_count(differ)
         ok = apart.sum(1) <= radius
         if which:
             ok &= (apart[:, :which] > flips).all(1)
+        for mask in before:
+            ok &= differ[:, which] & mask != 0
         i, j = i[ok], j[ok]
         if len(i):
-            s = np.einsum("nd,nd->n", x[i], x[j])
+            s = x[i] - x[j]  # from differences, as near vectors' products all round to 1
+            s = np.einsum("nd,nd->n", s, s) * np.float32(-0.5)
             fresh.append((np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s])))
             held += len(i)
             if held > 2 * CHUNK:
-                prune()
-    prune()
-    a, b, s = best
-    size = np.diff(begin)
-    left = np.repeat(np.arange(len(a)), size[a] * np.minimum(size[b], k))
-    nth = np.arange(len(left)) - np.searchsorted(left, left)
-    few = np.minimum(size[b], k)[left]
-    out_a, out_b, out_s = ids[members[begin[a][left] + nth // few]], ids[members[begin[b][left] + nth % few]], s[left]
-    if which == 0:  # copies: each to its next k, in a ring
-        for step in range(1, k + 1):
-            pos = np.arange(len(members))
-            group = back[members]
-            more = (size[group] > step) & own[members]
-            pos, group = pos[more], group[more]
-            nxt = begin[group] + (pos - begin[group] + step) % size[group]
-            out_a, out_b, out_s = np.concatenate([out_a, ids[members[pos]]]), np.concatenate([out_b, ids[members[nxt]]]), np.concatenate([out_s, np.ones(len(pos), np.float32)])
-    differ = out_a != out_b
-    return out_a[differ], out_b[differ], out_s[differ]
-
-
-def neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, tables: int = 5, flips: int = 2, radius: float = 0.30, train_rows: int = 20_000, part_rows: int = 400_000) -> DataFrame:
+                best, fresh, held = list(first_k(*(np.concatenate([best[c], *[f[c] for f in fresh]]) for c in range(3)), ids, k)), [], 0
+    return first_k(*(np.concatenate([best[c], *[f[c] for f in fresh]]) for c in range(3)), ids, k)
+
+
+def neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, tables: int = 5, flips: int = 2, radius: float = 0.30, train_rows: int = 20_000, part_rows: int = 400_000, block_rows: int = 20_000, most_broadcast: int = 100_000) -> DataFrame:
     """The k nearest of every vector: id, other, similarity, rank (1..k). `radius` is the largest share of
-    differing bits at which a retrieved pair is still reranked."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(T.ArrayType(T.DoubleType()) if not isinstance(df.schema[vector_col].dataType, T.ArrayType) else df.schema[vector_col].dataType).alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
+    differing bits at which a retrieved pair is reranked; at most twice `train_rows` vectors learn the rotations."""
+    array = df.schema[vector_col].dataType
+    vector = F.col(vector_col) if isinstance(array, T.ArrayType) else F.col(vector_col).cast(T.ArrayType(T.DoubleType()))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), vector.alias("vector")).filter(F.col("id").isNotNull() & (F.size("vector") == dim))
     many = rows.select("id").count()
-    width = min(24, max(4, math.ceil(math.log2(max(2, many))) - 1))
-    split = max(0, math.ceil(math.log2(max(1, many) / part_rows)))
-    sample = rows.filter(F.size("vector") == dim).orderBy(F.xxhash64("id")).limit(train_rows).select("vector").toArrow().column(0).combine_chunks()
-    unit, _ = usable(*_flattened(sample), dim)
-    project = df.sparkSession.sparkContext.broadcast(rotations(unit, tables * width))
-    schema = "part int, id bigint, own boolean, body binary"
-
-    def encode(batches):
+    rows = rows.filter(F.forall("vector", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)).withColumn("h", F.xxhash64("vector"))
+    width = min(29, max(4, math.ceil(math.log2(max(2, many))) - 1))
+    spans = stretches(width, flips + 1 if many > part_rows else 1)
+    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, many))) < train_rows).limit(2 * train_rows).select("vector").toArrow().column(0).combine_chunks()
+    project = df.sparkSession.sparkContext.broadcast(rotations(usable(_values(sample), dim), tables * width))
+
+    # equal vectors of several ids: the smallest id stands for them
+    different = rows.select("h", "id").distinct()
+    copies = cut(different.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1"))
+    copied = copies.count()
+    sent = F.broadcast(copies) if copied <= most_broadcast else copies
+    single = rows.join(sent.select("h", "least"), "h", "left").filter("least IS NULL OR least = id").select("id", "h", "vector") if copied else rows.select("id", "h", "vector")
+    record = np.dtype([("id", "<i8"), ("h", "<i8"), ("x", "<f4", (dim,))])
+
+    def place(batches):
         import pyarrow as pa
 
-        away = _masks(split, flips)[1:] if split else []
         for batch in batches:
-            x, at = usable(*_flattened(batch.column(1)), dim)
-            if not len(x):
-                continue
-            ids, raw = np.asarray(batch.column(0))[at], packed(x)
-            codes = substrings(unpacked(raw, dim), project.value, tables)
-            body = np.concatenate([codes.view(np.uint8).reshape(len(x), -1), raw], 1)
+            own = np.zeros(len(batch), record)
+            own["id"], own["h"], own["x"] = np.asarray(batch.column(0)), np.asarray(batch.column(1)), usable(_values(batch.column(2)), dim)
+            _, first = np.unique(own.view(f"V{record.itemsize}"), return_index=True)
+            own = own[first]  # rows that are repeated
+            codes = substrings(own["x"], project.value, tables)
+            parts, bodies = [], []
             for j in range(tables):
-                lead = (codes[:, j] >> np.uint32(width - split)).astype(np.int64)
-                for mask in (0, *away):
-                    to = lead ^ mask
-                    send = np.flatnonzero(to >= lead)
-                    data = pa.Array.from_buffers(pa.binary(body.shape[1]), len(send), [None, pa.py_buffer(np.ascontiguousarray(body[send]))]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array((j << split) + to[send], pa.int32()), pa.array(ids[send]), pa.array(np.full(len(send), mask == 0)), data], ["part", "id", "own", "body"])
-
-    def probe(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(group["body"]), np.uint8).reshape(len(group), -1)
-        codes = np.ascontiguousarray(raw[:, : 4 * tables]).view(np.uint32)
-        a, b, s = nearest_in_part(group["id"].to_numpy(), codes, raw[:, 4 * tables :], group["own"].to_numpy(), key[0] >> split, dim, width, flips, k, int(radius * tables * width))
-        return pd.DataFrame({"id": a, "other": b, "similarity": s})
-
-    found = rows.mapInArrow(encode, schema).groupBy("part").applyInPandas(probe, "id bigint, other bigint, similarity float")
-    nearest = found.groupBy("id", "other").agg(F.max("similarity").alias("similarity")) if split else found
+                for g, (at, n) in enumerate(spans):
+                    value = (codes[:, j] >> np.uint32(at)) & np.uint32((1 << n) - 1) if len(spans) > 1 else np.zeros(len(own), np.uint32)
+                    order = np.argsort(value, kind="stable")
+                    named, start = np.unique(value[order], return_index=True)
+                    for v, rows_ in zip(named.tolist(), np.split(order, start[1:]), strict=True):
+                        parts.append(part_number(j, g, v))
+                        bodies.append(own[rows_].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())], ["part", "body"])
+
+    sizes = [1 << n if len(spans) > 1 else 1 for _, n in spans]
+
+    def part_number(j: int, g: int, v: int) -> int:
+        return j * sum(sizes) + sum(sizes[:g]) + v
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, body in zip(batch["part"].tolist(), batch["body"], strict=True):
+                held.setdefault(part, []).append(body)
+        for part in list(held):
+            own = np.frombuffer(b"".join(held.pop(part)), record)
+            _, first = np.unique(own.view(f"V{record.itemsize}"), return_index=True)
+            own = own[first]
+            which, at = divmod(part, sum(sizes))
+            g = int(np.searchsorted(np.cumsum(sizes), at, side="right"))
+            x = np.ascontiguousarray(own["x"])
+            a, b, s = nearest_in_part(own["id"], x, substrings(x, project.value, tables), which, g, spans, flips, k, int(radius * tables * width))
+            differ = own["id"][a] != own["id"][b]
+            a, b, s = a[differ], b[differ], 1 + s[differ].astype(np.float64)
+            yield pd.DataFrame({"h": own["h"][a], "id": own["id"][a], "other_h": own["h"][b], "other": pd.array(own["id"][b], "Int64"), "similarity": pd.array(s, "Float64")})
+            if which == g == 0:  # each row is in one part of these: it is there, with or without neighbours
+                yield pd.DataFrame({"h": own["h"], "id": own["id"], "other_h": np.int64(0), "other": pd.array([None] * len(own), "Int64"), "similarity": pd.array([None] * len(own), "Float64")})
+
+    total = tables * sum(sizes)
+    found = single.mapInArrow(place, "part int, body binary").repartitionById(total, F.col("part")).mapInPandas(probe, "h bigint, id bigint, other_h bigint, other bigint, similarity double")
+    near = _with_copies(found, copies, different, k) if copied else found
+    nearest = near.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    everyone = Window.partitionBy("id")
+    rank = F.row_number().over(everyone.orderBy(F.desc_nulls_last("similarity"), "other"))
+    ranked = cut(nearest.withColumn("n", F.count("other").over(everyone)).withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("other").isNotNull() | (F.col("n") == 0))))
+    short = ranked.filter(F.col("n") < k).select("id").distinct()
+    missing = short.count()
+    enough = ranked.filter("other IS NOT NULL").select("id", "other", "similarity", "rank")
+    if not missing:
+        return enough
+    return enough.join(short, "id", "left_anti").unionByName(_by_brute_force(rows, short, missing, k, dim, block_rows))
+
+
+def _with_copies(found: DataFrame, copies: DataFrame, different: DataFrame, k: int) -> DataFrame:
+    """What the representatives of equal vectors found, for all of them: id, other, similarity."""
+    first = different.join(copies.select("h"), "h").withColumn("at", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("at") <= k + 1)
+    firsts = first.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1
+    some = copies.join(firsts, "h").select("h", "n", "ids")
+    few = some.filter(F.col("n") <= k)  # others have k copies, so what else is near takes no rank
+    left = found.join(few.select("h", F.col("ids").alias("own")), "h", "left").join(some.filter(F.col("n") > k).select("h"), "h", "left_anti")
+    right = left.join(some.select(F.col("h").alias("other_h"), F.col("ids").alias("others")), "other_h", "left")
+    wide = right.select(F.explode(F.coalesce("own", F.array("id"))).alias("id"), F.when(F.col("other").isNotNull(), F.coalesce("others", F.array("other"))).otherwise(F.array(F.lit(None).cast("bigint"))).alias("others"), "similarity")
+    apart = wide.select("id", F.explode("others").alias("other"), "similarity").filter("other IS NULL OR id != other")
+    among = different.join(some.select("h", F.explode("ids").alias("other")), "h").filter("id != other").select("id", "other", F.lit(1.0).alias("similarity"))
+    return apart.unionByName(among)
+
+
+def _by_brute_force(rows: DataFrame, short: DataFrame, missing: int, k: int, dim: int, block_rows: int) -> DataFrame:
+    """The k nearest of the ids in `short` among all rows: id, other, similarity, rank."""
+    sc, passes, out = rows.sparkSession.sparkContext, -(-missing // block_rows), None
+    for n in range(passes):
+        block = short if passes == 1 else short.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == n)
+        asked = rows.join(block, "id").select("id", "vector").distinct().toArrow()
+        known = sc.broadcast((np.asarray(asked.column(0)), usable(_values(asked.column(1).combine_chunks()), dim)))
+
+        def compare(batches, known=known):
+            import pyarrow as pa
+
+            ids, x = known.value
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            for batch in batches:
+                other, y = np.asarray(batch.column(0)), usable(_values(batch.column(1)), dim)
+                for at in range(0, len(y), 200):
+                    s = (y[at : at + 200] @ x.T).T
+                    full = np.bincount(best[0], minlength=len(x)) >= k
+                    low = np.full(len(x), 2.0)
+                    np.minimum.at(low, best[0], best[2])
+                    a, b = np.nonzero((s >= np.where(full, low, -2.0)[:, None]) & (ids[:, None] != other[at : at + 200]))
+                    both = np.concatenate([best[1], other[at : at + 200][b]])
+                    best = list(first_k(np.concatenate([best[0], a]), np.arange(len(both)), np.concatenate([best[2], s[a, b]]), both, k, once=True))
+                    best[1] = both[best[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["id", "other", "similarity"])
+
+        part = rows.select("id", "vector").mapInArrow(compare, "id bigint, other bigint, similarity double")
+        out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return nearest.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.groupBy("id", "other").agg(F.max("similarity").alias("similarity")).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _values(column) -> np.ndarray:
+    """The values of an Arrow list column without nulls."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return np.asarray(pc.cast(pc.list_flatten(column), pa.float64()))
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:

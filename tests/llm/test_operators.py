@@ -84,10 +84,48 @@ def test_neighbours_of_copies_and_unusable(spark):
     assert pd.Series([r.id for r in got]).value_counts().eq(5).all()
 
 
-def test_packing_is_nearly_exact():
-    x = np.random.default_rng(0).standard_normal((200, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    assert np.abs(neighbours.unpacked(neighbours.packed(x), 64) - x).max() < 5e-4
+def _tight(n, dim, spread, seed=5):
+    """Vectors around a few centres, as close to each other as `spread`."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((4, dim))
+    return (centres[np.arange(n) % 4] + spread * rng.standard_normal((n, dim))).astype(np.float32)
+
+
+@pytest.mark.parametrize("part_rows", [400_000, 100])
+def test_neighbours_in_tight_clusters(spark, part_rows):
+    x = _tight(800, 64, 0.001)
+    rows = neighbours.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>"), "id", "v", part_rows=part_rows).collect()
+    want = _brute(np.arange(800), x.astype(np.float64), 5)
+    assert len(want & {(r.id, r.other) for r in rows}) / len(want) >= 0.95
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    assert max(abs(float(unit[r.id] @ unit[r.other]) - r.similarity) for r in rows) < 1e-6
+
+
+def test_vectors_that_no_code_is_near_are_compared_with_all(spark):
+    """Each vector gets k neighbours, the right ones, even if none lies within the radius."""
+    x = np.random.default_rng(3).standard_normal((150, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    got = {(r.id, r.other) for r in neighbours.neighbours(df, "id", "v", radius=0.0, block_rows=60).collect()}
+    assert got == _brute(np.arange(150), x, 5)
+
+
+def test_copies_of_a_vector_share_neighbours_and_ids_their_vectors(spark):
+    e = np.eye(64)
+    near = e[0] * 0.9 + e[1] * 0.1
+    rows = [(1, e[0]), (2, e[0]), (3, e[0]), (10, near), (10, e[9]), (11, e[9] * 2), (12, e[0] * 0.8 + e[1] * 0.3)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "id bigint, v array<double>")
+    got = {}
+    for r in neighbours.neighbours(df, "id", "v", k=3).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.other))
+    assert [o for _, o in sorted(got[2])] == [1, 3, 10]
+    assert [o for _, o in sorted(got[11])][0] == 10
+    assert [o for _, o in sorted(got[12])][0] == 10
+    assert all(len(v) == 3 for v in got.values())
+
+
+def test_parts_copy_each_vector_a_fixed_number_of_times():
+    assert neighbours.stretches(24, 3) == [(0, 8), (8, 8), (16, 8)]
+    assert sum(n for _, n in neighbours.stretches(29, 3)) == 29
 
 
 # --- 3
