@@ -214,7 +214,7 @@ def neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int
     total = tables * sum(sizes)
     found = single.mapInArrow(place, "part int, body binary").repartitionById(total, F.col("part")).mapInPandas(probe, "h bigint, id bigint, other_h bigint, other bigint, similarity double")
     near = _with_copies(found, copies, different, k) if copied else found
-    nearest = near.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    nearest = near.repartition("id").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     everyone = Window.partitionBy("id")
     rank = F.row_number().over(everyone.orderBy(F.desc_nulls_last("similarity"), "other"))
     ranked = cut(nearest.withColumn("n", F.count("other").over(everyone)).withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("other").isNotNull() | (F.col("n") == 0))))
