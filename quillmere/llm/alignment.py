@@ -1,20 +1,22 @@
 """Problem 5: pairs of sentences of mirrored notes that translate one another.
 
 Method: cross-lingual term vectors from a singular value decomposition of paired documents' terms. The paired
-documents are sentences of mirrored notes that share a mark (a code, number or name) which is unique on either side;
+documents are sentences of mirrored notes that share marks (codes, numbers or names) which are unique on either side;
 the association of their terms, decomposed, gives both languages' terms vectors in one space. A sentence's vector is
-the weighted sum of its terms'; marks compare by themselves, names by their consonants, so that transliterated ones
-meet. Within a pair of mirrored notes windows of one and of two neighbouring sentences are scored against each other;
-a score counts against its margin, the mean of the best scores of either side. Mutual neighbours pair up wherever
-they stand; a sentence that another side's merged sentence covers in part pairs with it, too.
+the weighted sum of its terms'. Within a pair of mirrored notes windows of one and of two neighbouring sentences are
+scored against each other by the cosine of their vectors, which pairs need at least `least_cosine` of. Marks that both
+have add a share, so that sentences of the same words about other things part: names compare by their consonants, so
+that transliterated ones meet. A score counts against its margin, the mean of the best scores of either side. Mutual
+neighbours pair up wherever they stand; a sentence that another side's merged sentence covers in part pairs with it, too.
 
 Notes are mirrored if their file names begin with the same number. The side of a row is the script of its text, as
 rows may lie in the other branch's folder. A row without path takes that of the rows with its title and time of change.
 
-Equal sentences of a side of a note are compared once. Notes with more than `block_rows` rows a side are compared in
-blocks, and their best candidates are put together afterwards; so no task holds a note of any size whole. Blocks are
-stretches of neighbouring sentences with one more at either end, so that each window stands whole in a block. The
-decomposition is fitted on all mirrored notes and all terms that their paired sentences have three times or more.
+A note of up to `block_rows` sentences is parsed, packed into one row and matched there: its texts are shuffled once.
+Larger notes are parsed sentence by sentence and compared in blocks, and their best candidates are put together afterwards;
+so no task holds a note of any size whole. Blocks are stretches of neighbouring sentences with one more at either end,
+so that each window stands whole in a block. Either way gives the same pairs. Equal sentences of a side of a note are compared
+once. The decomposition is fitted on all mirrored notes and all terms that their paired sentences have three times or more.
 
 Defined results: null and empty texts and texts of one line have no sentences; rows without number, path or twin have
 no pairs; repeated rows pair each; an empty table gives an empty result.
@@ -22,9 +24,12 @@ no pairs; repeated rows pair each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -43,6 +48,10 @@ CONSONANTS = {"б": "b", "в": "v", "г": "", "ґ": "g", "д": "d", "ж": "z", "
 _LATIN = {"c": "k", "q": "k", "x": "ks", "w": "v", "h": "", "j": "", "y": "", **dict.fromkeys("aeiou", "")}
 
 
+#: Scores: the least of a pair, the marks' part of it, and the cosine without which there is none.
+LEAST, WEIGHT, LEAST_COSINE = 0.4, 0.4, 0.2
+
+
 def consonants(name: str) -> str:
     """A name's consonants, the same for a Latin name and its transliteration."""
     low = re.sub(r"qu(?=[aeiouy])", "kv", name.lower().translate(FOLD))
@@ -79,18 +88,27 @@ def analysed(sentence: str, common: frozenset[str] = frozenset()) -> tuple[list[
     return terms, marks
 
 
+@lru_cache(1 << 16)
+def hashed(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class Space:
-    """Term vectors and weights of both sides."""
+    """The vectors of both sides' terms, weighted; a term's number is its place in `names`, from 1."""
+
+    def __init__(self, names: list[str], matrix: np.ndarray):
+        self.names, self.matrix = names, matrix
 
-    def __init__(self, vectors: dict[str, np.ndarray], common: frozenset[str], dim: int):
-        self.vectors, self.common, self.dim = vectors, common, dim
+    def vector(self, term: str) -> np.ndarray:
+        return self.matrix[self.names.index(term) + 1]
 
-    def embed(self, terms: list[str]) -> np.ndarray:
-        v = np.zeros(self.dim, np.float32)
-        for t in terms:
-            if (x := self.vectors.get(t)) is not None:
-                v += x
-        return v
+    def embed(self, terms: list[Iterable[int]]) -> np.ndarray:
+        """The vectors of some sentences' terms."""
+        sizes = np.array([len(t) for t in terms])
+        flat = np.array([x for t in terms for x in t], np.int64)
+        out = np.zeros((len(terms), self.matrix.shape[1]), np.float32)
+        np.add.at(out, np.repeat(np.arange(len(terms)), sizes), self.matrix[flat])
+        return out
 
 
 def _per_batch(count: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -103,11 +121,22 @@ def _per_batch(count: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Calla
 
 def _lower_words(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     lower: Counter = Counter()
-    for s in batch["text"]:
-        lower.update({w.lower() for w in _WORD.findall(s)[1:] if w[0].islower()})
+    for text in batch["text"]:
+        for s in sentences(text.partition("\n")[2]):
+            lower.update({w.lower() for w in _WORD.findall(s)[1:] if w[0].islower()})
     yield pd.DataFrame(list(lower.items()), columns=["w", "n"])
 
 
+def parsed(row: int, text: str, number: dict[str, int]) -> Iterator[tuple]:
+    """A row's sentences: side, row, sent, h, terms' numbers, marks' hashes, marks' weights."""
+    body = text.partition("\n")[2]
+    side = int(is_cyrillic(body))
+    for n, s in enumerate(sentences(body), 1):
+        flat = " ".join(s.split())
+        terms, marks = analysed(flat, number.keys())
+        yield side, row, n, hashed(flat), [number[t] for t in terms if t in number], [hashed(m) for m in marks], list(marks.values())
+
+
 def _together(batch: pd.DataFrame, width: int = 1 << 31, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """How often terms (numbers from 1) stand together in pairs of sentences; 0 stands for any."""
     held, size = [], 0
@@ -117,7 +146,7 @@ def _together(batch: pd.DataFrame, width: int = 1 << 31, most: int = 1_000_000)
         return pd.DataFrame({"i": both // width, "j": both % width, "n": n})
 
     for ta, tb in zip(batch["ta"], batch["tb"], strict=True):
-        x, y = (np.append(0, np.asarray(t, np.int64)) for t in (ta, tb))
+        x, y = (np.append(0, np.unique(np.asarray(t, np.int64))) for t in (ta, tb))
         step = max(1, most // len(y))
         for at in range(0, len(x), step):
             held.append((x[at : at + step, None] * width + y).ravel())
@@ -128,35 +157,52 @@ def _together(batch: pd.DataFrame, width: int = 1 << 31, most: int = 1_000_000)
         yield counted()
 
 
-def fit(units: DataFrame, dim: int = 96, least: int = 3, votes: int = 2) -> Space:
-    """Learn a space from all mirrored notes' sentences (key, side, h, text). Sentences that share `votes` marks, each
-    unique on either side of their note, count as paired; counts of terms are taken on the workers, and only the
-    matrix of terms, which grows with the vocabulary, comes to the driver."""
-    lower = units.select("text").mapInPandas(_per_batch(_lower_words), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter("n >= 3")
-    names = sorted(r.w for r in lower.select("w").collect())
-    common = frozenset(names)
-    number = units.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(names, 1)})
-
-    def parsed(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        known = number.value
-        both = [analysed(s, known.keys()) for s in batch["text"]]
-        batch = batch[["key", "side", "h"]].copy()
-        batch["marks"] = [[m for m in marks if len(m) > 2] for _, marks in both]
-        batch["terms"] = [sorted({known[t] for t in terms if t in known}) for terms, _ in both]
-        yield batch
-
-    rows = cut(units.select("key", "side", "h", "text").mapInPandas(_per_batch(parsed), "key string, side int, h bigint, marks array<string>, terms array<int>"))
-    unique = rows.select("key", "side", "h", F.explode("marks").alias("m")).select("key", "side", "h", F.xxhash64("m").alias("m")).groupBy("key", "m", "side").agg(F.count("*").alias("n"), F.min("h").alias("h")).filter("n = 1")
+#: Marks of at least this weight are unlikely to meet by chance: codes, names and numbers of three digits.
+ANCHOR = 1.5
+
+
+def anchored(sides: tuple[list[tuple], list[tuple]], votes: int) -> list[tuple[list[int], list[int]]]:
+    """The terms of the pairs of sentences (row, sent, h, terms, marks, weights) that share `votes` marks, each unique on either side."""
+    unique: list[dict[int, int]] = []
+    for side in sides:
+        where: dict[int, set[int]] = defaultdict(set)
+        for k, x in enumerate(side):
+            for m, w in zip(x[4], x[5], strict=True):
+                if w >= ANCHOR:
+                    where[m].add(k)
+        unique.append({m: min(at) for m, at in where.items() if len(at) == 1})
+    shared = Counter((k, unique[1][m]) for m, k in unique[0].items() if m in unique[1])
+    return [(sides[0][i][3], sides[1][j][3]) for (i, j), n in shared.items() if n >= votes]
+
+
+def _pairs_of_large(rows: DataFrame, votes: int) -> DataFrame:
+    """What `anchored` gives, of notes of any size: ta, tb."""
+    marks = F.explode(F.arrays_zip("marks", "weights")).alias("m")
+    unique = rows.select("key", "side", "h", marks).filter(F.col("m.weights") >= ANCHOR).groupBy("key", F.col("m.marks").alias("m"), "side").agg(F.min("h").alias("h"), F.max("h").alias("other")).filter("h = other")
     one, other = (unique.filter(F.col("side") == k).select("key", "m", F.col("h").alias(name)) for k, name in enumerate(("ha", "hb")))
-    anchored = one.join(other, ["key", "m"]).groupBy("key", "ha", "hb").count().filter(F.col("count") >= votes)
-    sided = [rows.filter(F.col("side") == k).select("key", F.col("h").alias(h), F.col("terms").alias(t)) for k, (h, t) in enumerate((("ha", "ta"), ("hb", "tb")))]
-    found = anchored.join(sided[0], ["key", "ha"]).join(sided[1], ["key", "hb"]).select("ta", "tb")
-    table = found.mapInPandas(_per_batch(_together), "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas().sort_values(["i", "j"])
+    met = one.join(other, ["key", "m"]).groupBy("key", "ha", "hb").count().filter(F.col("count") >= votes)
+    sided = [rows.filter(F.col("side") == k).groupBy("key", F.col("h").alias(h)).agg(F.first("terms").alias(t)) for k, (h, t) in enumerate((("ha", "ta"), ("hb", "tb")))]
+    return met.join(sided[0], ["key", "ha"]).join(sided[1], ["key", "hb"]).select("ta", "tb")
+
+
+def fit(packed: DataFrame, large: DataFrame | None, names: list[str], dim: int = 96, least: int = 3, votes: int = 2) -> Space:
+    """Learn a space from all mirrored notes' sentences, of packed notes and of large ones. Counts of terms are taken on
+    the workers, and only the matrix of terms, which grows with the vocabulary, comes to the driver."""
+
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [x for body in batch["body"] for x in anchored(pickle.loads(body)[0], votes)]
+            yield from _together(pd.DataFrame(pairs, columns=["ta", "tb"]))
+
+    counted = packed.select("body").mapInPandas(together, "i bigint, j bigint, n bigint")
+    if large is not None:
+        counted = counted.unionByName(_pairs_of_large(large, votes).mapInPandas(_per_batch(_together), "i bigint, j bigint, n bigint"))
+    table = counted.groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas().sort_values(["i", "j"])
     i, j, n = (table[c].to_numpy(np.int64) for c in ("i", "j", "n"))
-    return _decomposed(i, j, n, names, common, dim, least)
+    return _decomposed(i, j, n, names, dim, least)
 
 
-def _decomposed(i: np.ndarray, j: np.ndarray, n: np.ndarray, names: list[str], common: frozenset[str], dim: int, least: int) -> Space:
+def _decomposed(i: np.ndarray, j: np.ndarray, n: np.ndarray, names: list[str], dim: int, least: int) -> Space:
     """The space of the counts n of terms i and j (numbers from 1) together; counts with 0 are the terms' own."""
     total = int(n[(i == 0) & (j == 0)].sum())
     own = [np.zeros(len(names) + 1, np.float32) for _ in (0, 1)]
@@ -164,7 +210,7 @@ def _decomposed(i: np.ndarray, j: np.ndarray, n: np.ndarray, names: list[str], c
     own[0][0] = own[1][0] = 0
     terms = [np.flatnonzero(c >= least) for c in own]
     if not len(terms[0]) or not len(terms[1]):
-        return Space({}, common, dim)
+        return Space(names, np.zeros((len(names) + 1, dim), np.float32))
     df = [c[t] for c, t in zip(own, terms, strict=True)]
     keep = (own[0][i] >= least) & (own[1][j] >= least)
     i, j, n = np.searchsorted(terms[0], i[keep]), np.searchsorted(terms[1], j[keep]), n[keep]
@@ -181,13 +227,11 @@ def _decomposed(i: np.ndarray, j: np.ndarray, n: np.ndarray, names: list[str], c
         q = np.linalg.qr(down(up(q)))[0]
     u, s, vt = np.linalg.svd(up(q).T, full_matrices=False)
     sides = ((q @ u)[:, :rank] * np.sqrt(s[:rank]), vt[:rank].T * np.sqrt(s[:rank]))
-    vectors = {}
+    matrix = np.zeros((len(names) + 1, dim), np.float32)
     for k, side in enumerate(sides):
         norm = np.maximum(np.linalg.norm(side, axis=1), 1e-6)
-        weight = np.log(1 + total / df[k])
-        for t, x in zip(terms[k].tolist(), (side / norm[:, None] * weight[:, None]).astype(np.float32), strict=True):
-            vectors[names[t - 1]] = np.pad(x, (0, dim - rank))
-    return Space(vectors, common, dim)
+        matrix[terms[k], :rank] = side / norm[:, None] * np.log(1 + total / df[k])[:, None]
+    return Space(names, matrix)
 
 
 def _times(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_rows: int, q: np.ndarray, step: int = 50_000) -> np.ndarray:
@@ -211,26 +255,24 @@ class Side:
         return Side(self.vectors[i] + self.vectors[j], np.maximum(self.marks[i], self.marks[j]))
 
 
-def sides(space: Space, a: list[str], b: list[str]) -> tuple[Side, Side]:
-    parts = [[analysed(s, space.common) for s in texts] for texts in (a, b)]
-    names: dict[str, int] = {}
-    for p in parts:
-        for _, marks in p:
-            for m in marks:
-                names.setdefault(m, len(names))
+def sides(space: Space, a: list[tuple], b: list[tuple]) -> tuple[Side, Side]:
+    """Two sides' sentences (row, sent, h, terms, marks, weights) as arrays."""
+    number: dict[int, int] = {}
+    for x in (*a, *b):
+        for m in x[4]:
+            number.setdefault(m, len(number))
     out = []
-    for p in parts:
-        w = np.zeros((len(p), len(names)), np.float32)
-        for i, (_, marks) in enumerate(p):
-            for m, x in marks.items():
-                w[i, names[m]] = x
-        out.append(Side(np.stack([space.embed(t) for t, _ in p]), w))
+    for side in (a, b):
+        w = np.zeros((len(side), len(number)), np.float32)
+        for i, x in enumerate(side):
+            w[i, [number[m] for m in x[4]]] = x[5]
+        out.append(Side(space.embed([x[3] for x in side]), w))
     return out[0], out[1]
 
 
-def scores(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scores(a: Side, b: Side, weight: float, least_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all pairs of sentences of two sides: the score, the share of the lighter one's marks that both have, and the
-    weight of the marks that both have."""
+    weight of the marks that both have. `weight` is the marks' part of a score; pairs below `least_cosine` have none."""
     unit = [x.vectors / np.maximum(np.linalg.norm(x.vectors, axis=1), 1e-6)[:, None] for x in (a, b)]
     cosine = unit[0] @ unit[1].T
     shared = np.sqrt(a.marks) @ np.sqrt(b.marks).T
@@ -238,35 +280,72 @@ def scores(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lighter, heavier = np.minimum.outer(total[0], total[1]), np.maximum.outer(total[0], total[1])
     inside, alike = shared / np.maximum(lighter, 1), shared / np.maximum(heavier, 1)
     bare = (lighter == 0) & (heavier < 2)
-    mark = np.where(bare, 0.5 * (cosine > 0.6), 0.5 * inside + 0.5 * alike)
-    return 0.5 * cosine + 0.5 * mark, np.where(bare, 1.0, inside), np.where(bare, np.where(cosine > 0.6, 2.0, 0.0), shared)
+    mark = np.where(bare, cosine > 0.6, 0.5 * inside + 0.5 * alike)
+    score = np.where(cosine >= least_cosine, (1 - weight) * cosine + weight * mark, 0)
+    return score, np.where(bare, 1.0, inside), np.where(bare, np.where(cosine > 0.6, 2.0, 0.0), shared)
 
 
-def candidates(space: Space, a: list[tuple], b: list[tuple], keep: int = 4) -> list[tuple]:
-    """The best candidates of each sentence (row, sent, h, text, core) of either side: ha, hb, score, inside, shared. Where
-    a window of two neighbouring sentences fits better than either of them alone, the pair takes the window's score.
-    Sentences that are not core only take part in windows. Ties go by h, not by place, so that blocks agree."""
-    one, other = sides(space, [x[3] for x in a], [x[3] for x in b])
-    s, inside, shared = scores(one, other)
+def candidates(space: Space, a: list[tuple], b: list[tuple], keep: int, weight: float, least_cosine: float) -> list[tuple]:
+    """The best candidates of each sentence (row, sent, h, terms, marks, weights, core) of either side: ha, hb, score, inside,
+    shared. Where a window of two neighbouring sentences fits better than either of them alone, the pair takes the window's
+    score. Sentences that are not core only take part in windows. Ties go by h, not by place, so that blocks agree."""
+    one, other = sides(space, a, b)
+    s, inside, shared = scores(one, other, weight, least_cosine)
     best = s.copy()
     for rows, own, opposite, flip in ((a, one, other, False), (b, other, one, True)):
         if not (pairs := _following(rows)):
             continue
-        m = scores(own.merged(pairs), opposite)[0]
-        single, view = (s.T, best.T) if flip else (s, best)
-        for k, (i, j) in enumerate(pairs):
-            # each of the two gains where it has a share in the window's fit
-            for x in (i, j):
-                fits = (m[k] > single[[i, j]].max(0) + 0.02) & ((inside.T if flip else inside)[x] >= 0.6) & ((shared.T if flip else shared)[x] >= 1)
-                view[x] = np.where(fits, np.maximum(view[x], m[k]), view[x])
-    ka, kb = (np.array(sorted((k for k, x in enumerate(rows) if x[4]), key=lambda k: rows[k][2]), np.int64) for rows in (a, b))
-    best = np.round(best, 5)
+        m = scores(own.merged(pairs), opposite, weight, least_cosine)[0]
+        single, view, ins, sh = (s.T, best.T, inside.T, shared.T) if flip else (s, best, inside, shared)
+        i, j = np.array(pairs).T
+        better = m > np.maximum(single[i], single[j]) + 0.02
+        for x in (i, j):  # each of the two gains where it has a share in the window's fit
+            np.maximum.at(view, x, np.where(better & (ins[x] >= 0.6) & (sh[x] >= 1), m, 0))
+    ka, kb = (np.array(sorted((k for k, x in enumerate(rows) if x[6]), key=lambda k: rows[k][2]), np.int64) for rows in (a, b))
+    best = np.round(best.astype(np.float64), 5)
     core = best[np.ix_(ka, kb)]
     top = [np.argsort(-core, axis=1, kind="stable")[:, :keep], np.argsort(-core, axis=0, kind="stable")[:keep].T]
     out = {(int(ka[i]), int(kb[j])) for i, js in enumerate(top[0]) for j in js} | {(int(ka[i]), int(kb[j])) for j, is_ in enumerate(top[1]) for i in is_}
     return [(a[i][2], b[j][2], float(best[i, j]), float(inside[i, j]), float(shared[i, j])) for i, j in sorted(out)]
 
 
+def chosen(found: list[tuple], keep: int, least: float) -> list[tuple[int, int, float]]:
+    """The candidates (ha, hb, score, inside, shared) of one note that pair up: ha, hb, score."""
+    ranks: list[dict[tuple, int]] = []
+    seconds: list[dict[int, float]] = []
+    for side in (0, 1):
+        by: dict[int, list[tuple]] = defaultdict(list)
+        for x in found:
+            by[x[side]].append(x)
+        rank: dict[tuple, int] = {}
+        second: dict[int, float] = {}
+        for h, own in by.items():
+            own.sort(key=lambda x: (-x[2], x[0], x[1]))
+            rank |= {x[:2]: n for n, x in enumerate(own, 1)}
+            rest = [x[2] for x in own[1:keep]]
+            second[h] = sum(rest) / len(rest) if rest else 0.0
+        ranks.append(rank)
+        seconds.append(second)
+    out = []
+    for ha, hb, score, inside, shared in found:
+        firsts = [r[ha, hb] == 1 for r in ranks]
+        margin = score - (seconds[0][ha] + seconds[1][hb]) / 2
+        mutual = all(firsts) and margin >= 0.05
+        partly = any(firsts) and inside >= 0.6 and shared >= 1.5 and (margin >= 0.05 or inside >= 0.8)
+        if score >= least and (mutual or partly):
+            out.append((ha, hb, score))
+    return out
+
+
+def matched(space: Space, sides_: tuple[list[tuple], list[tuple]], places: tuple[dict, dict], keep: int, least: float, weight: float, least_cosine: float) -> Iterator[tuple]:
+    """The pairs of a packed note: row_a, sent_a, row_b, sent_b, score."""
+    a, b = ([(*x, True) for x in side] for side in sides_)
+    for ha, hb, score in chosen(candidates(space, a, b, keep, weight, least_cosine), keep, least):
+        for p in places[0][ha]:
+            for q in places[1][hb]:
+                yield (*min(p, q), *max(p, q), score)
+
+
 def _following(rows: list[tuple]) -> list[tuple[int, int]]:
     place = {(x[0], x[1]): k for k, x in enumerate(rows)}
     return [(k, place[r, n + 1]) for (r, n), k in place.items() if (r, n + 1) in place]
@@ -279,53 +358,88 @@ def mirror_key(path: Column) -> Column:
     return F.when(found == "", None).otherwise(found)
 
 
-def sentence_rows(notes: DataFrame) -> DataFrame:
-    """The sentences of rows of mirrored notes: key, side, row, sent, text, h."""
-    known = notes.select("note_row", "text", "title", "modified_at", mirror_key(F.col("source_path")).alias("own"))
-    named = known.filter("own IS NOT NULL AND title IS NOT NULL AND modified_at IS NOT NULL").groupBy("title", "modified_at").agg(F.min("own").alias("by_title"), F.count_distinct("own").alias("n")).filter("n = 1").drop("n")
-    lost = known.filter("own IS NULL AND title IS NOT NULL").join(named, ["title", "modified_at"]).select("note_row", "text", F.col("by_title").alias("key"))
-    keyed = known.filter("own IS NOT NULL").select("note_row", "text", F.col("own").alias("key")).unionByName(lost).filter("text IS NOT NULL")
+def keyed_rows(notes: DataFrame) -> DataFrame:
+    """The rows of notes with a number: key, row, text, n (no fewer than its sentences)."""
+    known = notes.select(F.col("note_row").alias("row"), "text", "title", "modified_at", mirror_key(F.col("source_path")).alias("own"))
+    named = known.filter("own IS NOT NULL AND title IS NOT NULL AND modified_at IS NOT NULL").groupBy("title", "modified_at").agg(F.min("own").alias("by_title"), F.max("own").alias("other")).filter("by_title = other")
+    lost = known.filter("own IS NULL AND title IS NOT NULL").join(named, ["title", "modified_at"]).select("row", "text", F.col("by_title").alias("key"))
+    keyed = known.filter("own IS NOT NULL").select("row", "text", F.col("own").alias("key")).unionByName(lost).filter("text IS NOT NULL")
+    return keyed.withColumn("n", F.regexp_count("text", F.lit(r"(?U)[.!?]\s")) + 1)
+
+
+def align(notes: DataFrame, block_rows: int = 1500, least: float = LEAST, keep: int = 4, weight: float = WEIGHT, least_cosine: float = LEAST_COSINE, most_broadcast: int = 100_000) -> DataFrame:
+    """Pairs of sentences that say the same: row_a, sent_a, row_b, sent_b (row_a < row_b), score."""
+    sc = notes.sparkSession.sparkContext
+    keyed = cut(keyed_rows(notes))
+    lower = keyed.select("text").mapInPandas(_per_batch(_lower_words), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter("n >= 3")
+    names = sorted(r.w for r in lower.select("w").collect())
+    number = sc.broadcast({w: k for k, w in enumerate(names, 1)})
+    sizes = keyed.groupBy("key").agg(F.sum("n").alias("n"))
+    heavy = cut(sizes.filter(F.col("n") > block_rows).select("key"))
+    many = heavy.count()
+    sent = F.broadcast(heavy) if many <= most_broadcast else heavy
+
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        own: tuple[dict, dict] = ({}, {})
+        places: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+        for row, text in sorted(zip(group["row"].tolist(), group["text"], strict=True)):
+            for side, r, n, h, *rest in parsed(row, text, number.value):
+                own[side].setdefault(h, (r, n, h, *rest))
+                places[side][h].append((r, n))
+        if not own[0] or not own[1]:
+            return pd.DataFrame({"body": pd.Series([], dtype="object")})
+        return pd.DataFrame({"body": [pickle.dumps(((list(own[0].values()), list(own[1].values())), places))]})
+
+    light = keyed.join(sent, "key", "left_anti") if many else keyed
+    packed = cut(light.select("key", "row", "text").groupBy("key").applyInPandas(pack, "body binary"))
+    rows = cut(_large_rows(keyed.join(sent, "key", "left_semi"), number)) if many else None
+    space = sc.broadcast(fit(packed, rows, names))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [x for body in batch["body"] for x in matched(space.value, *pickle.loads(body), keep, least, weight, least_cosine)]
+            yield pd.DataFrame(out, columns=["row_a", "sent_a", "row_b", "sent_b", "score"])
+
+    out = packed.mapInPandas(match, PAIRS)
+    return out if rows is None else out.unionByName(_large_pairs(rows, space, block_rows, keep, least, weight, least_cosine))
+
+
+PAIRS = "row_a bigint, sent_a int, row_b bigint, sent_b int, score double"
+
+
+def _large_rows(keyed: DataFrame, number) -> DataFrame:
+    """The parsed sentences of large notes: key, side, row, sent, h, terms, marks, weights."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row, text, key in batch.itertuples(index=False):
-                body = text.partition("\n")[2]
-                side = int(is_cyrillic(body))
-                out += [(key, side, row, n, " ".join(s.split())) for n, s in enumerate(sentences(body), 1)]
-            yield pd.DataFrame(out, columns=["key", "side", "row", "sent", "text"])
+            out = [(key, *x) for key, row, text in batch.itertuples(index=False) for x in parsed(row, text, number.value)]
+            yield pd.DataFrame(out, columns=["key", "side", "row", "sent", "h", "terms", "marks", "weights"])
 
-    rows = keyed.mapInPandas(run, "key string, side int, row bigint, sent int, text string")
-    return rows.withColumn("h", F.xxhash64("text"))
+    return keyed.select("key", "row", "text").mapInPandas(run, "key string, side int, row bigint, sent int, h bigint, terms array<int>, marks array<bigint>, weights array<float>")
 
 
-def align(notes: DataFrame, block_rows: int = 1500, least: float = 0.42, keep: int = 4) -> DataFrame:
-    """Pairs of sentences that say the same: row_a, sent_a, row_b, sent_b (row_a < row_b), score."""
-    all_rows = cut(sentence_rows(notes))
-    counts = all_rows.groupBy("key").agg(F.count_distinct(F.when(F.col("side") == 0, F.col("h"))).alias("n0"), F.count_distinct(F.when(F.col("side") == 1, F.col("h"))).alias("n1")).filter("n0 > 0 AND n1 > 0")
-    sized = counts.select("key", F.ceil(F.col("n0") / block_rows).cast("int").alias("parts0"), F.ceil(F.col("n1") / block_rows).cast("int").alias("parts1"))
+def _large_pairs(rows: DataFrame, space, block_rows: int, keep: int, least: float, weight: float, least_cosine: float) -> DataFrame:
+    """The pairs of large notes, block by block."""
     # one copy of a sentence that a side of a note has several times, the earliest
-    units = cut(all_rows.groupBy("key", "side", "h").agg(F.min_by(F.struct("row", "sent", "text"), F.struct("row", "sent")).alias("u")).select("key", "side", "h", "u.*").join(sized, "key"))
-    space = notes.sparkSession.sparkContext.broadcast(fit(units))
-    single = F.array(F.struct(F.lit(0).alias("own"), F.lit(True).alias("core")))
-    small = units.filter("parts0 = 1 AND parts1 = 1").withColumn("in", single)
-    large = numbered(units.filter("parts0 > 1 OR parts1 > 1"), ["key", "side"], ["row", "sent"], [F.floor(F.col("row") / 1000)], "at")
+    first = rows.groupBy("key", "side", "h").agg(F.min_by(F.struct("row", "sent", "terms", "marks", "weights"), F.struct("row", "sent")).alias("u")).select("key", "side", "h", "u.*")
+    units = cut(numbered(first, ["key", "side"], ["row", "sent"], [F.floor(F.col("row") / 1000)], "at"))
+    sized = units.groupBy("key").agg(F.max(F.when(F.col("side") == 0, F.col("at"))).alias("m0"), F.max(F.when(F.col("side") == 1, F.col("at"))).alias("m1")).filter("m0 IS NOT NULL AND m1 IS NOT NULL")
+    parts_of = lambda c: (F.floor(F.col(c) / block_rows) + 1).cast("int")
+    placed = units.join(sized.select("key", parts_of("m0").alias("parts0"), parts_of("m1").alias("parts1")), "key")
     block, parts = F.floor(F.col("at") / block_rows).cast("int"), F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1"))
     place = lambda x, core: F.struct(x.alias("own"), F.lit(core).alias("core"))
     before = F.when((F.col("at") % block_rows == 0) & (block > 0), place(block - 1, False))
     after = F.when((F.col("at") % block_rows == block_rows - 1) & (block + 1 < parts), place(block + 1, False))
-    large = large.withColumn("in", F.array_compact(F.array(place(block, True), before, after)))
     others = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1)
-    wide = small.unionByName(large.select(*small.columns)).withColumn("in", F.explode("in")).withColumn("other", F.explode(others))
+    wide = placed.withColumn("in", F.explode(F.array_compact(F.array(place(block, True), before, after)))).withColumn("other", F.explode(others))
     own, other = F.col("in.own"), F.col("other")
-    spread = wide.select("key", "side", "h", "row", "sent", "text", F.col("in.core").alias("core"), F.when(F.col("side") == 0, own).otherwise(other).alias("part0"), F.when(F.col("side") == 0, other).otherwise(own).alias("part1"))
+    spread = wide.select("key", "side", "row", "sent", "h", "terms", "marks", "weights", F.col("in.core").alias("core"), F.when(F.col("side") == 0, own).otherwise(other).alias("part0"), F.when(F.col("side") == 0, other).otherwise(own).alias("part1"))
+    columns = ["row", "sent", "h", "terms", "marks", "weights", "core"]
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        names = ["key", "ha", "hb", "score", "inside", "shared"]
-        rows = sorted(zip(group["side"].tolist(), group["row"].tolist(), group["sent"].tolist(), group["h"].tolist(), group["text"].tolist(), group["core"].tolist(), strict=True))
-        a, b = ([x[1:] for x in rows if x[0] == side] for side in (0, 1))
-        found = candidates(space.value, a, b, keep) if a and b else []
-        return pd.DataFrame([(group["key"].iat[0], *x) for x in found], columns=names)
+        a, b = (sorted(group.loc[group["side"] == side, columns].itertuples(index=False, name=None), key=lambda x: x[:2]) for side in (0, 1))
+        found = candidates(space.value, a, b, keep, weight, least_cosine) if a and b else []
+        return pd.DataFrame([(group["key"].iat[0], *x) for x in found], columns=["key", "ha", "hb", "score", "inside", "shared"])
 
     found = spread.groupBy("key", "part0", "part1").applyInPandas(match, "key string, ha bigint, hb bigint, score double, inside double, shared double")
     wa, wb = Window.partitionBy("key", "ha"), Window.partitionBy("key", "hb")
@@ -336,11 +450,11 @@ def align(notes: DataFrame, block_rows: int = 1500, least: float = 0.42, keep: i
     # one-sided: the rest of a merged sentence, or the merged sentence of a part
     partly = ((F.col("ra") == 1) | (F.col("rb") == 1)) & (F.col("score") >= least) & (F.col("inside") >= 0.6) & (F.col("shared") >= 1.5) & ((margin >= 0.05) | (F.col("inside") >= 0.8))
     paired = ranked.filter(mutual | partly).select("key", "ha", "hb", "score")
-    a = all_rows.filter("side = 0").select("key", F.col("h").alias("ha"), F.col("row").alias("r0"), F.col("sent").alias("s0"))
-    b = all_rows.filter("side = 1").select("key", F.col("h").alias("hb"), F.col("row").alias("r1"), F.col("sent").alias("s1"))
+    a = rows.filter("side = 0").select("key", F.col("h").alias("ha"), F.col("row").alias("r0"), F.col("sent").alias("s0"))
+    b = rows.filter("side = 1").select("key", F.col("h").alias("hb"), F.col("row").alias("r1"), F.col("sent").alias("s1"))
     both = paired.join(a, ["key", "ha"]).join(b, ["key", "hb"])
-    first = F.col("r0") < F.col("r1")
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    first_ = F.col("r0") < F.col("r1")
+    pick = lambda x, y: F.when(first_, F.col(x)).otherwise(F.col(y))
     return both.select(pick("r0", "r1").alias("row_a"), pick("s0", "s1").alias("sent_a"), pick("r1", "r0").alias("row_b"), pick("s1", "s0").alias("sent_b"), "score")
 
 

@@ -1,5 +1,6 @@
 """The operators do the whole job: copies, shared passages, large groups."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,40 +32,68 @@ def test_a_line_repeated_in_one_item_stays(spark):
     assert _leaks(spark, [(1, f"{line}\n{line}\n{line}\nWhy?")], [(1, f"So. {line} {line} {line} End."), (2, "Else.")]) == {(1, 1)}
 
 
+def _notes(spark, rows):
+    return spark.createDataFrame(rows, "note_row bigint, text string, source_path string, title string").withColumn("modified_at", F.lit("2025-01-01").cast("timestamp"))
+
+
+def _aligned(df, **how):
+    return {(x.row_a, x.sent_a, x.row_b, x.sent_b) for x in alignment.align(df, **how).collect()}
+
+
+def _alike(packed, large, names, **how):
+    return alignment.Space(names, np.ones((len(names) + 1, 4), np.float32))
+
+
 @pytest.mark.parametrize("block_rows", [7, 8, 1500])
 def test_windows_reach_over_blocks(spark, monkeypatch, block_rows):
     """A sentence that two say in the other language pairs with both, in one block or in many."""
-    monkeypatch.setattr(alignment, "fit", lambda *a, **k: alignment.Space({}, frozenset(), 96))
+    monkeypatch.setattr(alignment, "fit", _alike)
     rows = []
     for r in range(3):
         ks = range(10 * r, 10 * r + 10)
-        rows.append((r + 1, "Title\n" + " ".join(f"Form AB-{k} goes with CD-{k}." for k in ks), "EN/1. M/1.1. Note.md", "n", "EN"))
-        rows.append((r + 4, "Заголовок\n" + " ".join(f"Акт AB-{k} є тут. Акт CD-{k} є там." for k in ks), "UA/1. М/1.1. Нотатка.md", "н", "UA"))
-    df = spark.createDataFrame(rows, "note_row bigint, text string, source_path string, title string, language_branch string").withColumn("modified_at", F.lit("2025-01-01").cast("timestamp"))
-    got = {(x.row_a, x.sent_a, x.row_b, x.sent_b) for x in alignment.align(df, block_rows=block_rows).collect()}
+        rows.append((r + 1, "Title\n" + " ".join(f"Form AB-{k} goes with CD-{k}." for k in ks), "EN/1. M/1.1. Note.md", "n"))
+        rows.append((r + 4, "Заголовок\n" + " ".join(f"Акт AB-{k} є тут. Акт CD-{k} є там." for k in ks), "UA/1. М/1.1. Нотатка.md", "н"))
+    got = _aligned(_notes(spark, rows), block_rows=block_rows)
     assert got == {(r + 1, k + 1, r + 4, 2 * k + half) for r in range(3) for k in range(10) for half in (1, 2)}
 
 
-def test_space_takes_every_note_and_term(spark, monkeypatch):
+def test_marks_alone_pair_nothing(spark, monkeypatch):
+    """Without vectors there are no pairs, whatever the marks."""
+    monkeypatch.setattr(alignment, "fit", lambda packed, large, names, **k: alignment.Space(names, np.zeros((len(names) + 1, 4), np.float32)))
+    rows = [(1, "Title\nForm AB-1 goes with CD-1. Form AB-2 goes with CD-2.", "EN/1. M/1.1. Note.md", "n"), (2, "Заголовок\nАкт AB-1 є тут при CD-1. Акт AB-2 є там при CD-2.", "UA/1. М/1.1. Нотатка.md", "н")]
+    assert not _aligned(_notes(spark, rows * 3))
+
+
+def _captured(monkeypatch):
+    seen, fit = [], alignment.fit
+    monkeypatch.setattr(alignment, "fit", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    return seen
+
+
+@pytest.mark.parametrize("block_rows", [1500, 6])
+def test_space_takes_every_note_and_term(spark, monkeypatch, block_rows):
     """Notes of any number and size train, by the same marks, and every term that they have often enough counts."""
     words = [(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}", f"ж{chr(1072 + k // 26)}{chr(1072 + k % 26)}") for k in range(60)]
-    rows = [(f"1.{k % 3}", side, 1000 * k + side, f"Form AB-{k} {words[k % 60][side]} to CD-{k}." if side == 0 else f"Акт AB-{k} {words[k % 60][side]} до CD-{k}.") for k in range(240) for side in (0, 1)]
-    units = spark.createDataFrame(rows, "key string, side int, h bigint, text string")
-    space = alignment.fit(units)
-    assert {w for pair in words for w in pair} <= space.vectors.keys()
-    unit = lambda w: space.vectors[w] / (space.vectors[w] ** 2).sum() ** 0.5
+    say = lambda k, side: f"Form AB-{k} {words[k % 60][side]} to CD-{k}." if side == 0 else f"Акт AB-{k} {words[k % 60][side]} до CD-{k}."
+    rows = [(2 * n + side, "Title\n" + " ".join(say(k, side) for k in range(n, 240, 3)), f"{'EU'[side]}/1. M/1.{n}. Note.md", None) for n in range(3) for side in (0, 1)]
+    seen = _captured(monkeypatch)
+    _aligned(_notes(spark, rows), block_rows=block_rows)
+    space = seen[0]
+    assert {w for pair in words for w in pair} <= set(space.names)
+    unit = lambda w: space.vector(w) / (space.vector(w) ** 2).sum() ** 0.5
     assert all(max(words, key=lambda p: float(unit(a) @ unit(p[1])))[1] == b for a, b in words)
     # one mark alone trains at no size
-    assert not alignment.fit(units.withColumn("text", F.regexp_replace("text", r"CD-\d+", "it"))).vectors
+    _aligned(_notes(spark, [(r, t.replace("CD-", "") if t else t, p, x) for r, t, p, x in rows]).withColumn("text", F.regexp_replace("text", r"(to|до) \d+", "it")), block_rows=block_rows)
+    assert not seen[1].matrix.any()
 
 
-def test_space_of_a_note_above_block_rows(spark, monkeypatch):
-    """Each size of block gives the same training, so a large note trains, too."""
-    seen = []
-    fit = alignment.fit
-    monkeypatch.setattr(alignment, "fit", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
-    rows = [(1, "Title\n" + " ".join(f"Form AB-{k} goes with value to CD-{k}." for k in range(20)), "EN/1. M/1.1. Note.md", "n"), (2, "Заголовок\n" + " ".join(f"Акт AB-{k} має таке значення до CD-{k}." for k in range(20)), "UA/1. М/1.1. Нотатка.md", "н")]
-    df = spark.createDataFrame(rows, "note_row bigint, text string, source_path string, title string").withColumn("modified_at", F.lit("2025-01-01").cast("timestamp"))
-    got = [{tuple(x)[:4] for x in alignment.align(df, block_rows=n).collect()} for n in (1500, 6)]
-    assert got[0] == got[1]
-    assert seen[0].vectors.keys() == seen[1].vectors.keys() >= {"value", "значення"}
+def test_large_and_packed_notes_pair_alike(spark, monkeypatch):
+    """Each size of block gives the same training and the same pairs; repeated rows and sentences pair each."""
+    seen = _captured(monkeypatch)
+    words = [("value", "значення"), ("table", "таблиця"), ("list", "перелік"), ("drawer", "шухляда")]
+    rows = [(1, "Title\n" + " ".join(f"Form AB-{k} has a {words[k % 4][0]} to CD-{k}." for k in range(20)), "EN/1. M/1.1. Note.md", "n"), (2, "Заголовок\n" + " ".join(f"Акт AB-{k} має {words[k % 4][1]} до CD-{k}." for k in range(20)), "UA/1. М/1.1. Нотатка.md", "н")]
+    df = _notes(spark, [*rows, (3, *rows[0][1:]), (4, None, "EN/1. M/1.1. Note.md", "n"), (5, "One line", None, None)])
+    got = [_aligned(df, block_rows=n) for n in (1500, 6)]
+    assert got[0] == got[1] == {x for k in range(1, 21) for x in ((1, k, 2, k), (2, k, 3, k))}
+    assert (seen[0].matrix == seen[1].matrix).all()
+    assert {"value", "значення"} <= set(seen[0].names)
