@@ -43,6 +43,7 @@ from quillmere.session import cut, table
 _CODE = re.compile(r"\b[A-Z]{2,3}-\d+\b")
 _NUMBER = re.compile(r"\d[\d.,   ]*\d|\d")
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
+_CYRILLIC, _LETTER = re.compile("[Ѐ-ӿ]"), re.compile(r"[^\W\d_]")
 #: Cyrillic letters as Latin consonants (vowels and signs have none).
 CONSONANTS = {"б": "b", "в": "v", "г": "", "ґ": "g", "д": "d", "ж": "z", "з": "z", "й": "", "к": "k", "л": "l", "м": "m", "н": "n", "п": "p", "р": "r", "с": "s", "т": "t", "ф": "f", "х": "", "ц": "k", "ч": "k", "ш": "s", "щ": "s"}
 _LATIN = {"c": "k", "q": "k", "x": "ks", "w": "v", "h": "", "j": "", "y": "", **dict.fromkeys("aeiou", "")}
@@ -52,6 +53,7 @@ _LATIN = {"c": "k", "q": "k", "x": "ks", "w": "v", "h": "", "j": "", "y": "", **
 LEAST, WEIGHT, LEAST_COSINE = 0.4, 0.4, 0.2
 
 
+@lru_cache(1 << 16)
 def consonants(name: str) -> str:
     """A name's consonants, the same for a Latin name and its transliteration."""
     low = re.sub(r"qu(?=[aeiouy])", "kv", name.lower().translate(FOLD))
@@ -60,8 +62,7 @@ def consonants(name: str) -> str:
 
 
 def is_cyrillic(text: str) -> bool:
-    a = sum("Ѐ" <= c <= "ӿ" for c in text)
-    return 2 * a > sum(c.isalpha() for c in text)
+    return 2 * len(_CYRILLIC.findall(text)) > len(_LETTER.findall(text))
 
 
 def analysed(sentence: str, common: frozenset[str] = frozenset()) -> tuple[list[str], dict[str, float]]:
@@ -379,19 +380,31 @@ def align(notes: DataFrame, block_rows: int = 1500, least: float = LEAST, keep:
     many = heavy.count()
     sent = F.broadcast(heavy) if many <= most_broadcast else heavy
 
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def packed_note(rows: list[tuple[int, str]]) -> bytes | None:
         own: tuple[dict, dict] = ({}, {})
         places: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
-        for row, text in sorted(zip(group["row"].tolist(), group["text"], strict=True)):
+        for row, text in rows:
             for side, r, n, h, *rest in parsed(row, text, number.value):
                 own[side].setdefault(h, (r, n, h, *rest))
                 places[side][h].append((r, n))
-        if not own[0] or not own[1]:
-            return pd.DataFrame({"body": pd.Series([], dtype="object")})
-        return pd.DataFrame({"body": [pickle.dumps(((list(own[0].values()), list(own[1].values())), places))]})
+        return pickle.dumps(((list(own[0].values()), list(own[1].values())), places)) if own[0] and own[1] else None
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a note's rows follow one another
+        last, held = None, []
+        for batch in batches:
+            out = []
+            for key, row, text in batch.itertuples(index=False):
+                if key != last and held:
+                    out.append(packed_note(held))
+                    held = []
+                last = key
+                held.append((row, text))
+            yield pd.DataFrame({"body": [x for x in out if x]})
+        yield pd.DataFrame({"body": [x for x in [packed_note(held)] if x]})
 
     light = keyed.join(sent, "key", "left_anti") if many else keyed
-    packed = cut(light.select("key", "row", "text").groupBy("key").applyInPandas(pack, "body binary"))
+    packed = cut(light.select("key", "row", "text").repartition("key").sortWithinPartitions("key", "row").mapInPandas(pack, "body binary"))
     rows = cut(_large_rows(keyed.join(sent, "key", "left_semi"), number)) if many else None
     space = sc.broadcast(fit(packed, rows, names))
 
