@@ -8,7 +8,10 @@ Training takes no labels: sentences that hold more of one language's function wo
 (Cyrillic script counts as Ukrainian) teach that language's n-grams. It reads at most `train_rows` rows of at most
 `train_chars` characters, those with the smallest hashes; every row, whole, is then scored.
 
-Defined results: a null, empty or proseless text (numbers, codes, links only) has no stretch; a text of any
+A text without prose (no sentence of three words) is one stretch, its heading and body together, with a confidence that
+its few n-grams lower; where none of them is known, script decides, with a confidence of 0.
+
+Defined results: a null or empty text, or one without any word (numbers, codes, links only), has no stretch; a text of any
 length is scored whole; repeated rows give a result each; an empty table gives an empty result.
 """
 
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import FOLD, LANGUAGES, codes, gram_hashes, language_label, sentences
@@ -38,7 +41,7 @@ _NOT_LETTER = re.compile(r"[\W\d_]+")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 SIZES = (3, 4, 5)
-FIT_COLUMNS = "`{id}` bigint, stretch int, lang string, confidence double, n_sentences int, n_stretches int, first_sentence int"
+FIT_COLUMNS = "`{id}` bigint, stretch int, lang string, confidence double, n_sentences int, n_stretches int, first_sentence int, prose boolean"
 
 
 def plain(text: str) -> str:
@@ -139,28 +142,27 @@ def score(filter_: Filter, clean: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(0, hits - total[:, None] * false) / (1 - false), total
 
 
-def stretches(text: str | None) -> tuple[list[str], list[int]]:
-    """The cleaned sentences of a text and their numbers (1-based); the first line is left out where
-    text follows it. No prose, no sentences."""
+def stretches(text: str | None) -> tuple[list[str], bool]:
+    """The cleaned sentences of a text and whether they are prose; the first line is left out where prose follows it.
+    A text without prose is one sentence, one without words none."""
     if not text:
-        return [], []
+        return [], False
     head, _, body = text.partition("\n")
     parts = sentences(body)
     clean = [plain(s) for s in parts]
-    if not any(len(_WORD.findall(c)) >= 3 for c in clean):
-        clean = [plain(head)] if not body.strip() else []
-        if not any(len(_WORD.findall(c)) >= 4 for c in clean):
-            return [], []
-    return clean, list(range(1, len(clean) + 1))
-
-
-def score_batch(filter_: Filter, ids: pd.Series, texts: pd.Series, id_name: str) -> pd.DataFrame:
-    """The stretches of a batch of texts."""
-    rows, clean, number = [], [], []
-    for k, text in enumerate(texts):
-        c, n = stretches(text)
+    if any(len(_WORD.findall(c)) >= 3 for c in clean):
+        return clean, True
+    whole = plain(text)
+    return [whole] if _WORD.search(whole) else [], not body.strip() and len(_WORD.findall(plain(head))) >= 4
+
+
+def score_batch(filter_: Filter, batch: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """The stretches of a batch of rows: id, text and what else goes with them."""
+    rows, clean, prose = [], [], []
+    for k, text in enumerate(batch.iloc[:, 1]):
+        c, p = stretches(text)
         clean += c
-        number += n
+        prose.append(p)
         rows += [k] * len(c)
     out: list[tuple] = []
     if clean:
@@ -169,22 +171,29 @@ def score_batch(filter_: Filter, ids: pd.Series, texts: pd.Series, id_name: str)
         best, second = (np.take_along_axis(hits, order[:, k : k + 1], 1)[:, 0] for k in (0, 1))
         margin = (best - second) / np.maximum(1, total)
         sure = (margin >= 0.08) & (total >= 12)
-        values, start = ids.to_numpy(), 0
+        start = 0
         for end in range(1, len(rows) + 1):
             if end < len(rows) and rows[end] == rows[start]:
                 continue
-            out += _runs(values[rows[start]], start, end, order[:, 0], sure, best, second, number)
+            k = rows[start]
+            value = (batch.iat[k, 0], *batch.iloc[k, 2:])
+            if prose[k]:
+                out += [(*value, *x, True) for x in _runs(start, end, order[:, 0], sure, best, second)]
+            elif best[start] > 0:
+                share = best[start] / (best[start] + second[start]) * total[start] / (total[start] + 30)
+                out.append((*value, 1, LANGUAGES[order[start, 0]], float(share), 1, 1, 1, False))
+            else:
+                script = "uk" if _CYRILLIC.search(clean[start]) else LANGUAGES[0]
+                out.append((*value, 1, script, 0.0, 1, 1, 1, False))
             start = end
-    return pd.DataFrame(out, columns=[id_name, "stretch", "lang", "confidence", "n_sentences", "n_stretches", "first_sentence"])
+    return pd.DataFrame(out, columns=columns)
 
 
-def _runs(value, start, end, top, sure, best, second, number) -> list[tuple]:
+def _runs(start, end, top, sure, best, second) -> list[tuple]:
     """One row's stretches. A sentence that can't be told takes its forerunner's language, else its successor's."""
     lang: list[int | None] = [int(top[i]) if sure[i] else None for i in range(start, end)]
     if not any(x is not None for x in lang):
         i = max(range(start, end), key=lambda i: best[i] - second[i])
-        if best[i] <= 0:
-            return []
         lang[i - start] = int(top[i])
     for i in range(1, len(lang)):
         if lang[i] is None:
@@ -199,30 +208,31 @@ def _runs(value, start, end, top, sure, best, second, number) -> list[tuple]:
         runs[-1][2] += best[start + i] if top[start + i] == x else second[start + i]
         runs[-1][3] += second[start + i] if top[start + i] == x else best[start + i]
         runs[-1][4] += 1
-    return [(value, k, LANGUAGES[x], float(min(1.0, max(0.0, a / (a + b) if a + b else 0.0))), n, len(runs), number[start + i]) for k, (x, i, a, b, n) in enumerate(runs, 1)]
+    return [(k, LANGUAGES[x], float(min(1.0, max(0.0, a / (a + b) if a + b else 0.0))), n, len(runs), i + 1) for k, (x, i, a, b, n) in enumerate(runs, 1)]
 
 
-def identify(df: DataFrame, id_col: str, text_col: str, train_rows: int = 6_000, train_chars: int = 10_000) -> DataFrame:
+def identify(df: DataFrame, id_col: str, text_col: str, train_rows: int = 6_000, train_chars: int = 10_000, label: Column | None = None) -> DataFrame:
     """For each text its stretches in one language: id, stretch, lang, confidence (the language's share of
-    its and its strongest rival's hits), n_sentences, n_stretches, first_sentence (1-based)."""
+    its and its strongest rival's hits), n_sentences, n_stretches, first_sentence (1-based), prose; `named`, if a label is given."""
     sample = df.filter(F.length(text_col).between(1, train_chars)).select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h").limit(train_rows)
     trained = df.sparkSession.sparkContext.broadcast(train([r.t for r in sample.collect()]))
 
+    schema = FIT_COLUMNS.format(id=id_col) if label is None else FIT_COLUMNS.format(id=id_col).replace("bigint,", "bigint, named string,", 1)
+    columns = [id_col, *(["named"] if label is not None else []), "stretch", "lang", "confidence", "n_sentences", "n_stretches", "first_sentence", "prose"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                yield score_batch(trained.value, part.iloc[:, 0], part.iloc[:, 1], id_col)
+                yield score_batch(trained.value, batch.iloc[at : at + 500], columns)
 
-    return df.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string")).filter(F.col(id_col).isNotNull()).mapInPandas(run, FIT_COLUMNS.format(id=id_col))
+    own = [F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("_text")]
+    return df.select(*own, *([label.alias("named")] if label is not None else [])).filter(F.col(id_col).isNotNull()).mapInPandas(run, schema)
 
 
 def mislabelled(df: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int = 6_000) -> DataFrame:
-    """The stretches of texts whose label names no language or another than the text's, or with more than one language."""
-    found = identify(df, id_col, text_col, train_rows)
-    labels = df.select(F.col(id_col).cast("bigint").alias(id_col), language_label(F.col(label_col)).alias("named"))
-    joined = found.join(labels, id_col)
-    return joined.filter((F.col("n_stretches") > 1) | F.col("named").isNull() | (F.col("named") != F.col("lang"))).select(id_col, "stretch", "lang", "confidence").distinct()
+    """The stretches of texts with prose whose label names no language or another than the text's, or with more than one language."""
+    found = identify(df, id_col, text_col, train_rows, label=language_label(F.col(label_col)))
+    return found.filter("prose").filter((F.col("n_stretches") > 1) | F.col("named").isNull() | (F.col("named") != F.col("lang"))).select(id_col, "stretch", "lang", "confidence").distinct()
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:

@@ -12,13 +12,13 @@ before `shared_lines` or more different lines which are longer than it. Copies a
 Verifying: an item's words count as held where runs of three words match along one diagonal near n-gram hits;
 up to two changed words between held ones are held too. A sentence of the item counts only if three quarters of
 the held stretch and half of its own numbers, codes and rare words match, so that sentences of the same form with
-other content don't. Documents with fewer hits than `hit_share` of an item's words are not verified: those that hold
-a third of an item have over twice as many even where every tenth word was changed. A leak holds at least `least` of the item's words.
+other content don't. Every document that has one n-gram of an item is verified,
+unless the item's runs of three words that stand anywhere in it can't suffice, sentence by sentence. A leak holds at least `least` of the item's words.
 
 Equal items are looked for once and reported under each of their ids; n-grams that many items have keep all of them,
 in lists that n-grams of one passage share.
 
-Items are few beside documents; they are sent to the workers `slice_items` at a time, in a pass for each slice.
+Items are few beside documents; they are sent to the workers about `slice_items` or `slice_bytes` at a time, in a pass for each slice.
 
 Defined results: null or empty texts hold nothing; texts of any length are scanned whole; repeated documents are
 reported each, under their own ids; items with fewer than n words are matched by all of them; empty tables give
@@ -156,6 +156,14 @@ class Items:
         self.sizes = np.array([len(x) for x in lists], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.owners = np.array([k for x in lists for k in x], np.int64)
+        # what bounds a leak, of all items one after another: runs of three words, sentences, rare words, words far from rare ones
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        self.run = flat([np.concatenate([grams(w, 3), np.zeros(min(2, len(w)), np.uint64)]) for w in self.words], np.uint64)
+        self.part = flat([(s != np.roll(s, 1)) | (np.arange(len(s)) == 0) for s in self.sentence], bool)
+        self.is_rare = flat(self.rare, bool)
+        self.free = flat([_far(r, s) for r, s in zip(self.rare, self.sentence, strict=True)], bool)
         self.lengths = sorted({min(n, len(w)) for w in self.words})
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[(self.unique & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -177,28 +185,46 @@ def _plain(line: str) -> str:
     return " ".join(line.split()).lower()
 
 
-def held(item: np.ndarray, sentence: np.ndarray, rare: np.ndarray, doc: np.ndarray, n: int, dense: float = 0.75) -> tuple[float, int, int]:
-    """The share of an item's words that a document holds, and the first and last of the document's words that hold them."""
+class Runs:
+    """The n-grams of a text's words in order of their hashes, and their places."""
+
+    def __init__(self, w: np.ndarray, n: int):
+        h = grams(w, n)
+        self.place = np.argsort(h, kind="stable")
+        self.hash = h[self.place]
+
+    def matches(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (place in h, place here) of equal n-grams."""
+        low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+        i = np.repeat(np.arange(len(h)), high - low)
+        return i, self.place[low[i] + np.arange(len(i)) - np.searchsorted(i, i)]
+
+
+def held(item: np.ndarray, sentence: np.ndarray, rare: np.ndarray, runs: dict[int, Runs], n: int, least: float = 0.0, dense: float = 0.75) -> tuple[float, int, int]:
+    """The share of an item's words that a document holds, and the first and last of the document's words that hold them.
+    `runs`: the document's n-grams, by n. Shares below `least` may come out as none."""
     n = min(n, len(item))
     short = min(3, n)
-    anchors = _matches(grams(item, n), grams(doc, n))
-    small = _matches(grams(item, short), grams(doc, short))
-    if not len(anchors):
+    i, j = runs[n].matches(grams(item, n))
+    if not len(i):
         return 0.0, 0, 0
-    diagonals = np.unique(anchors[:, 1] - anchors[:, 0])
+    diagonals = np.unique(j - i)
+    i, j = runs[short].matches(grams(item, short))
+    shift = j - i
     best = (0.0, 0, 0)
     for cluster in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > 4) + 1):
-        shift = small[:, 1] - small[:, 0]
-        near = small[(shift >= cluster[0] - 4) & (shift <= cluster[-1] + 4)]
+        near = (shift >= cluster[0] - 4) & (shift <= cluster[-1] + 4)
         covered, to = np.zeros(len(item), bool), np.full(len(item), -1)
         for k in range(short):
-            covered[near[:, 0] + k] = True
-            to[near[:, 0] + k] = near[:, 1] + k
+            covered[i[near] + k] = True
+            to[i[near] + k] = j[near] + k
         at = np.flatnonzero(covered)
         matched = covered.copy()
-        for a, b in zip(at, at[1:], strict=False):
-            if 1 < b - a <= 3 and abs((to[b] - to[a]) - (b - a)) <= 2:
-                covered[a:b] = True
+        gap = np.diff(at)
+        for k in np.flatnonzero((gap > 1) & (gap <= 3) & (np.abs(np.diff(to[at]) - gap) <= 2)).tolist():
+            covered[at[k] : at[k + 1]] = True
+        if covered.mean() <= best[0] or covered.mean() < least:
+            continue
         for s in np.unique(sentence[at]):
             own = np.flatnonzero((sentence == s) & covered)
             span = np.arange(own[0], own[-1] + 1)
@@ -212,18 +238,52 @@ def held(item: np.ndarray, sentence: np.ndarray, rare: np.ndarray, doc: np.ndarr
     return best
 
 
-def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All (position in a, position in b) of equal values."""
-    order = np.argsort(a, kind="stable")
-    low, high = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    j = np.repeat(np.arange(len(b)), high - low)
-    if not len(j):
-        return np.zeros((0, 2), np.int64)
-    nth = np.arange(len(j)) - np.searchsorted(j, j)
-    return np.stack([order[low[j] + nth], j], 1)
+def _far(rare: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """The words that have no rare word of their sentence within two words."""
+    near = rare.copy()
+    for k in (1, 2):
+        same = sentence[k:] == sentence[:-k]
+        near[k:] |= rare[:-k] & same
+        near[:-k] |= rare[k:] & same
+    return ~near
+
+
+def possible(items: Items, w: np.ndarray, owner: np.ndarray, pairs: np.ndarray, least: float, most: int = 2_000_000) -> np.ndarray:
+    """Which of the pairs (document, item) may be leaks. `held` counts words that runs of three cover, and gaps of up to two
+    between such; in sentences of which no rare word is covered only those far from rare words. No leak is lost: here runs
+    count wherever they stand in the document, and runs that only look alike by their hash count, too."""
+    bits = np.uint64((1 << 24) - 1)
+    key = lambda runs, docs: ((runs + docs.astype(np.uint64) * MIX) * MIX >> np.uint64(40)) & bits
+    table = np.zeros(1 << 24, bool)
+    runs = grams(w, 3)
+    table[key(runs, owner[: len(runs)]).astype(np.int64)] = True
+    out = np.ones(len(pairs), bool)
+    sizes = items.size[pairs[:, 1]]
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < len(pairs):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right")))
+        n, own = sizes[begin:end], pairs[begin:end]
+        first = np.cumsum(n) - n
+        at = np.repeat(items.start[own[:, 1]] - first, n) + np.arange(n.sum())
+        left = np.repeat(first + n, n) - np.arange(len(at))
+        hit = table[key(items.run[at], np.repeat(own[:, 0], n)).astype(np.int64)] & (left >= 3)
+        covered = hit.copy()
+        for k in (1, 2):
+            covered[k:] |= hit[:-k]
+        filled = covered.copy()
+        filled[1:-1] |= covered[:-2] & covered[2:]
+        filled[1:-2] |= covered[:-3] & covered[3:]
+        filled[2:-1] |= covered[:-3] & covered[3:]
+        sentence = np.cumsum(items.part[at]) - 1
+        touched = np.bincount(sentence, covered & items.is_rare[at])[sentence] > 0
+        counted = np.add.reduceat((filled & (touched | items.free[at])).astype(np.int64), first)
+        out[begin:end] = (counted >= least * n - 1e-9) | (n < 3)
+        begin = end
+    return out
 
 
-def scan(items: Items, ids: list[int], texts: list[str], least: float, hit_share: float = 0.08) -> list[tuple]:
+def scan(items: Items, ids: list[int], texts: list[str], least: float) -> list[tuple]:
     """The leaks in a batch of documents."""
     out: list[tuple] = []
     w, owner = words(texts)
@@ -239,19 +299,22 @@ def scan(items: Items, ids: list[int], texts: list[str], least: float, hit_share
     found = np.unique(np.concatenate(seen), axis=0)
     if not len(found):
         return out
-    # different n-grams of a document by list of owners, then by owner
-    of, many = np.unique(found[:, :2], axis=0, return_counts=True)
+    # documents with n-grams of lists of owners, then of owners
+    of = np.unique(found[:, :2], axis=0)
     reps = items.sizes[of[:, 1]]
     nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
     each = np.stack([np.repeat(of[:, 0], reps), items.owners[np.repeat(items.first[of[:, 1]], reps) + nth]], 1)
-    pairs, place = np.unique(each, axis=0, return_inverse=True)
-    count = np.bincount(place.ravel(), np.repeat(many, reps)).astype(np.int64)
+    pairs = np.unique(each, axis=0)
     begin = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for (d, k), c in zip(pairs.tolist(), count.tolist(), strict=True):
+    last, runs = -1, {}
+    for d, k in pairs[possible(items, w, owner, pairs, least)].tolist():
         item = items.words[k]
-        if c < hit_share * len(item):
-            continue
-        share, a, b = held(item, items.sentence[k], items.rare[k], w[begin[d] : begin[d + 1]], items.n)
+        if d != last:
+            last, runs = d, {}
+        n = min(items.n, len(item))
+        for x in {n, min(3, n)} - runs.keys():
+            runs[x] = Runs(w[begin[d] : begin[d + 1]], x)
+        share, a, b = held(item, items.sentence[k], items.rare[k], runs, items.n, least)
         if share >= least:
             start, end = _span(texts[d], w[begin[d] : begin[d + 1]][a : b + 1])
             out += [(i, ids[d], share, start, end) for i in items.ids[k]]
@@ -265,13 +328,16 @@ def _span(text: str, stretch: np.ndarray) -> tuple[int, int]:
     hashes, owner = words([text[a:b] for a, b in places])
     raw = np.zeros(len(places), np.uint64)
     raw[owner[::-1]] = hashes[::-1]
-    found = _matches(grams(stretch, min(3, len(stretch))), grams(raw, min(3, len(stretch))))
-    if not len(found):
+    n = min(3, len(stretch))
+    i, j = Runs(raw, n).matches(grams(stretch, n))
+    if not len(i):
         return 0, len(text)
-    shift = found[:, 1] - found[:, 0]
-    near = np.abs(shift[:, None] - np.unique(shift)[None, :]) <= 12
-    found = found[near[:, near.sum(0).argmax()]]
-    return places[int(found[:, 1].min())][0], places[min(len(places) - 1, int(found[:, 1].max()) + 2)][1]
+    # the shift (or those up to 12 from it) that most have
+    named, count = np.unique(j - i, return_counts=True)
+    sums = np.concatenate([[0], np.cumsum(count)])
+    most = (sums[np.searchsorted(named, named + 12, "right")] - sums[np.searchsorted(named, named - 12)]).argmax()
+    j = j[np.abs(j - i - named[most]) <= 12]
+    return places[int(j.min())][0], places[min(len(places) - 1, int(j.max()) + 2)][1]
 
 
 def instructions(items: DataFrame, item_text: str, shared_lines: int) -> set[str]:
@@ -287,11 +353,12 @@ def instructions(items: DataFrame, item_text: str, shared_lines: int) -> set[str
     return {r.x for r in heads.groupBy("x").agg(F.count_distinct("y").alias("n")).filter(F.col("n") >= shared_lines).select("x").collect()}
 
 
-def leaks(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", least: float = 1 / 3, n: int = 6, shared_lines: int = 3, slice_items: int = 50_000) -> DataFrame:
+def leaks(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", least: float = 1 / 3, n: int = 6, shared_lines: int = 3, slice_items: int = 50_000, slice_bytes: int = 32 << 20) -> DataFrame:
     """The test items found in documents: item_id, doc_id, held (share of the item's words), span_start, span_end."""
     shared = instructions(items, item_text, shared_lines)
     pool = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).filter(F.length("t") > 0)
-    passes = max(1, -(-pool.count() // slice_items))
+    size = pool.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    passes = max(1, -(-size.n // slice_items), -(-size.b // slice_bytes))
     read = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).cast("string").alias("t")).filter(F.length("t") > 0)
     out = None
     for k in range(passes):

@@ -3,32 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("language", "neighbours", "pages", "tokens", "alignment", "splitting", "leaks", "mixing", "subjects")
+from quillmere.llm import alignment, language, leaks, mixing, neighbours, pages, splitting, subjects, tokens
+
+MODULES = (language, neighbours, pages, tokens, alignment, splitting, leaks, mixing, subjects)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for name in MODULES:
-        try:
-            module = import_module(f"quillmere.llm.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"quillmere.llm.{name}":
-                raise
-            continue
-        out |= module.QUERIES
-    return out
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name in MODULES:
-        try:
-            out |= getattr(import_module(f"quillmere.llm.{name}"), "SQL", {})
-        except ModuleNotFoundError as e:
-            if e.name != f"quillmere.llm.{name}":
-                raise
-    return out
+    return {name: sql for module in MODULES for name, sql in getattr(module, "SQL", {}).items()}

@@ -33,7 +33,9 @@ from quillmere.llm.common import UPPER
 from quillmere.session import cut, table
 
 WORDS, GRAMS, DIM = 1 << 15, 1 << 14, 16
-_LAYOUT = re.compile(r"^[ \t]*(?:#|\||session [A-Z]{2}-\d|.*\[\[).*$", re.M)
+_LINK = r"\[\[[^\]\n]*\]\]"
+_LAYOUT = re.compile(rf"^[ \t]*(?:[#|].*|(?:[-*+>][ \t]*)?{_LINK}(?:[ \t|/,>→·•-]*{_LINK})*[ \t]*)$", re.M)
+_SAID = re.compile(r"\[\[(?:[^\]|\n]*\||[^\]|\n]*/)?([^\]\n]*)\]\]")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _BROKEN = re.compile(r"(?<=\w)[-‐¬­]\s*\n\s*(?=\w)")
 _SENTENCE = re.compile(rf"(?<=[.!?])(?:\s*\[\d+\])?[*_`]*\s+(?=[*_`]*[{UPPER}])|\n\s*\n")
@@ -41,19 +43,18 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
 def sentence_words(text: str) -> list[list[str]]:
-    """The words of each sentence, without headings, tables, code and navigation lines."""
+    """The words of each sentence, without headings, tables, code and lines that are links only; other links stay as the
+    words a reader sees. Sentences of fewer than three words count only where a text has no longer ones."""
     if "```" in text:
         text = _FENCE.sub("\n\n", text)
     text = _LAYOUT.sub("\n\n", text)
+    if "[[" in text:
+        text = _SAID.sub(r" \1 ", text)
     text = _BROKEN.sub("", text)
     if "&" in text:
         text = text.replace("&nbsp;", " ")
-    out = []
-    for s in _SENTENCE.split(text):
-        w = _WORD.findall(s.lower())
-        if len(w) >= 3:
-            out.append(w)
-    return out
+    found = [_WORD.findall(s.lower()) for s in _SENTENCE.split(text)]
+    return [w for w in found if len(w) >= 3] or [w for w in found if w]
 
 
 def features(word: str) -> np.ndarray:
