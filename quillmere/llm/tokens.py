@@ -1,13 +1,14 @@
 """Problem 4: tokens of each document under a tokenizer's merge list, and their sums by source, language and domain.
 
-Method: prefix tries of the distinct words. Words are counted once each: they are grouped by their first
-characters and sorted, which makes a part a prefix trie walked in depth-first order. Along a trie's edge the exact
+Method: prefix tries of the distinct words. Words are counted once each: they are parted by ranges and sorted, which
+makes a part a prefix trie walked in depth-first order, and no part larger than others, however common a prefix is. Along a trie's edge the exact
 state of the tokenization is carried: for each prefix its last token and its number of tokens. The next state
 follows from earlier ones, as a sequence of tokens is the tokenization of its text if and only if every two
 neighbours are the tokenization of theirs; so words share the work on their common prefix. The counts at the
 words' ends are then joined to the words of the documents and summed.
 
-The table of words goes to all workers if it has at most `most_bytes`, else the join shuffles both sides.
+The most frequent words, up to `most_bytes` of them, go to all workers; the rest are rare words, which documents meet by a
+shuffle, summed by document and word before it.
 
 A word is what stands between white space, with `▁` put before it. Characters in no merge are tokens of their own.
 
@@ -99,28 +100,45 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def word_tokens(words: DataFrame, tokenizer: Tokenizer, parts: int | None = None) -> DataFrame:
-    """The number of tokens of each distinct word of the column `word`: word, n_tokens."""
+def word_tokens(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """The number of tokens of each distinct word of the column `word`, and how often it is there: word, n, n_tokens."""
     known = words.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            w = batch["word"].tolist()
-            yield pd.DataFrame({"word": w, "n_tokens": list(known.value.walk(SPACE + x for x in w))})
+            yield batch.assign(n_tokens=list(known.value.walk(SPACE + x for x in batch["word"].tolist())))
 
-    distinct = words.select("word").distinct()
-    head = F.substring("word", 1, 3)
-    spread = distinct.repartition(parts, head) if parts else distinct.repartition(head)
-    return spread.sortWithinPartitions("word").mapInPandas(run, "word string, n_tokens int")
+    distinct = words.groupBy("word").agg(F.count("*").alias("n"))
+    return distinct.repartitionByRange("word").sortWithinPartitions("word").mapInPandas(run, "word string, n bigint, n_tokens int")
 
 
 def count_tokens(docs: DataFrame, keys: list[str], text_col: str, tokenizer: Tokenizer, most_bytes: int = 64 << 20) -> DataFrame:
     """`keys` and n_tokens for each document. `keys` must tell the documents apart."""
     exploded = docs.select(*keys, F.explode_outer(words_of(F.col(text_col))).alias("word"))
     counted = cut(word_tokens(exploded.filter("word IS NOT NULL").select("word"), tokenizer))
-    size = counted.agg(F.coalesce(F.sum(F.octet_length("word") + 32), F.lit(0))).first()[0]
-    known = F.broadcast(counted) if size <= most_bytes else counted.hint("merge")
-    return exploded.join(known, "word", "left").groupBy(*keys).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"))
+    least = frequent_from(counted, most_bytes)
+    known = F.broadcast(counted.filter(F.col("n") >= least).select("word", "n_tokens"))
+    met = exploded.join(known, "word", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    if least <= 1:
+        return met.groupBy(*keys).agg(total("n_tokens").alias("n_tokens"))
+    rest = met.filter("n_tokens IS NULL AND word IS NOT NULL").groupBy(*keys, "word").agg(F.count("*").alias("times"))
+    rare = rest.join(counted.filter(F.col("n") < least).select("word", "n_tokens").hint("merge"), "word").select(*keys, (F.col("n_tokens") * F.col("times")).alias("n_tokens"))
+    both = met.filter("n_tokens IS NOT NULL OR word IS NULL").groupBy(*keys).agg(total("n_tokens").alias("n_tokens")).unionByName(rare)
+    return both.groupBy(*keys).agg(total("n_tokens").alias("n_tokens"))
+
+
+def frequent_from(counted: DataFrame, most_bytes: int, word_bytes: int = 120) -> int:
+    """The frequency from which on words (word, n) take at most `most_bytes` on a worker: their letters and `word_bytes` each."""
+    sizes = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.sum(F.octet_length("word") + word_bytes).alias("b")).collect()  # 63 rows at most
+    held, power = 0, 62
+    for row in sorted(sizes, reverse=True):
+        if (held := held + row.b) > most_bytes:
+            break
+        power = row.power
+    else:
+        return 0
+    return 1 << power
 
 
 def domain_of(path: Column) -> Column:
