@@ -4,7 +4,8 @@ Method: range processing. A text is read in ranges of `range_chars` characters (
 each with a halo of its surroundings. A worker cuts its range off at the best boundary before the range's end
 and finds, from its halo, the very cut its forerunner made; so the ranges' boundary tables fit together without
 passing them on. Between two such cuts it lays pieces one after another. Prefix sums of the pieces' numbers,
-first over groups of ranges and then within them, give the new chunk_index. No text is ever held whole.
+first over groups of ranges and then within them, give the new chunk_index. A file is never held whole; a text that is
+a table's cell is parted into its ranges in one pass.
 
 A piece has at most max_chars characters (code points). It ends at the best kind of boundary in the second half
 of what it may hold, else at any boundary in the first half, else, where a text has none, at the limit, though not
@@ -22,10 +23,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmere.session import table
+from quillmere.session import cut, table
 
 _BLANK_LINE = re.compile(r"\n[ \t]*\n\s*")
 _LINE = re.compile(r"\n")
@@ -96,33 +97,39 @@ def limits_of(spark: SparkSession, limits: DataFrame, most_kinds: int = 1000) ->
     return {k: (most, max(0, min(over, most // 2))) for k, (most, over) in ({"default": default} | out).items()}
 
 
-def split_texts(df: DataFrame, id_col: str, text_col: str, kind_col: str, limits: dict[str, tuple[int, int]], range_chars: int = 16_384) -> DataFrame:
-    """Pieces of texts: id, kind, range, piece (within the range), start, end, n_chars (of the whole text), limit, text."""
+def split_texts(df: DataFrame, id_col: str, text_col: str, kind_col: str, limits: dict[str, tuple[int, int]], range_chars: int = 16_384, also: dict[str, Column] | None = None) -> DataFrame:
+    """Pieces of texts: id, kind, range, piece (within the range), start, end, n_chars (of the whole text), limit, text, and
+    the expressions of `also`."""
     halo = 2 * max(most for most, _ in limits.values()) + 2 * EDGE
     size = max(range_chars, 2 * halo)
     kind = F.lower(F.trim(F.col(kind_col).cast("string")))
-    rows = df.select(F.col(id_col).alias("id"), F.when(kind.isin(*limits), kind).otherwise("default").alias("kind"), F.length(text_col).alias("n"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    ranges = F.expr(f"transform(sequence(0, int(greatest(0, n - 1) div {size})), i -> struct(i AS range, substring(text, greatest(0, i * {size} - {halo}) + 1, least(i * {size}, {halo}) + {size} + {EDGE}) AS part))")
-    ranged = rows.select("id", "kind", "n", F.explode(ranges).alias("r")).select("id", "kind", "n", "r.range", "r.part")
+    also = also or {}
+    rows = df.select(F.col(id_col).alias("id"), *[c.alias(name) for name, c in also.items()], F.when(kind.isin(*limits), kind).otherwise("default").alias("kind"), F.length(text_col).alias("n"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    extra = list(also)
+    whole = F.when(F.col("n") <= size, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+    # a range with the end of its forerunner and the beginning of its successor
+    ranges = F.expr(f"transform(s, (x, i) -> struct(i AS range, concat(if(i > 0, right(s[i - 1], {halo}), ''), x, if(i + 1 < size(s), left(s[i + 1], {EDGE}), '')) AS part))")
+    ranged = rows.withColumn("s", whole).select("id", *extra, "kind", "n", F.explode(ranges).alias("r")).select("id", *extra, "kind", "n", "r.range", "r.part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for id_, kind_, n, r, part in batch.itertuples(index=False):
+            for id_, *more, kind_, n, r, part in batch.itertuples(index=False, name=None):
                 most, over = limits[kind_]
                 base = max(0, r * size - halo)
                 low, high = r * size - base, min(n, (r + 1) * size) - base
                 for k, (a, b) in enumerate(range_pieces(part, low, high, r == 0, (r + 1) * size >= n, most, over, BOUNDARIES.get(kind_, PROSE))):
-                    out.append((id_, kind_, r, k, base + a, base + b, n, most, part[a:b]))
-            yield pd.DataFrame(out, columns=["id", "kind", "range", "piece", "start", "end", "n_chars", "limit", "text"])
+                    out.append((id_, *more, kind_, r, k, base + a, base + b, n, most, part[a:b]))
+            yield pd.DataFrame(out, columns=["id", *extra, "kind", "range", "piece", "start", "end", "n_chars", "limit", "text"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return ranged.mapInPandas(run, f"id {id_type}, kind string, range int, piece int, start int, end int, n_chars int, limit int, text string")
+    kinds = "".join(f"{name} {rows.schema[name].dataType.simpleString()}, " for name in extra)
+    return ranged.mapInPandas(run, f"id {id_type}, {kinds}kind string, range int, piece int, start int, end int, n_chars int, limit int, text string")
 
 
 def split_files(spark: SparkSession, path: str, limit: int = 1200, overlap: int = 200, range_bytes: int = 8 << 20, glob: str = "*") -> DataFrame:
-    """Pieces of UTF-8 files, each read in byte ranges: path, range, piece, start_byte, end_byte, text.
-    Files need a path that every worker can open; bytes that are no UTF-8 become replacement characters."""
+    """Pieces of UTF-8 files, each read in byte ranges: path, chunk_index, start_byte, end_byte, text. Workers open files by
+    their addresses, of a local or shared disk or an object store; bytes that are no UTF-8 become replacement characters."""
     halo = 8 * limit + 4 * EDGE
     size = max(range_bytes, 2 * halo)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
@@ -130,25 +137,38 @@ def split_files(spark: SparkSession, path: str, limit: int = 1200, overlap: int
     overlap = min(overlap, limit // 2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import unquote, urlparse
+        from urllib.parse import quote
+
+        from pyarrow.fs import FileSystem, LocalFileSystem
 
         for batch in batches:
             for name, length, r in batch.itertuples(index=False):
                 low, high = r * size, min(length, (r + 1) * size)
                 base, until = max(0, low - halo), min(length, high + 4 * EDGE)
-                with open(unquote(urlparse(name).path), "rb") as f:
+                local = name.startswith("file:")
+                disk, inner = (LocalFileSystem(), "/" + name[5:].lstrip("/")) if local else FileSystem.from_uri(quote(name, safe=":/@"))
+                with disk.open_input_file(inner) as f:
                     f.seek(base)
                     raw = f.read(until - base)
                 cuts = [_aligned(raw, x - base) for x in (base, low, high)]
-                head, own, tail = (raw[a:b].decode("utf-8", "replace") for a, b in ((cuts[0], cuts[1]), (cuts[1], cuts[2]), (cuts[2], len(raw))))
-                text = head + own + tail.rstrip("�")
+                head, own, tail = (raw[a:b].decode("utf-8", "surrogateescape") for a, b in ((cuts[0], cuts[1]), (cuts[1], cuts[2]), (cuts[2], len(raw))))
+                text = head + own + tail.rstrip(_ESCAPED)
                 out, seen, at = [], base + cuts[0], 0
                 for k, (a, b) in enumerate(range_pieces(text, len(head), len(head) + len(own), r == 0, high >= length, limit, overlap, PROSE)):
-                    seen, at = seen + len(text[at:a].encode()) if a >= at else seen - len(text[a:at].encode()), a
-                    out.append((name, r, k, seen, seen + len(text[a:b].encode()), text[a:b]))
+                    seen, at = seen + _bytes(text[at:a]) if a >= at else seen - _bytes(text[a:at]), a
+                    out.append((name, r, k, seen, seen + _bytes(text[a:b]), text[a:b].translate(_REPLACED)))
                 yield pd.DataFrame(out, columns=["path", "range", "piece", "start_byte", "end_byte", "text"])
 
-    return ranged.mapInPandas(run, "path string, range int, piece int, start_byte bigint, end_byte bigint, text string")
+    pieces = cut(ranged.mapInPandas(run, "path string, range int, piece int, start_byte bigint, end_byte bigint, text string"))
+    return numbered(pieces, ["path"], ["range", "piece"], [F.col("range")], "chunk_index").select("path", "chunk_index", "start_byte", "end_byte", "text")
+
+
+_ESCAPED = "".join(map(chr, range(0xDC80, 0xDD00)))
+_REPLACED = dict.fromkeys(range(0xDC80, 0xDD00), "\ufffd")
+
+
+def _bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogateescape"))
 
 
 def _aligned(raw: bytes, at: int) -> int:
@@ -175,9 +195,8 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
     blocks = table(spark, base, "chunking_blocks")
-    pieces = split_texts(blocks, "block_id", "text", "block_kind", limits_of(spark, table(spark, base, "chunk_limits")))
-    places = blocks.select(F.col("block_id").alias("id"), "source_path", F.coalesce(F.col("block_index").cast("bigint"), F.col("block_id")).alias("place"), F.col("block_index").isNull().alias("unplaced"))
-    joined = pieces.join(places, "id")
+    places = {"source_path": F.col("source_path"), "place": F.coalesce(F.col("block_index").cast("bigint"), F.col("block_id")), "unplaced": F.col("block_index").isNull()}
+    joined = split_texts(blocks, "block_id", "text", "block_kind", limits_of(spark, table(spark, base, "chunk_limits")), also=places)
     bucket = [F.col("unplaced"), F.floor(F.col("place") / 1024)]
     out = numbered(joined, ["source_path"], ["unplaced", "place", "id", "range", "piece"], bucket, "chunk_index")
     return out.select(F.col("id").alias("block_id"), "source_path", "chunk_index", "kind", "start", "end", (F.col("n_chars") > F.col("limit")).alias("was_split"), "text")
