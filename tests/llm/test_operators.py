@@ -34,6 +34,15 @@ def test_language_stretches(spark):
     assert all(0 <= r.confidence <= 1 for r in found)
 
 
+def test_every_row_with_a_word_gets_a_language(spark):
+    rows = [(i, f"Title\n{t}") for i, t in enumerate([EN, DE, UK] * 5)] + [(50, "Короткий заголовок про журнал і таблицю помилки\nok then."), (51, "Короткий текст тут"), (52, "Щшщ"), (53, "12 [[a]]")]
+    found = {r.note_row: r for r in _languages(spark, rows)}
+    assert [found[i].lang for i in (50, 51, 52)] == ["uk"] * 3
+    assert not any(found[i].prose for i in (50, 51, 52))
+    assert found[52].confidence == 0 < found[51].confidence < 1
+    assert 53 not in found
+
+
 def test_language_filter_has_no_false_negatives():
     f = language.Filter(bits=12)
     h = common.gram_hashes(common.codes("some text to hash"), 3)
@@ -164,7 +173,7 @@ def test_walk_equals_plain_merging():
         assert list(t.walk(iter(words))) == [len(t.encode(w)) for w in words], seed
 
 
-@pytest.mark.parametrize("most", [64 << 20, 0])
+@pytest.mark.parametrize("most", [64 << 20, 130, 0])
 def test_document_tokens(spark, most):
     docs = spark.createDataFrame([(1, "aa ab ab\n b"), (2, None), (3, ""), (4, "zz" * 500), (5, "ab")], "id int, text string")
     merges = spark.createDataFrame([(1, "a", "b"), (2, "▁", "ab"), (2, "▁", "ab"), (3, None, "x")], "merge_rank int, left_piece string, right_piece string")
@@ -216,13 +225,23 @@ def test_files_by_byte_ranges(spark, tmp_path):
     text = "".join(f"Речення номер {i} тут. Sentence {i} here, with more.\n" + ("\n" if i % 7 == 0 else "") for i in range(900))
     (tmp_path / "a.txt").write_text(text)
     (tmp_path / "empty.txt").write_text("")
-    got = splitting.split_files(spark, str(tmp_path), 200, 30, range_bytes=4096).toPandas().sort_values(["path", "range", "piece"])
+    got = splitting.split_files(spark, str(tmp_path), 200, 30, range_bytes=4096).toPandas().sort_values(["path", "chunk_index"])
     a = got[got["path"].str.endswith("a.txt")]
     raw = text.encode()
     assert all(raw[s:e].decode() == t for s, e, t in zip(a["start_byte"], a["end_byte"], a["text"], strict=True))
     assert a["text"].str.len().max() <= 200
     rebuilt = a["text"].iloc[0] + "".join(t[30:] for t in a["text"].iloc[1:])
     assert rebuilt == text
+    assert a["chunk_index"].tolist() == list(range(len(a)))
+
+
+def test_files_with_bytes_that_are_no_text(spark, tmp_path):
+    """Offsets stay those of the file where bytes are no UTF-8."""
+    raw = b"".join(b"Word %d here \xff\xfe and \xe2\x82 there.\n" % i for i in range(600))
+    (tmp_path / "odd name.txt").write_bytes(raw)
+    got = splitting.split_files(spark, str(tmp_path), 100, 10, range_bytes=2048).toPandas().sort_values("chunk_index")
+    assert got["start_byte"].iloc[0] == 0 and got["end_byte"].iloc[-1] == len(raw)
+    assert all(raw[s:e].decode("utf-8", "surrogateescape").translate(splitting._REPLACED) == t for s, e, t in zip(got["start_byte"], got["end_byte"], got["text"], strict=True))
 
 
 def test_numbers_go_on_over_buckets(spark):
@@ -235,6 +254,14 @@ def test_numbers_go_on_over_buckets(spark):
 # --- 7
 
 
+def test_leaks_at_the_least_density_that_is_accepted(spark):
+    """Documents that hold an item in runs of five words with every sixth changed have no n-gram of six of it, but one."""
+    names = [f"{a}{b}" for a in ("lum", "vik", "nor", "zet", "qua", "pel") for b in ("rith", "dal", "mex", "fyr", "koth", "bar", "nuth", "gar", "pol", "tiv")]
+    changed = [w if k < 6 or k % 6 else "other" for k, w in enumerate(names)]
+    found = leaks.leaks(spark.createDataFrame([(1, " ".join(names) + ".")], "item_id bigint, text string"), spark.createDataFrame([(9, " ".join(changed))], "doc_id bigint, text string"))
+    assert [(r.item_id, r.doc_id) for r in found.collect()] == [(1, 9)]
+
+
 def test_leaks(spark):
     passage = "The polymer chain in run NB-3515 reached 27 units after 113 hours. If the acid titration fails, the precipitate can be rebuilt from archive LX-7395 in 174 hours."
     other = "The copper wire in run QQ-1111 reached 99 units after 555 hours. If the slow reaction fails, the mixture can be rebuilt from archive ZZ-2222 in 333 hours."
@@ -286,9 +313,24 @@ def test_mix(spark):
     assert reached["m", "c"].reached_tokens == 0
 
 
+def test_a_large_source_is_drawn_in_part_without_one_window(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), (F.col("id") % 9 + 1).alias("n_tokens"))
+    targets = spark.createDataFrame([("m", "a", 1.0, 1, 0.37)], "mix string, source string, target_share double, max_repeats int, size_factor double")
+    got = mixing.mix(docs, targets, most_blocks=2).toPandas()
+    total = docs.agg(F.sum("n_tokens")).first()[0]
+    assert abs(got["n_tokens"].sum() - 0.37 * total) <= 9
+    assert got["doc_id"].is_unique
+
+
 # --- 9
 
 
+def test_lines_with_links_keep_their_words():
+    got = subjects.sentence_words("# Head\n[[A]] | [[b/c]]\nThe court ruling stands, see [[x/Law|the law]] and [[EN/Appeal]] there.\n```\nno code here\n```")
+    assert got == [["the", "court", "ruling", "stands", "see", "the", "law", "and", "appeal", "there"]]
+    assert subjects.sentence_words("Court ruling.") == [["court", "ruling"]]
+
+
 def test_subjects(spark):
     rng = random.Random(9)
     terms = {"law": ["court ruling", "legal guardian", "appeal deadline", "notary record"], "sport": ["league match", "relay team", "penalty kick", "swimming lane"]}
