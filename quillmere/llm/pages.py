@@ -73,10 +73,10 @@ def lines_of(pages: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumn("opens", opens).drop("before").join(numbers, "page_id", "left").fillna(1, ["page_no"])
 
 
-def furniture(lines: DataFrame, outer: int = 2, share: float = 0.2, least_files: int = 3, longest: int = 200) -> DataFrame:
+def furniture(lines: DataFrame, outer: int = 2, share: float = 0.2, least_files: int = 3) -> DataFrame:
     """Running headers and footers and page numbers: page_id, line_no. Only the `outer` first and last lines of a page
-    are looked at, if they have at most `longest` characters; a mask must return on `share` of a file's pages (and two at least), or in `least_files` files."""
-    edge = lines.filter((F.col("top") < outer) | (F.col("bottom") < outer)).filter(F.length("line") <= longest).select("page_id", "file", "page_no", "line_no", "line", digits_masked(F.col("line")).alias("mask"), names_masked(F.col("line")).alias("names"), F.when(F.col("bottom") < outer, "bottom").otherwise("top").alias("side"))
+    are looked at; a mask must return on `share` of a file's pages (and two at least), or in `least_files` files."""
+    edge = lines.filter((F.col("top") < outer) | (F.col("bottom") < outer)).select("page_id", "file", "page_no", "line_no", "line", digits_masked(F.col("line")).alias("mask"), names_masked(F.col("line")).alias("names"), F.when(F.col("bottom") < outer, "bottom").otherwise("top").alias("side"))
     edge = cut(edge)
     number = F.col("mask").rlike(PAGE_NUMBER)
     headings = lines.filter(F.col("line").rlike(r"^\s*\d+(?:\.\d+)*\.?\s+\p{L}")).select(F.regexp_replace(digits_masked(F.col("line")), r"^#(?:\.#)*\.? ", "").alias("mask")).distinct()
@@ -86,7 +86,7 @@ def furniture(lines: DataFrame, outer: int = 2, share: float = 0.2, least_files:
     returning = worded.groupBy("file", "side", "mask").agg(F.count_distinct("page_no").alias("n")).join(sizes, "file").filter((F.col("n") >= 2) & (F.col("n") >= share * F.col("pages"))).select("file", "side", "mask")
     exact = worded.join(returning, ["file", "side", "mask"]).select("page_id", "line_no", "names", "file", "mask")
     # at most outer / share masks a side for each file
-    near = worded.join(returning.withColumnRenamed("mask", "known"), ["file", "side"]).filter((F.abs(F.length("mask") - F.length("known")) <= 2) & (F.levenshtein("mask", "known") <= F.when(F.length("known") >= 10, 2).otherwise(1))).select("page_id", "line_no")
+    near = worded.join(returning.withColumnRenamed("mask", "known"), ["file", "side"]).filter((F.abs(F.length("mask") - F.length("known")) <= 2) & F.levenshtein("mask", "known", 2).between(0, F.when(F.length("known") >= 10, 2).otherwise(1))).select("page_id", "line_no")
     common = exact.filter(F.col("names").contains(" ")).groupBy("names").agg(F.count_distinct("file").alias("n")).filter(F.col("n") >= least_files).select("names")
     elsewhere = worded.join(common, "names", "left_semi").select("page_id", "line_no")
     numbered = edge.filter(number).select("page_id", "line_no")
@@ -114,10 +114,11 @@ def _broken(line: Column, after: Column) -> Column:
 
 def words_of(body: DataFrame) -> DataFrame:
     """The words of body lines in lower case, without punctuation around them: page_id, line_no, place, word, prior,
-    next (of words of over 200 characters punctuation is kept), and for a word broken at the line's end its `left` and `right` parts; then `word` is the two joined."""
+    next, and for a word broken at the line's end its `left` and `right` parts; then `word` is the two joined."""
     broken, goes_on = _broken(F.col("line"), F.col("after")), _broken(F.col("before"), F.col("line"))
-    bare = r"^[^\p{L}\p{N}@$|]+|[^\p{L}\p{N}@$|]+$"
-    parts = F.transform(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != ""), lambda x: F.when(F.length(x) <= 200, F.regexp_replace(F.lower(x), bare, "")).otherwise(F.lower(x)))
+    # possessive and anchored at a kept sign, so that a long run of signs inside a word is passed once
+    bare = r"^[^\p{L}\p{N}@$|]++|(?<![^\p{L}\p{N}@$|])[^\p{L}\p{N}@$|]++$"
+    parts = F.transform(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != ""), lambda x: F.regexp_replace(F.lower(x), bare, ""))
     rows = body.select("page_id", "line_no", broken.alias("broken"), goes_on.alias("goes_on"), parts.alias("parts"), F.lower(F.regexp_extract("after", rf"^\s*({LETTER}+)", 1)).alias("right"), F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split(F.trim("line"), r"\s+"), -1)), rf"[{HYPHEN}]$", ""), r"^[^\p{L}\p{N}@$|]+", "").alias("left"))
     cells = F.expr("""transform(parts, (x, i) -> struct(
         int(i) AS place,
@@ -130,13 +131,13 @@ def words_of(body: DataFrame) -> DataFrame:
     return out.select("page_id", "line_no", "c.place", "c.word", shape(F.col("c.prior")).alias("prior"), shape(F.col("c.next")).alias("next"), F.when(F.col("c.joined"), F.col("left")).alias("left"), F.when(F.col("c.joined"), F.col("right")).alias("right")).filter(F.col("word").rlike(r"\p{L}"))
 
 
-def corrections(words: DataFrame, ratio: float = 0.05, least: int = 3, forms: int = 3) -> DataFrame:
-    """Words that may be misread: word, form (a frequent word of the same skeleton), n_form. Of a skeleton's words the
-    `forms` most frequent ones are forms; the rarer ones of these too, if others are frequent enough."""
-    counts = words.filter(F.length("word").between(2, 60) & ~F.col("word").rlike(r"^\p{L}{1,3}-?\d+$")).groupBy("word").agg(F.count("*").alias("n")).withColumn("skeleton", skeleton(F.col("word"))).withColumn("odd", odd(F.col("word")))
+def corrections(words: DataFrame, ratio: float = 0.05, least: int = 3) -> DataFrame:
+    """Words that may be misread: word, form (a more frequent word of the same skeleton), n_form. For words that are surely
+    misread any form will do, others must be rare beside it."""
+    counts = words.filter((F.length("word") >= 2) & ~F.col("word").rlike(r"^\p{L}{1,3}-?\d+$")).groupBy("word").agg(F.count("*").alias("n")).withColumn("skeleton", skeleton(F.col("word"))).withColumn("odd", odd(F.col("word")))
     clean = counts.filter(~F.col("odd"))
-    top = clean.withColumn("rank", F.row_number().over(Window.partitionBy("skeleton").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= forms).select("skeleton", F.col("word").alias("form"), F.col("n").alias("n_form"))
-    pairs = counts.join(top, "skeleton").filter(F.col("word") != F.col("form"))
+    forms = clean.select("skeleton", F.col("word").alias("form"), F.col("n").alias("n_form"))
+    pairs = counts.join(forms, "skeleton").filter(F.col("word") != F.col("form"))
     return pairs.filter(F.col("odd") | ((F.col("n") <= ratio * F.col("n_form")) & (F.col("n_form") >= least)) | ((F.col("n") == 1) & (F.col("n_form") >= 4))).select("word", "odd", "form", "n_form")
 
 
