@@ -114,79 +114,95 @@ def words(c: Column) -> Column:
 
 def urls(c: Column) -> Column:
     """Web addresses in order of appearance, without trailing punctuation and unbalanced closing brackets."""
-    found = F.regexp_extract_all(c, F.lit(r"(https?://[^\s<>\"\]]+)"), 1)
-    bare = F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?'*]+$", ""))
-    opened = lambda u, x: F.length(u) - F.length(F.replace(u, F.lit(x), F.lit("")))
-    closed = F.transform(bare, lambda u: F.when(opened(u, ")") > opened(u, "("), F.regexp_replace(u, r"[).,;:!?]+$", "")).otherwise(u))
-    return F.array_distinct(closed)
+    found = F.regexp_extract_all(c, F.lit(r"""(https?://[^\s<>\]"']+)"""), 1)
+    bare = F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    number = lambda u, x: F.length(u) - F.length(F.replace(u, F.lit(x), F.lit("")))
+    extra = lambda u: F.greatest(F.lit(0), F.least(F.length(F.regexp_extract(u, r"(\)*)$", 1)), number(u, ")") - number(u, "(")))
+    return F.array_distinct(F.transform(bare, lambda u: F.substring(u, F.lit(1), F.length(u) - extra(u))))
 
 
 def pdf_candidates(url: Column) -> Column:
     """Addresses where the PDF behind an address may lie, best first; the address itself last."""
-    arxiv = F.regexp_extract(url, r"^https?://(?:www\.)?arxiv\.org/abs/([^?#]+)", 1)
-    doi = F.regexp_extract(url, r"(?i)^https?://(?:dx\.)?doi\.org/10\.48550/arxiv\.([^?#]+)", 1)
-    forum = F.regexp_extract(url, r"^https?://openreview\.net/forum\?id=([^&#]+)", 1)
-    pdf = lambda x: F.concat(F.lit("https://arxiv.org/pdf/"), x)
-    return F.array_distinct(
-        F.array_compact(
-            F.array(
-                F.when(arxiv != "", pdf(arxiv)),
-                F.when(doi != "", F.concat(F.lit("https://arxiv.org/abs/"), doi)),
-                F.when(doi != "", pdf(doi)),
-                F.when(forum != "", F.concat(F.lit("https://openreview.net/pdf?id="), forum)),
-                url,
-            )
-        )
-    )
+    arxiv = F.regexp_extract(url, r"(?i)^https?://(?:www\.)?arxiv\.org/abs/([^?#]+)", 1)
+    doi = F.regexp_extract(url, r"(?i)^https?://(?:dx\.)?doi\.org/+10\.48550/arxiv\.([^?#]+)", 1)
+    forum = F.regexp_extract(url, r"(?i)^https?://(?:www\.)?openreview\.net/forum\?(?:[^#]*&)?id=([^&#]+)", 1)
+    paper = F.when(arxiv != "", arxiv).when(doi != "", doi)
+    abstract, pdf = F.concat(F.lit("https://arxiv.org/abs/"), paper), F.concat(F.lit("https://arxiv.org/pdf/"), paper, F.lit(".pdf"))
+    review = F.when(forum != "", F.concat(F.lit("https://openreview.net/pdf?id="), forum))
+    return F.array_distinct(F.array_compact(F.array(abstract, pdf, review, url)))
 
 
 def is_pdf_response(content_type: Column, disposition: Column, url: Column) -> Column:
+    kind = F.trim(F.regexp_replace(F.lower(F.coalesce(content_type, F.lit(""))), ";.*$", ""))
     path = F.regexp_replace(F.lower(url), "[?#].*$", "")
-    return F.coalesce(F.lower(content_type).contains("application/pdf"), F.lit(False)) | F.coalesce(F.lower(disposition).rlike(r"\.pdf\b"), F.lit(False)) | path.endswith(".pdf")
-
-
-def pdf_file_name(disposition: Column, url: Column) -> Column:
-    """A safe file name: that of the response's header, else the address's last part."""
-    named = F.regexp_extract(F.coalesce(disposition, F.lit("")), r"(?i)filename\*?=(?:UTF-8'')?\"?([^\";]+)", 1)
-    last = F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), r"([^/]*)/*$", 1)
-    base = F.regexp_replace(F.when(named != "", named).otherwise(last), r"(?i)\.pdf$", "")
-    safe = F.regexp_replace(F.regexp_replace(base, "[^A-Za-z0-9._-]+", "-"), "^[-.]+|[-.]+$", "")
+    return kind.isin("application/pdf", "application/x-pdf") | F.contains(F.lower(F.coalesce(disposition, F.lit(""))), F.lit(".pdf")) | path.endswith(".pdf")
+
+
+def pdf_file_name(disposition: Column, url: Column, source: Column | None = None) -> Column:
+    """A safe file name: that of the response's header, else the last part of the final address or of the first one."""
+    header = F.coalesce(disposition, F.lit(""))
+    encoded = F.regexp_extract(header, r"(?i)filename\*=UTF-8''([^;]+)", 1)
+    plain = F.regexp_extract(header, r'(?i)filename="?([^";]+)"?', 1)
+    last = lambda u: F.regexp_extract(F.regexp_replace(F.regexp_replace(u, r"^[a-zA-Z]+://[^/?#]*", ""), "[?#].*$", ""), r"([^/]*)/*$", 1)
+    named = F.try_url_decode(F.when(encoded != "", encoded).otherwise(plain))
+    raw = F.coalesce(*[F.nullif(c, F.lit("")) for c in (named, last(url), *([last(source)] if source is not None else []))], F.lit("download"))
+    stem = F.regexp_replace(F.regexp_extract(raw, r"([^/]*)/*$", 1), r"(?<=[^.])\.[^.]*$", "")
+    safe = F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", "")
     return F.concat(F.substring(F.when(safe != "", safe).otherwise("download"), 1, 160), F.lit(".pdf"))
 
 
-def heading_level(line: Column) -> Column:
-    """The level of a page's line that is a heading by its form (#, number, or name of a section), else null."""
+def explicit_level(line: Column) -> Column:
+    """The level of a page's line that says it is a heading: by signs, by a number, or by the name of a section."""
     hashes = F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
-    number = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\.?\s+\p{L}", 1)
+    number = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\s+\S", 1)
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
-    named = F.lower(F.trim(line)).isin(*REFERENCE_TITLES, "abstract")
+    named = F.lower(line).isin(*REFERENCE_TITLES, "abstract")
     return F.when(hashes > 0, hashes).when((number != "") & (F.length(line) <= 120), dots + 1).when(named, 1)
 
 
+def heading_level(line: Column) -> Column:
+    """The level of a page's line that is a heading: one that says so, or one that looks like it (level 1); else null."""
+    return F.coalesce(explicit_level(line), F.when(looks_like_heading(line), 1))
+
+
+def heading_title(line: Column) -> Column:
+    """A heading's words, without signs and number."""
+    bare = F.regexp_replace(line, r"^#{1,6}\s+", "")
+    number = F.when((bare == line) & (F.length(line) <= 120), F.regexp_replace(line, r"^\d+(?:\.\d+)*\s+(?=\S)", "")).otherwise(bare)
+    return F.when(F.lower(number) == "abstract", "Abstract").otherwise(strip(number))
+
+
 def looks_like_heading(line: Column) -> Column:
-    """Short, without end punctuation, and mostly in capitals or with capitals at the first words' heads."""
-    parts = F.split(F.trim(line), r"\s+")
-    letters, capitals = F.length(F.regexp_replace(line, r"[^\p{L}]", "")), F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    heads = F.forall(F.slice(parts, 1, 5), lambda w: w.rlike(r"^[^\p{L}]*\p{Lu}"))
-    return (F.length(F.trim(line)) > 0) & (F.length(line) <= 100) & ~line.rlike(r"[.!?;:,]\s*$") & (F.size(parts) <= 12) & ((capitals * 2 > letters) | heads)
+    """Up to 100 characters and 12 words, no end punctuation, and a third in capitals (four at least) or a capital at the
+    head of each of the first five words."""
+    parts = F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
+    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
+    heads = F.forall(F.slice(parts, 1, 5), lambda w: w.rlike(r"^\p{Lu}"))
+    return (F.length(line) <= 100) & ~line.rlike(r"[.!?;:]$") & F.size(parts).between(1, 12) & ((capitals >= F.greatest(F.lit(4), F.floor(F.length(line) / 3))) | heads)
 
 
 def is_figure_caption(line: Column) -> Column:
-    return line.rlike(r"(?i)^\s*(?:figure|fig\.)\s*\d+")
+    return line.rlike(r"(?i)^(?:figure|fig\.)\s*\d+[A-Za-z0-9.-]*[:.]?\s+")
 
 
 def looks_like_formula(text: Column) -> Column:
-    signs, letters = F.length(F.regexp_replace(text, r"[^=+\-/^∇∂]", "")), F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return (F.length(text) >= 6) & (signs > letters) & (letters < F.greatest(F.lit(12), F.floor(F.length(text) / 3)))
+    """Six characters or more, an operator among them, and more signs of any kind than letters, of which there are few."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    signs = F.length(F.regexp_replace(text, r"(?U)[\p{L}\p{N}\s]", ""))
+    return (F.length(text) >= 6) & text.rlike(r"[=+\-/^∇∂]") & (signs > letters) & (letters < F.greatest(F.lit(12), F.floor(F.length(text) / 3)))
+
+
+#: Fixed value: one source of a citation by name and year.
+CITED = r"[A-Z][A-Za-z'`-]+(?: et al\.)?,?\s+\d{4}[a-z]?"
 
 
 def clean_block(text: Column) -> Column:
     """A block of page text: words broken at line ends joined at their hyphen, citations and double blanks dropped."""
-    t = F.regexp_replace(text, "- ", "-")
-    t = F.regexp_replace(t, r"\[\d+(?:\s*[,-]\s*\d+)*\]", "")
-    t = F.regexp_replace(t, r"\([^()]*\b(?:19|20)\d{2}[a-z]?(?:;[^()]*)?\)", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^[ ,;]+|[ ,;]+$", "")
-    return F.when(looks_like_formula(t), "[FORMULA]").otherwise(t)
+    t = normalize(F.regexp_replace(text, "- ", "-"))
+    t = F.regexp_replace(t, r"\[\d+(?:\s*,\s*\d+)*(?:\s*-\s*\d+)?\]", "")
+    t = F.regexp_replace(t, rf"\({CITED}(?:;\s*{CITED})*\)", "")
+    t = F.regexp_replace(t, r"(?U)\s{2,}", " ")
+    return F.when(looks_like_formula(t), "[FORMULA]").otherwise(F.regexp_replace(t, "^[ ,;]+|[ ,;]+$", ""))
 
 
 def first_year(text: Column) -> Column:
@@ -199,19 +215,23 @@ def text_lines(text: Column) -> Column:
 
 
 def first_title(lines: Column, file: Column) -> Column:
-    """A paper's title: the first of its first eight lines of three words or more and at most 160 characters that is no
-    heading by its form, else the file's name."""
-    fits = F.filter(F.slice(lines, 1, 8), lambda x: heading_level(x).isNull() & (F.length(x) <= 160) & (F.size(F.split(x, " ")) >= 3))
-    return F.coalesce(F.try_element_at(fits, F.lit(1)), file)
+    """A paper's title: the first of its first eight lines of three words or more and at most 160 characters that does not
+    say it is a heading, else the words of its file's name."""
+    fits = F.filter(F.slice(lines, 1, 8), lambda x: explicit_level(x).isNull() & (F.length(x) <= 160) & (F.size(F.split(x, r"(?U)\s+")) >= 3))
+    stem = F.regexp_replace(F.regexp_replace(F.coalesce(file, F.lit("document")), r"\.[^.]*$", ""), "[_-]", " ")
+    return F.coalesce(F.try_element_at(fits, F.lit(1)), normalize(stem))
 
 
 def first_authors(lines: Column, title: Column) -> Column:
-    """A paper's authors: the first of the three lines after its title that lists names and has no digit."""
-    at = F.array_position(lines, title).cast("int")
-    after = F.when(at > 0, F.slice(lines, at + 1, 3)).otherwise(F.slice(lines, 1, 3))
-    names = F.filter(after, lambda x: (F.contains(x, F.lit(",")) | F.contains(x, F.lit(" and "))) & ~x.rlike(r"\d"))
-    parts = F.split(F.regexp_replace(F.try_element_at(names, F.lit(1)), " and ", ","), ",")
-    return F.coalesce(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), F.array().cast("array<string>"))
+    """A paper's authors: of the three lines after its title, up to a heading, the first of at most 120 characters and 20 words
+    that lists names and has no digit."""
+    after = F.slice(lines, F.coalesce(F.array_position(lines, title), F.lit(0)).cast("int") + 1, 3)
+    heads = F.transform(after, lambda x: explicit_level(x).isNotNull())
+    until = F.array_position(heads, True).cast("int")
+    open_ = F.when(until > 0, F.slice(after, 1, until - 1)).otherwise(after)
+    names = F.filter(open_, lambda x: (F.contains(x, F.lit(",")) | F.contains(F.lower(x), F.lit(" and "))) & ~x.rlike(r"\d") & (F.length(x) <= 120) & (F.size(F.split(x, r"(?U)\s+")) <= 20))
+    parts = F.split(F.try_element_at(names, F.lit(1)), ",| and ")
+    return F.coalesce(F.filter(F.transform(parts, lambda p: normalize(p)), lambda p: p != ""), F.array().cast("array<string>"))
 
 
 def route(query: Column) -> Column:
@@ -233,9 +253,3 @@ def needs_rich_parser(text: Column) -> Column:
     formula = text.rlike(r"\$\$|\\begin\{(?:equation|align|gather|multline)\*?\}|\\(?:frac|sum|int|alpha|beta|gamma|nabla|partial)\b")
     fence = text.rlike(r"(?m)^\s*(?:```|~~~)\s*(?:" + "|".join((*DIAGRAM_FENCES, *FORMULA_FENCES)) + r")\b")
     return table | formula | fence | text.rlike(r"!\[[^\]]*\]\(|!\[\[")
-
-
-def is_navigation_line(line: Column) -> Column:
-    """Whether a line only holds links, two or more of them with separators between."""
-    link = r"(?:\[\[[^\]]+\]\]|\[[^\]]+\]\([^)]+\))"
-    return line.rlike(rf"^\s*(?:[-*+]\s+)?{link}(?:\s*(?:\||/|->|>|→|::|·|•)\s*{link})+\s*$")

@@ -1,20 +1,41 @@
-"""Chunks: a recursive splitter and a packer of typed blocks.
+"""Chunks: a recursive splitter, a splitter of code, and a packer of typed blocks.
 
-Packing never crosses a run of blocks of one note and section, so runs are packed independently, and the chunks'
-numbers over a file come from a window.
+Packing never crosses a run of blocks of one note and section. Notes are parsed and packed whole, a note a row, without a
+shuffle; blocks that are rows of their own are sorted within their files and packed as they come by.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPECIAL = {"table", "figure_caption", "formula", "diagram", "image", "code_block"}
+from quillmere.operators import structure
+
+#: What chunks call the kinds of block, and where texts that are too long part.
 LABELS = {"table": "Table", "figure_caption": "Figure Caption", "abstract": "Abstract", "formula": "Formula", "diagram": "Diagram", "image": "Image", "code_block": "Code Block"}
 SEPARATORS = ("\n\n", "\n", ". ", "; ", " ", "")
+PAPER_SEPARATORS = (". ", "; ", ", ", " ", "")
+
+
+@dataclass(frozen=True)
+class Rules:
+    """How a packer treats kinds of block: `special` ones never begin behind a full chunk, `stops` end the overlap,
+    `labels` head a block's text, `parts` says whether special blocks over the size are cut."""
+
+    special: frozenset[str]
+    stops: frozenset[str]
+    labels: dict[str, str]
+    separators: tuple[str, ...]
+    parts: bool
+
+
+NOTES = Rules(frozenset({"table", "figure_caption", "formula", "diagram", "image", "code_block"}), frozenset({"table", "figure_caption", "formula", "diagram", "image", "code_block"}), LABELS, SEPARATORS, True)
+PAPERS = Rules(frozenset({"table", "figure_caption"}), frozenset({"table"}), {k: LABELS[k] for k in ("table", "figure_caption")}, PAPER_SEPARATORS, False)
 
 
 def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -46,80 +67,157 @@ def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, .
     return [p.strip() for p in out if p.strip()]
 
 
-def prefix(title: str, section_path: str) -> str:
-    """What a chunk's text begins with: the note's title and the section's path, unless they say the same."""
-    parts = [p for p in dict.fromkeys((title or "", section_path or "")) if p and p != "Document"]
-    return " | ".join(parts)
-
-
-def pack(blocks: list[tuple[str, str]], size: int, overlap: int, head: str) -> list[tuple[str, int, list[tuple[str, str]]]]:
-    """Chunks of one run of blocks (kind, text): kind (or `mixed`), number of blocks, and the blocks.
-
-    A special block joins a chunk that still has room, else starts one, or stands alone if it fills it. Others are added
-    until the size is passed; the next chunk then begins with the last blocks of up to `overlap` characters. Paragraphs
-    over the size are split."""
-    room = len(head) + 1 if head else 0
-    weigh = lambda b: room + (len(LABELS[b[0]]) + 1 if b[0] in LABELS else 0) + len(b[1])
-    out: list[list[tuple[str, str]]] = []
-    current: list[tuple[str, str]] = []
-    chars = 0
-
-    def flush(share: bool) -> None:
-        nonlocal current, chars
-        if not current:
-            return
-        out.append(current)
-        kept: list[tuple[str, str]] = []
-        if share and len(current) > 1:
-            for b in reversed(current):
-                if sum(map(weigh, kept)) >= overlap or (kept and b[0] in SPECIAL):
-                    break
-                kept.insert(0, b)
-        current = kept if len(kept) < len(out[-1]) else []
-        chars = sum(map(weigh, current))
-
-    for block in blocks:
-        w = weigh(block)
-        if block[0] in SPECIAL:
-            if current and chars >= size:
-                flush(False)
-                current, chars = [], 0
-            if not current and w >= size:
-                out.append([block])
-                continue
-        elif current and chars + w > size:
-            flush(True)
-        if block[0] == "paragraph" and w > size:
-            current, chars = [], 0
-            out += [[(block[0], p)] for p in recursive_split(block[1], max(1, size - room), overlap)]
+def split_code(text: str, head: str, size: int, overlap: int, label: str = "Code Block\n") -> list[str]:
+    """A code block in runs of whole lines, each fenced again, whose chunks have at most `size` characters where a line
+    allows it. A run begins with the last lines of its forerunner, up to `overlap` characters, if its own first line still
+    fits behind them; no line is a chunk twice."""
+    lines = text.split("\n")
+    fence = lines[0] if lines[0].strip().startswith(("```", "~~~")) else "```"
+    body = lines[1:]
+    if body and body[-1].strip().startswith(fence.strip()[:3]):
+        body = body[:-1]
+    body = body or [""]
+    wrapped = lambda i, j: "\n".join([fence, *body[i:j], fence.strip()[:3]])
+    fits = lambda i, j: len(joined(head, label + wrapped(i, j))) <= size
+    out, start, at = [], 0, 0
+    while at < len(body):
+        end = at + 1
+        while end < len(body) and fits(start, end + 1):
+            end += 1
+        out.append(wrapped(start, end))
+        back, held = end, 0
+        while back > start + 1 and held < overlap:
+            back -= 1
+            held += len(body[back]) + 1
+        start, at = (back if end < len(body) and fits(back, end + 1) else end), end
+    return out
+
+
+def joined(*parts: str) -> str:
+    """A chunk's text."""
+    return structure.normal("\n\n".join(p for p in parts if p))
+
+
+def prefix(title: str | None, section_path: str | None, rules: Rules = NOTES) -> str:
+    """What a chunk's text begins with: title and path of sections. Notes name them once if they say the same."""
+    parts = [structure.normal(p) for p in (title or "", section_path or "")]
+    if rules is NOTES:
+        parts = list(dict.fromkeys(parts))
+    return " | ".join(p for p in parts if p and p != "Document")
+
+
+def pack(blocks: list[tuple[str, str]], size: int, overlap: int, head: str, rules: Rules = NOTES) -> list[tuple[str, list[int], str]]:
+    """Chunks of one run of blocks (kind, text): kind (or `mixed`), the blocks' places in the run, and the text.
+
+    A block weighs what it would alone. A chunk takes blocks while their weights stay within the size; the next one then
+    begins with its last blocks, enough for `overlap` characters, but not from before a block that stops it. A special
+    block behind a chunk that is full begins anew; one that fills a chunk stands alone or, where rules say so, is cut.
+    Paragraphs over the size are cut, and what was to overlap into them is dropped."""
+    texts = [f"{rules.labels[k]}\n{t}" if k in rules.labels else t for k, t in blocks]
+    weights = [len(joined(head, t)) for t in texts]
+    out: list[tuple[str, list[int], str]] = []
+
+    def close(held: list[int]) -> None:
+        kinds = {blocks[i][0] for i in held}
+        out.append((kinds.pop() if len(kinds) == 1 else "mixed", held, joined(head, *(texts[i] for i in held))))
+
+    def shared(held: list[int]) -> list[int]:
+        if overlap <= 0 or len(held) < 2:
+            return []
+        first = len(held) - 1
+        while first > 0 and sum(weights[i] for i in held[first:]) < overlap and blocks[held[first - 1]][0] not in rules.stops:
+            first -= 1
+        return held[first:]
+
+    def cut(i: int) -> None:
+        kind, text = blocks[i]
+        if kind == "code_block":
+            pieces = [f"{rules.labels[kind]}\n{x}" for x in split_code(text, head, size, overlap)]
+        else:
+            pieces = recursive_split(text, size, overlap, rules.separators)
+        out.extend((kind, [i], joined(head, x)) for x in pieces)
+
+    held: list[int] = []
+    for i, (kind, _) in enumerate(blocks):
+        full = sum(weights[j] for j in held)
+        if kind in rules.special and held and full >= size:
+            close(held)
+            held = []
+        if kind in rules.special and not held and weights[i] >= size:
+            if rules.parts and weights[i] > size:
+                cut(i)
+            else:
+                close([i])
             continue
-        current.append(block)
-        chars += w
-    if current:
-        out.append(current)
-    return [(b[0][0] if len({k for k, _ in b}) == 1 else "mixed", len(b), b) for b in out]
+        if held and full + weights[i] > size:
+            close(held)
+            held = shared(held)
+        if kind == "paragraph" and weights[i] > size:
+            cut(i)
+            held = []
+            continue
+        held = [*held, i]
+    if held:
+        close(held)
+    return out
+
 
+NOTE_CHUNKS = "path string, chunk_index int, title string, section string, section_level int, section_path string, block_kind string, chunk_kind string, block_count int, char_count int, word_count int, text string"
+
+
+def note_chunks(notes: DataFrame, path: str = "path", text: str = "text", size: int = 1200, overlap: int = 200) -> DataFrame:
+    """The chunks of notes, numbered within each note from 0: sections, blocks and packing in one pass over a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, content in batch.itertuples(index=False):
+                found = structure.sections_of(content or "")
+                title = structure.title_of(found, name)
+                n = 0
+                for section, level, section_path, body in found:
+                    own = structure.section_blocks(section, body)
+                    for kind, places, t in pack(own, size, overlap, prefix(title, section_path)):
+                        out.append((name, n, title, section, level, section_path, own[places[0]][0], kind, len(places), len(t), len(t.split()), t))
+                        n += 1
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in NOTE_CHUNKS.split(", ")])
+
+    return notes.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text")).mapInPandas(run, NOTE_CHUNKS)
+
+
+def chunks(blocks: DataFrame, size: int = 1200, overlap: int = 200, rules: Rules = NOTES) -> DataFrame:
+    """Chunks of blocks (path, title, section_path, seq, block_seq, kind, text, page): path, chunk_index (within the path, from
+    0), title, section_path, page (of the first block), block_kind, chunk_kind, block_count, char_count, word_count, text.
+    A run of blocks of one title and section_path is packed by itself. `page` may be missing."""
+    paged = blocks if "page" in blocks.columns else blocks.withColumn("page", F.lit(None).cast("int"))
+    columns = ["path", "title", "section_path", "page", "kind", "text"]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from batch.astype(object).where(batch.notna(), None)[columns].itertuples(index=False, name=None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, last, n = [], None, 0
+        for (path, title, section_path), own in groupby(rows(batches), key=lambda r: r[:3]):
+            last, n = path, n if path == last else 0
+            held = list(own)
+            for kind, places, t in pack([r[4:] for r in held], size, overlap, prefix(title, section_path, rules), rules):
+                out.append((path, n, title, section_path, held[places[0]][3], held[places[0]][4], kind, len(places), len(t), len(t.split()), t))
+                n += 1
+            if len(out) >= 5000:
+                yield _frame(out)
+                out = []
+        yield _frame(out)
 
-def render(head: str, blocks: list[tuple[str, str]]) -> str:
-    body = "\n\n".join(f"{LABELS[k]}\n{t}" if k in LABELS else t for k, t in blocks)
-    return f"{head}\n{body}" if head else body
+    sorted_ = paged.select("path", "title", "section_path", "page", "kind", "text", "seq", "block_seq").repartition("path").sortWithinPartitions("path", "seq", "block_seq")
+    return sorted_.mapInPandas(run, CHUNKS)
 
 
-def chunks(blocks: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
-    """Chunks of blocks (path, title, section_path, seq, block_seq, kind, text): path, chunk_index (within the path, from
-    0), title, section_path, chunk_kind, block_count, char_count, word_count, text."""
+CHUNKS = "path string, chunk_index int, title string, section_path string, page int, block_kind string, chunk_kind string, block_count int, char_count int, word_count int, text string"
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        path, title, section_path, seq = key
-        group = group.sort_values("block_seq")
-        head = prefix(title, section_path)
-        rows = [(path, title, section_path, seq, i, kind, n, render(head, b)) for i, (kind, n, b) in enumerate(pack(list(zip(group["kind"], group["text"], strict=True)), size, overlap, head))]
-        return pd.DataFrame(rows, columns=["path", "title", "section_path", "seq", "part", "chunk_kind", "block_count", "text"])
 
-    schema = "path string, title string, section_path string, seq int, part int, chunk_kind string, block_count int, text string"
-    packed = blocks.groupBy("path", "title", "section_path", "seq").applyInPandas(run, schema)
-    index = F.row_number().over(Window.partitionBy("path").orderBy("seq", "part")) - 1
-    return packed.select("path", index.alias("chunk_index"), "title", "section_path", "chunk_kind", "block_count", F.length("text").alias("char_count"), F.size(F.split(F.trim("text"), r"\s+")).alias("word_count"), "text")
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")]).astype({"page": "Int32"})
 
 
 def split_documents(docs: DataFrame, id_col: str, text_col: str, size: int = 1200, overlap: int = 200) -> DataFrame:

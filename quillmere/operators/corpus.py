@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +23,8 @@ JOB = T.StructType([T.StructField(c, T.StringType()) for c in ("job_id", "status
 
 
 def latest(chunks: DataFrame, id_col: str = "id", order: str = "indexed_at") -> DataFrame:
-    """One row for each chunk: that which was indexed last."""
-    last = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc_nulls_last(order)))
+    """One row for each chunk: that which was indexed last, of several such the one with the least hash of its values."""
+    last = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc_nulls_last(order), F.xxhash64(*chunks.columns)))
     return chunks.withColumn("_last", last).filter("_last = 1").drop("_last")
 
 
@@ -76,16 +76,67 @@ def active(root: str) -> str:
     return json.loads(pointer.read_text())["index_root"] if pointer.exists() else root
 
 
-def health(spark: SparkSession, root: str, probe: str = "the", k: int = 3) -> dict:
-    """Whether the active index can be read and searched: status (ok, missing, error), row_count, hits."""
-    where = active(root)
-    if not os.path.isdir(f"{where}/chunks"):
-        return {"status": "missing", "row_count": 0, "hits": []}
-    try:
-        rows = spark.read.parquet(f"{where}/chunks")
-        return {"status": "ok", "row_count": rows.count(), "hits": [r.asDict() for r in retrieval.bm25(rows, "id", "text", probe, k).collect()]}
-    except Exception as e:  # noqa: BLE001
-        return {"status": "error", "row_count": 0, "hits": [], "error": str(e)[:500]}
+def health(spark: SparkSession, root: str, probe: str = "the", k: int = 3, timeout: float = 10.0, retries: int = 1) -> dict:
+    """Whether the active index can be read and searched: status (ok, missing, error, timeout), row_count, hits, attempts. A
+    probe that takes longer than `timeout` seconds is cancelled, and tried again `retries` times."""
+    where, none = active(root), {"row_count": 0, "hits": []}
+    if not exists(spark, f"{where}/chunks"):
+        return {"status": "missing", **none, "attempts": 0}
+    for attempt in range(1, retries + 2):
+        got: dict = {}
+        group = f"health-{uuid.uuid4().hex}"
+
+        def look(got: dict = got, group: str = group) -> None:
+            spark.sparkContext.setJobGroup(group, "index health", True)
+            try:
+                rows = spark.read.parquet(f"{where}/chunks")
+                got |= {"status": "ok", "row_count": rows.count(), "hits": [r.asDict() for r in retrieval.bm25(rows, "id", "text", probe, k).collect()]}
+            except Exception as e:  # noqa: BLE001
+                got |= {"status": "error", **none, "error": str(e)[:500]}
+
+        worker = InheritableThread(target=look, daemon=True)
+        worker.start()
+        worker.join(timeout)
+        if not worker.is_alive() and got:
+            return {**got, "attempts": attempt}
+        spark.sparkContext.cancelJobGroup(group)
+    return {"status": "timeout", **none, "attempts": retries + 1}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a path in whatever file system it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path and all below it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def save_json(path: str, record: dict) -> None:
+    """Keep a record: a fetch's outcome, a session, an experiment."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(record, ensure_ascii=False, indent=2, default=str))
+
+
+def write_fetch_manifest(fetched: DataFrame, path: str, limit: int = 100_000) -> dict:
+    """What became of linked PDFs (url, status, attempts), up to `limit` of them, and their counts; kept and returned."""
+    rows = fetched.orderBy("url").limit(limit).collect()
+    counts = {r.status: r["count"] for r in status_counts(fetched).collect()}
+    manifest = {"created_at": datetime.now(UTC).isoformat(), "counts": counts, "records": [r.asDict() for r in rows]}
+    save_json(path, manifest)
+    return manifest
+
+
+def job(root: str, job_id: str) -> dict:
+    """A job's record with what it wrote: stdout and stderr where there are such files."""
+    record = json.loads((Path(root) / job_id / "job.json").read_text())
+    for name in ("stdout", "stderr"):
+        file = Path(record.get(f"{name}_path") or Path(root) / job_id / f"{name}.log")
+        record[name] = file.read_text(errors="replace") if file.exists() else ""
+    return record
 
 
 def recall(memories: DataFrame, query: str, k: int = 3, seq: str = "seq") -> DataFrame:
@@ -105,16 +156,23 @@ def load_memories(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MEMORY).option("mode", "FAILFAST").json(path)
 
 
-def note_issues(notes: DataFrame, path: str = "path", text: str = "text", keys: tuple[str, ...] = ("title", "tags")) -> DataFrame:
+#: What a note's header must hold: keys, the breadcrumbs and the counterpart's marks by branch.
+HEADER_KEYS = ("cssclasses", "tags")
+CRUMBS = {"EN": r"\[\[Home", "UA": r"\[\[UA/Головна", "root": r"\[\[Home|\[\[UA/Головна"}
+COUNTERPARTS = {"EN": "🇺🇦 [[", "UA": "🇬🇧 [["}
+
+
+def note_issues(notes: DataFrame, path: str = "path", text: str = "text", keys: tuple[str, ...] = HEADER_KEYS) -> DataFrame:
     """What is wrong with notes, an issue a row: path, issue. The breadcrumb is the second line of a note's body."""
     head, body = X.frontmatter(F.col(text)), X.without_frontmatter(F.col(text))
     lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
     second = F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))
-    other = F.when(F.col(path).startswith("EN/"), "UA/").when(F.col(path).startswith("UA/"), "EN/")
-    has = head != ""
+    branch, has = X.branch(F.col(path)), F.col(text).startswith("---\n")
     checks = [F.when(~has, "missing_frontmatter")]
-    checks += [F.when(has & ~head.rlike(rf"(?m)^{k}:"), f"missing_frontmatter_key:{k}") for k in keys]
-    checks += [F.when(~body.rlike(r"(?m)^#\s+\S"), "missing_title"), F.when(~second.rlike(r"\[\["), "missing_breadcrumb"), F.when(other.isNotNull() & ~F.contains(F.col(text), F.concat(F.lit("[["), F.coalesce(other, F.lit("-")))), "missing_counterpart_link")]
+    checks += [F.when(has & ~head.rlike(rf"(?m)^{k}\s*:"), f"missing_frontmatter_{k}") for k in keys]
+    checks += [F.when(~body.rlike(r"(?m)^#\s+\S"), "missing_title")]
+    checks += [F.when((branch == b) & ~second.rlike(crumb), "missing_breadcrumb") for b, crumb in CRUMBS.items()]
+    checks += [F.when((branch == b) & ~F.contains(F.col(text), F.lit(mark)), "missing_counterpart_link") for b, mark in COUNTERPARTS.items()]
     return notes.filter(F.col(path).isNotNull() & F.col(text).isNotNull()).select(F.col(path).alias("path"), F.explode(F.array_compact(F.array(*checks))).alias("issue"))
 
 
@@ -155,9 +213,22 @@ def write_mirror(root: str, path: str, mirror: str, overwrite: bool = False) ->
         raise ValueError("mirrors lie in EN/ and UA/")
     if note_path(root, mirror).exists() and not overwrite:
         raise ValueError(f"there is a note already: {mirror}")
-    lines = note_path(root, path).read_text().split("\n")
-    lines[2:3] = [f"[[{Path(path).with_suffix('')}]]"]
-    return write_note(root, mirror, "\n".join(lines))
+    icon, name = {"EN": ("🇬🇧", "English"), "UA": ("🇺🇦", "Українська")}[Path(path).parts[0]]
+    back = f"{icon} [[{path}|{name}]]"
+    text = note_path(root, path).read_text()
+    lines = text.split("\n")
+    if len(lines) > 2 and lines[0].startswith("# ") and lines[2].startswith(("🌐 [[", "🇺🇦 [[", "🇬🇧 [[")):
+        lines[2] = back
+        return write_note(root, mirror, "\n".join(lines))
+    return write_note(root, mirror, text.rstrip("\n") + f"\n\n{back}\n")
+
+
+def read_note(root: str, path: str) -> dict:
+    """A note: path, branch, title (its first line of level 1, else the file's stem), content."""
+    text = note_path(root, path).read_text()
+    title = next((x[2:].strip() for x in text.split("\n") if x.startswith("# ")), Path(path).stem)
+    branch = Path(path).parts[0] if Path(path).parts[0] in ("EN", "UA") else "root"
+    return {"path": path, "language_branch": branch, "title": title, "content": text}
 
 
 def linked_pdfs(notes: DataFrame, path: str = "path", text: str = "text", limit: int | None = None) -> DataFrame:

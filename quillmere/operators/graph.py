@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as X
+from quillmere.session import cut
 
 #: What an edge adds in a search, in an expansion, and what it costs on a path.
 SEARCH_BONUS = {"mirror_of": 1.5, "links_to": 1.2, "defines_entity": 1.15, "mentions_entity": 1.0, "has_section": 1.0, "has_tag": 0.9, "cites_doi": 0.9, "same_top_level_domain": 0.4}
@@ -39,14 +40,19 @@ def entities(notes: DataFrame) -> DataFrame:
 
 
 def mentions(notes: DataFrame, known: DataFrame) -> DataFrame:
-    """Notes that mention another note's entity: path, numeric_id, alias (the first that matches). Aliases meet the
-    notes' words by their first word; those of several words are then looked up in the text."""
-    alias = known.select("numeric_id", F.explode("aliases").alias("alias")).withColumn("first", F.element_at(X.words(F.col("alias")), 1))
-    words = notes.select("path", X.numeric_id(F.col("path")).alias("own"), F.lower("text").alias("low"), F.array_distinct(X.words(F.col("text"))).alias("w"))
-    met = words.select("path", "own", "low", F.explode("w").alias("first")).join(alias, "first").filter("own != numeric_id")
-    # a word's neighbours are no letters or digits, which the index of words has seen to for aliases of one word
-    whole = F.when(F.size(X.words(F.col("alias"))) == 1, F.lit(True)).otherwise(F.contains("low", F.lower("alias")))
-    return met.filter(whole).groupBy("path", "numeric_id").agg(F.min("alias").alias("alias"))
+    """Notes that mention another note's entity: path, numeric_id, alias (the first that matches, whole words, outside front
+    matter and fences). Aliases meet the notes' words by their first word, as paths and words only; those that are more than
+    one word are then looked up in the texts of the notes they met. Aliases without a word are mentioned nowhere."""
+    alias = known.select("numeric_id", F.explode("aliases").alias("alias")).select("numeric_id", "alias", X.words(F.col("alias")).alias("a")).withColumn("first", F.try_element_at("a", F.lit(1))).filter("first IS NOT NULL")
+    body = F.regexp_replace(X.without_frontmatter(F.col("text")), r"(?s)```.*?```", "")
+    texts = notes.filter("text IS NOT NULL").select("path", X.numeric_id(F.col("path")).alias("own"), body.alias("body"))
+    words = texts.select("path", "own", F.explode(F.array_distinct(X.words(F.col("body")))).alias("first"))
+    met = words.join(alias, "first").filter("own != numeric_id").withColumn("plain", F.lower("alias") == F.col("first"))
+    # no letter, digit or underscore may stand beside the alias, whose signs are quoted
+    pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace("alias", r"(?U)([^\w\s])", r"\\$1"), F.lit(r"(?!\w)"))
+    looked_up = met.filter("NOT plain").select("path", "numeric_id", "alias").join(texts.select("path", "body"), "path").filter(F.rlike("body", pattern))
+    both = met.filter("plain").select("path", "numeric_id", "alias").unionByName(looked_up.select("path", "numeric_id", "alias"))
+    return both.groupBy("path", "numeric_id").agg(F.min("alias").alias("alias"))
 
 
 def mirrors(notes: DataFrame) -> DataFrame:
@@ -64,9 +70,10 @@ def resolved_links(notes: DataFrame) -> DataFrame:
     return exact.unionByName(longer).distinct()
 
 
-def build(notes: DataFrame, sections: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build(notes: DataFrame, sections: DataFrame | None = None, special: tuple[tuple[str, str], ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes (id, node_type, ...), edges (src, dst, edge_type) and domains (id, domain) of notes with path, title, branch,
-    tags, links, dois and text; sections: path, section_path. Edges of both directions have a row each."""
+    tags, links, dois and text; sections: path, seq, section, section_path. `special` are paths of pages that mirror one another
+    without a number. Edges of both directions have a row each."""
     nodes = note_nodes(notes)
     note = lambda c: F.concat(F.lit("note::"), c)
     known = entities(notes)
@@ -75,15 +82,19 @@ def build(notes: DataFrame, sections: DataFrame | None = None) -> tuple[DataFram
     own = notes.select(note("path").alias("src"), X.numeric_id(F.col("path")).alias("numeric_id")).join(known.select("numeric_id"), "numeric_id").select("src", F.concat(F.lit("entity::"), "numeric_id").alias("dst"))
     said = mentions(notes, known).select(note("path").alias("src"), F.concat(F.lit("entity::"), "numeric_id").alias("dst"))
     pairs = mirrors(notes).select(note("a").alias("src"), note("b").alias("dst"))
+    if special:
+        there = notes.select("path").distinct()
+        named = notes.sparkSession.createDataFrame(list(special), "a string, b string")
+        pairs = pairs.unionByName(named.join(there.withColumnRenamed("path", "a"), "a").join(there.withColumnRenamed("path", "b"), "b").select(note("a").alias("src"), note("b").alias("dst")))
     linked = resolved_links(notes).select(note("path").alias("src"), note("target").alias("dst"))
     both = [(tags, "has_tag"), (dois, "cites_doi"), (own, "defines_entity"), (said, "mentions_entity"), (pairs, "mirror_of")]
     families = [d.select("src", "dst", F.lit(t).alias("edge_type")) for d, t in both] + [d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(t).alias("edge_type")) for d, t in both]
     families.append(linked.select("src", "dst", F.lit("links_to").alias("edge_type")))
     extra = [tags.select(F.col("dst").alias("id"), F.lit("tag").alias("node_type")), dois.select(F.col("dst").alias("id"), F.lit("doi").alias("node_type")), known.select(F.concat(F.lit("entity::"), "numeric_id").alias("id"), F.lit("entity").alias("node_type"), F.lower(F.array_join("aliases", "\n")).alias("search_text"))]
     if sections is not None:
-        at = sections.select(note("path").alias("src"), F.concat(F.lit("section::"), "path", F.lit("::"), "section_path").alias("dst"))
+        at = sections.join(notes.select("path", "title"), "path").select(note("path").alias("src"), F.concat(F.lit("section::"), "path", F.lit("::"), "section_path").alias("dst"), "path", "title", "section", "section_path", "seq")
         families.append(at.select("src", "dst", F.lit("has_section").alias("edge_type")))
-        extra.append(at.select(F.col("dst").alias("id"), F.lit("section").alias("node_type")))
+        extra.append(at.groupBy(F.col("dst").alias("id")).agg(F.lit("section").alias("node_type"), F.min("path").alias("source_path"), F.min("title").alias("title"), F.min_by("section", "seq").alias("section"), F.min("seq").alias("seq"), F.lower(F.concat_ws(" ", F.min("path"), F.min("title"), F.min_by("section", "seq"), F.min("section_path"))).alias("search_text")))
     for e in extra:
         named = e if "search_text" in e.columns else e.withColumn("search_text", F.lower(F.regexp_replace("id", "^[a-z]+::", "")))
         nodes = nodes.unionByName(named.distinct(), allowMissingColumns=True)
@@ -109,26 +120,127 @@ def match(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.select("id", "node_type", score.alias("score")).filter("score > 0")
 
 
-def search(nodes: DataFrame, edges: DataFrame, domains: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """Notes ranked by their own match and that of their sections, tags, DOIs, entities and neighbours one hop away:
-    source_path, score, rank. A neighbour gives half its base, times the best bonus among the edges from it."""
+def starts(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
+    """What a query gives notes by themselves: id, base, evidence; a row for each node that matches."""
     hits = match(nodes, query)
-    base = hits.filter("node_type = 'note'").select("id", (F.col("score") + 3).alias("base"))
-    parts = hits.filter("node_type = 'section'").join(edges.filter("edge_type = 'has_section'").select("src", F.col("dst").alias("id")), "id").select(F.col("src").alias("id"), (F.col("score") + 2).alias("base"))
-    marks = hits.filter("node_type NOT IN ('note', 'section')").join(edges.select(F.col("src").alias("id"), "dst").distinct(), "id").select(F.col("dst").alias("id"), (F.col("score") + 1.5).alias("base"))
-    start = base.unionByName(parts).unionByName(marks).groupBy("id").agg(F.sum("base").alias("base"))
-    direct = edges.filter("edge_type IN ('mirror_of', 'links_to')").groupBy("src", "dst").agg(F.max(weight(SEARCH_BONUS, 0.3)).alias("bonus")).filter("src != dst")
-    passed = start.select(F.col("id").alias("src"), "base").join(direct, "src")
-    by_edge = passed.select(F.col("dst").alias("id"), (F.col("base") * F.col("bonus") / 2).alias("base"))
-    # the rest of the domain, less those that a better edge links
-    placed = start.join(domains, "id")
-    sums = placed.groupBy("domain").agg(F.sum("base").alias("all"))
-    linked = passed.join(domains.select(F.col("id").alias("src"), F.col("domain").alias("d0")), "src").join(domains.select(F.col("id").alias("dst"), F.col("domain").alias("d1")), "dst").filter("d0 = d1").groupBy(F.col("dst").alias("id")).agg(F.sum("base").alias("linked"))
-    rest = domains.join(sums, "domain").join(start.select("id", F.col("base").alias("own")), "id", "left").join(linked, "id", "left")
-    by_domain = rest.select("id", ((F.col("all") - F.coalesce("own", F.lit(0.0)) - F.coalesce("linked", F.lit(0.0))) * SEARCH_BONUS["same_top_level_domain"] / 2).alias("base")).filter("base > 1e-9")
-    total = start.unionByName(by_edge).unionByName(by_domain).groupBy("id").agg(F.sum("base").alias("score"))
-    out = total.join(nodes.filter("node_type = 'note'").select("id", "source_path"), "id").orderBy(F.desc(F.round("score", 9)), "source_path").limit(k)
-    return out.select("source_path", F.round("score", 3).alias("score"), F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "source_path")).alias("rank"))
+    own = nodes.filter("node_type = 'note'").select("id", F.concat(F.lit("matched note `"), "source_path", F.lit("`")).alias("evidence"))
+    base = hits.filter("node_type = 'note'").join(own, "id").select("id", (F.col("score") + 3).alias("base"), "evidence")
+    label = F.regexp_replace("id", "^section::.*?::|^[a-z]+::", "")
+    parts = hits.filter("node_type = 'section'").join(edges.filter("edge_type = 'has_section'").select("src", F.col("dst").alias("id")).distinct(), "id").select(F.col("src").alias("id"), (F.col("score") + 2).alias("base"), F.concat(F.lit("matched section `"), label, F.lit("`")).alias("evidence"))
+    marks = hits.filter("node_type NOT IN ('note', 'section')").join(edges.select(F.col("src").alias("id"), "dst").distinct(), "id").filter(F.col("dst").startswith("note::")).select(F.col("dst").alias("id"), (F.col("score") + 1.5).alias("base"), F.concat(F.lit("matched `"), label, F.lit("`")).alias("evidence"))
+    return base.unionByName(parts).unionByName(marks)
+
+
+def search(nodes: DataFrame, edges: DataFrame, domains: DataFrame, query: str, k: int = 5, hops: int = 1) -> DataFrame:
+    """Notes ranked by their own match and that of their sections, tags, DOIs, entities and of neighbours up to `hops` edges
+    between notes away: source_path, score, rank. A neighbour gives its base, times the best bonus among the edges of the last
+    step, divided by the number of steps; each note is reached once from each start, by the best of its shortest ways."""
+    if k <= 0 or hops < 0:
+        raise ValueError("k must be positive and hops not negative")
+    start = starts(nodes, edges, query).groupBy("id").agg(F.sum("base").alias("base"))
+    direct = edges.filter(F.col("src").startswith("note::") & F.col("dst").startswith("note::") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.max(weight(SEARCH_BONUS, 0.3)).alias("bonus"))
+    gains = [start.select("id", "base")]
+    if hops:
+        passed = start.select(F.col("id").alias("src"), "base").join(direct, "src")
+        better = F.greatest("bonus", F.when(F.col("d0") == F.col("d1"), SEARCH_BONUS["same_top_level_domain"]))
+        ends = [domains.select(F.col("id").alias(c), F.col("domain").alias(d)) for c, d in (("src", "d0"), ("dst", "d1"))]
+        linked = passed.join(ends[0], "src", "left").join(ends[1], "dst", "left")
+        gains.append(linked.select(F.col("dst").alias("id"), (F.col("base") * better).alias("base")))
+        # the rest of the domain, less those that an edge links
+        sums = start.join(domains, "id").groupBy("domain").agg(F.sum("base").alias("all"))
+        within = linked.filter("d0 = d1").groupBy(F.col("dst").alias("id")).agg(F.sum("base").alias("linked"))
+        rest = domains.join(sums, "domain").join(start.select("id", F.col("base").alias("own")), "id", "left").join(within, "id", "left")
+        gains.append(rest.select("id", ((F.col("all") - F.coalesce("own", F.lit(0.0)) - F.coalesce("linked", F.lit(0.0))) * SEARCH_BONUS["same_top_level_domain"]).alias("base")).filter("base > 1e-9"))
+    if hops > 1:
+        notes_only = direct.select("src", "dst", F.col("bonus").alias("value"))
+        seen = start.select(F.col("id").alias("start"), F.col("id").alias("at"))
+        front = start.select(F.col("id").alias("start"), F.col("id").alias("at"), "base")
+        for n in range(1, hops + 1):
+            inside = front.join(domains.select(F.col("id").alias("at"), "domain"), "at").join(domains.select(F.col("id").alias("dst"), "domain"), "domain").filter("at != dst").select("start", "base", "dst", F.lit(SEARCH_BONUS["same_top_level_domain"]).alias("value"))
+            step = front.join(notes_only.withColumnRenamed("src", "at"), "at").select("start", "base", "dst", "value").unionByName(inside).groupBy("start", "base", "dst").agg(F.max("value").alias("value"))
+            front = cut(step.withColumnRenamed("dst", "at").join(seen, ["start", "at"], "left_anti"))
+            if n > 1:
+                gains.append(front.select(F.col("at").alias("id"), (F.col("base") * F.col("value") / n).alias("base")))
+            seen = seen.unionByName(front.select("start", "at"))
+            front = front.select("start", "at", "base")
+    total = reduce(DataFrame.unionByName, gains).groupBy("id").agg(F.sum("base").alias("score"))
+    order = [F.desc(F.round("score", 9)), F.asc("source_path")]
+    out = total.join(nodes.filter("node_type = 'note'").select("id", "source_path"), "id").orderBy(*order).limit(k)
+    return out.select("source_path", F.round("score", 3).alias("score"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
+
+
+def results(nodes: DataFrame, edges: DataFrame, domains: DataFrame, query: str, k: int = 5) -> DataFrame:
+    """A search's notes as users read them: source_path, title, language_branch, score, rank, snippet (title, up to four tags,
+    three sections), evidence (the first five kinds: its own matches, then the edges over which matching neighbours give)."""
+    top = search(nodes, edges, domains, query, k).withColumn("id", F.concat(F.lit("note::"), "source_path"))  # k rows
+    notes = nodes.filter("node_type = 'note'")
+    shown = top.join(notes.select("id", "title", "language_branch"), "id")
+    found = starts(nodes, edges, query)
+    ids = F.broadcast(top.select("id"))
+    own = found.join(ids, "id").select("id", F.lit(0).alias("step"), "evidence")
+    near = edges.filter("edge_type IN ('mirror_of', 'links_to')").join(ids.withColumnRenamed("id", "dst"), "dst").join(found.select(F.col("id").alias("src")).distinct(), "src").filter("src != dst").groupBy("src", "dst").agg(F.array_join(F.sort_array(F.collect_set("edge_type")), ", ").alias("t"))
+    passed = near.select(F.col("dst").alias("id"), F.lit(1).alias("step"), F.concat(F.lit("expanded via "), "t", F.lit(" from `"), F.regexp_replace("src", "^note::", ""), F.lit("`")).alias("evidence"))
+    first = own.unionByName(passed).distinct().withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("step", "evidence"))).filter("n <= 5").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
+    of = lambda kind, name, most, order: edges.filter(F.col("edge_type") == kind).join(ids.withColumnRenamed("id", "src"), "src").join(nodes.select(F.col("id").alias("dst"), *order), "dst").select("src", *order, "dst").distinct().withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(*order, "dst"))).filter(F.col("n") <= most).groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.regexp_replace("dst", "^tag::", "").alias("x") if kind == "has_tag" else F.col("section").alias("x")))), lambda v: v["x"]).alias(name))
+    tagged = of("has_tag", "tags", 4, ["search_text"])
+    out = shown.join(first, "id", "left").join(tagged, "id", "left")
+    said = F.when(F.size("tags") > 0, F.concat(F.lit("tags: "), F.array_join("tags", ", ")))
+    parts = [F.col("title"), said]
+    if "section" in nodes.columns:
+        out = out.join(of("has_section", "sections", 3, ["seq", "section"]), "id", "left")
+        parts.append(F.when(F.size("sections") > 0, F.concat(F.lit("sections: "), F.array_join("sections", ", "))))
+    return out.select("source_path", "title", "language_branch", "score", "rank", X.snippet(F.concat_ws(" | ", *parts), 220).alias("snippet"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence")).orderBy("rank")
+
+
+def resolve(nodes: DataFrame, query: str) -> tuple[str, list[str]]:
+    """The note that a name means: its id and warnings. Ids, paths and titles meet it without case, the smallest path first;
+    else the best match does, with a warning that says whether it was one of several. ValueError if none matches."""
+    low = query.strip().lower()
+    notes = nodes.filter("node_type = 'note'")
+    same = notes.filter((F.lower("id") == low) | (F.lower("source_path") == low) | (F.lower("title") == low)).orderBy("source_path").select("id").first()
+    if same:
+        return same.id, []
+    best = match(notes, query).join(notes.select("id", "source_path"), "id").orderBy(F.desc("score"), "source_path").limit(2).collect()
+    if not best:
+        raise ValueError(f"no note matches {query!r}")
+    tied = len(best) > 1 and best[0].score == best[1].score
+    return best[0].id, [f"{query!r} taken for {best[0].source_path!r} by a {'tied ' if tied else ''}fuzzy match"]
+
+
+def label(kind: str = "node_type") -> Column:
+    """What a node is called: a note's title, a section's path, `tag:x`, `doi:x`, an entity's first alias, else its id."""
+    bare = F.regexp_replace("id", "^[a-z]+::", "")
+    return F.when(F.col(kind) == "note", F.coalesce("title", "source_path", "id")).when(F.col(kind) == "section", F.regexp_replace(bare, "^.*?::", "")).when(F.col(kind).isin("tag", "doi"), F.concat(F.col(kind), F.lit(":"), bare)).when(F.col(kind) == "entity", F.element_at(F.split("search_text", "\n"), 1)).otherwise(F.col("id"))
+
+
+def save(graph: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """Keep a graph: nodes, edges by type and clustered by their source, domains."""
+    nodes, edges, domains = graph
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.repartition("edge_type", F.pmod(F.xxhash64("src"), F.lit(32))).sortWithinPartitions("src").write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")
+    domains.sort("domain").write.mode("overwrite").parquet(f"{path}/domains")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A graph that was kept: nodes, edges, domains. Searches read the types of edges and the sources they ask for."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").select("src", "dst", "edge_type"), spark.read.parquet(f"{path}/domains")
+
+
+def paths_between(edges: DataFrame, domains: DataFrame, source: str, targets: list[str], hops: int = 2) -> DataFrame:
+    """The lightest way from a note to each of some others (few: a search's hits): target, path, cost, n_edges."""
+    out = [explain(edges, domains, source, t, hops, 1).withColumn("target", F.lit(t)) for t in dict.fromkeys(targets) if t != source]
+    return reduce(DataFrame.unionByName, out) if out else edges.sparkSession.createDataFrame([], "path array<string>, cost double, n_edges int, target string")
+
+
+def related(nodes: DataFrame, edges: DataFrame, domains: DataFrame, source: str, hits: DataFrame, k: int = 5, hops: int = 2) -> DataFrame:
+    """Hits (source_path, score, rank) around a note: without itself and of its branch, each with the way to it: source_path,
+    score, rank, path (labels), n_edges; null where there is none within `hops`."""
+    branch = X.branch(F.lit(source))
+    kept = hits.filter((F.col("source_path") != source) & (X.branch(F.col("source_path")) == branch)).orderBy("rank").limit(k)
+    ways = paths_between(edges, domains, source, [r.source_path for r in kept.select("source_path").collect()], hops)  # k rows
+    steps = ways.select("target", "n_edges", F.posexplode("path").alias("at", "id")).join(nodes.select("id", label().alias("label")), "id")
+    named = steps.groupBy("target", "n_edges").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("path"))
+    return kept.join(named.withColumnRenamed("target", "source_path"), "source_path", "left").select("source_path", "score", F.row_number().over(Window.orderBy("rank")).alias("rank"), "path", "n_edges")
 
 
 def _steps(frontier: DataFrame, edges: DataFrame, domains: DataFrame, values: dict[str, float], best: str) -> DataFrame:

@@ -7,10 +7,11 @@ postings table, grouped by document and term before it is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as X
@@ -33,8 +34,7 @@ def _equals(term: str) -> Callable[[Column], Column]:
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """Documents with a term of the query: id, score, rank (1..k; ties by id). Null texts match nothing. Scores are
     rounded to nine places, so that the order of sums does not part equal ones."""
-    spark = docs.sparkSession
-    terms = spark.range(1).select(F.array_distinct(X.words(F.lit(query))).alias("t")).first().t
+    terms = _terms(query)
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     tokens = X.words(F.col(text_col))
@@ -64,6 +64,24 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return tokens.select(id_col, F.explode("tokens").alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf")), tokens.select(id_col, F.size("tokens").alias("dl"))
 
 
+def bm25_stored(spark: SparkSession, index: str, query: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """The same as `bm25`, from a stored index (`corpus.write_chunks`): id, score, rank. Of the postings only the row groups
+    of the query's terms are read, and no text."""
+    terms = _terms(query)
+    post = spark.read.parquet(f"{index}/postings").filter(F.col("term").isin(terms) if terms else F.lit(False))
+    lengths = spark.read.parquet(f"{index}/lengths")
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    hit = post.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(stats))  # a row a term of the query; one row
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return ranked(hit.groupBy("id").agg(F.round(F.sum(part), 9).alias("score")), "id", F.desc("score"), k)
+
+
+def _terms(query: str) -> list[str]:
+    """A query's different terms, as `text.words` takes them."""
+    return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
+
+
 def bm25_batch(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, query_id: str, query_text: str, k: int, k1: float = K1, b: float = B, most_broadcast: int = 1_000_000) -> DataFrame:
     """BM25 for many queries: query_id, id, score, rank. Only postings of the queries' terms are counted. Up to
     `most_broadcast` of those terms go to the documents; more are joined by shuffles."""
@@ -141,7 +159,7 @@ def check_search(mode: str, reranker: str, k: int, fetch_k: int, min_score: floa
         raise ValueError("max_distance must not be negative")
 
 
-def search(rows: DataFrame, id_col: str, text_col: str, vector_col: str, query: str, query_vector: list[float] | None = None, mode: str = "auto", reranker: str = "none", k: int = 5, fetch_k: int = 20, min_score: float | None = None, max_distance: float | None = None, scorer: Callable[[list[str]], list[float]] | None = None, snippet_chars: int = 320, replier: Callable[[list[str]], list[str]] | None = None, graph: tuple[DataFrame, DataFrame] | None = None, path_col: str = "source_path", hops: int = 2) -> tuple[DataFrame, list[str], str]:
+def search(rows: DataFrame, id_col: str, text_col: str, vector_col: str, query: str, query_vector: list[float] | None = None, mode: str = "auto", reranker: str = "none", k: int = 5, fetch_k: int = 20, min_score: float | None = None, max_distance: float | None = None, scorer: Callable[[list[str]], list[float]] | None = None, snippet_chars: int = 320, replier: Callable[[list[str]], list[str]] | None = None, graph: tuple[DataFrame, DataFrame] | None = None, path_col: str = "source_path", hops: int = 2, governed: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], str]:
     """A search as users run it: hits (id, score and/or distance, rank, snippet), warnings, and the mode that ran.
 
     `auto` routes by the query's form. Without a query vector a vector or hybrid search falls back to full text; without
@@ -183,7 +201,7 @@ def search(rows: DataFrame, id_col: str, text_col: str, vector_col: str, query:
     kept = above(hits, min_score, max_distance)
     order = F.asc("rank")
     if mode == "hybrid-graph":
-        merged = _with_graph(kept, rows, graph, id_col, path_col, k, max(fetch_k, k), hops)
+        merged = _with_graph(kept, rows, graph, id_col, path_col, k, max(fetch_k, k), hops, governed)
         return merged.join(rows.select(id_col, X.snippet(F.col(text_col), snippet_chars).alias("snippet")), id_col, "left").orderBy(order), warnings, mode
     top = ranked(kept.withColumnRenamed("rank", "_rank"), id_col, F.asc("_rank"), k).drop("_rank")
     return top.join(rows.select(id_col, X.snippet(F.col(text_col), snippet_chars).alias("snippet")), id_col).orderBy(order), warnings, mode
@@ -197,27 +215,33 @@ def _replies(replier: Callable[[list[str]], list[str]]) -> Callable[[Column], Co
     return F.pandas_udf(run, "string")
 
 
-def base_score(hits: DataFrame) -> Column:
-    """A hit's score, else 1 / (1 + distance)."""
-    score = F.col("score") if "score" in hits.columns else F.lit(None).cast("double")
-    return F.coalesce(score, 1 / (1 + F.col("distance"))) if "distance" in hits.columns else score
+def base_score(hits: DataFrame, total: int) -> Column:
+    """A hit's score, else 1 / (1 + distance), else its rank as a share of `total`, the first rank 1."""
+    ladder = [F.col("score")] if "score" in hits.columns else []
+    ladder += [1 / (1 + F.col("distance"))] if "distance" in hits.columns else []
+    return F.coalesce(*ladder, F.greatest(F.lit(total) - F.col("rank") + 1, F.lit(1)) / F.lit(max(1, total)))
 
 
-def _with_graph(hits: DataFrame, rows: DataFrame, graph: tuple[DataFrame, DataFrame], id_col: str, path_col: str, k: int, limit: int, hops: int) -> DataFrame:
-    """Hits merged with the notes around the notes of the first of them: id, score, rank, source_path, origin."""
-    placed = hits.join(rows.select(id_col, F.col(path_col).alias("source_path")), id_col).select(id_col, "source_path", base_score(hits).alias("score"), "rank")
-    seeds = placed.filter("source_path IS NOT NULL").groupBy("source_path").agg(F.min("rank").alias("rank")).orderBy("rank").limit(min(k, 3))
+def _with_graph(hits: DataFrame, rows: DataFrame, graph: tuple[DataFrame, DataFrame], id_col: str, path_col: str, k: int, limit: int, hops: int, governed: tuple[str, ...] = ()) -> DataFrame:
+    """Hits merged with the notes around the notes of the first of them: id, score, rank, source_path, origin. Files named
+    `governed` seed nothing unless all of the first hits are such."""
+    placed = hits.join(rows.select(id_col, F.col(path_col).alias("source_path")), id_col).select(id_col, "source_path", base_score(hits, limit).alias("score"), "rank")
+    ruled = F.regexp_extract("source_path", r"([^/]*)$", 1).isin(*governed) if governed else F.lit(False)
+    noted = placed.filter("source_path IS NOT NULL").groupBy("source_path").agg(F.min("rank").alias("rank")).withColumn("ruled", ruled)
+    # the others come first, and only if there is none the governed ones count, two at most
+    order = F.row_number().over(Window.orderBy("ruled", "rank"))
+    seeds = noted.withColumn("n", order).withColumn("free", F.max(~F.col("ruled")).over(Window.partitionBy())).filter(F.when(F.col("free"), ~F.col("ruled") & (F.col("n") <= min(k, 3))).otherwise(F.col("n") <= min(k, 2)))
     boosts = G.expand(*graph, seeds.select(F.concat(F.lit("note::"), "source_path").alias("id")), hops, limit)
     return G.merge(placed, boosts, k).select(id_col, F.col("combined").alias("score"), "rank", "source_path", "origin")
 
 
-def degrade(attempts: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[list, list[str]]:
-    """Rows of the first attempt whose action succeeds, and a warning for each that failed. As plans are lazy, the
+def degrade(attempts: list[tuple[str, Callable[[], DataFrame]]], most: int = 10_000) -> tuple[list, list[str]]:
+    """Up to `most` rows of the first attempt whose action succeeds, and a warning for each that failed. As plans are lazy, the
     action itself is inside the guard."""
     warnings = []
     for name, make in attempts:
         try:
-            return make().collect(), warnings
+            return make().limit(most).collect(), warnings
         except Exception as e:  # noqa: BLE001
             warnings.append(f"{name} failed: {type(e).__name__}")
     return [], warnings

@@ -10,12 +10,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as X
 
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", re.M)
+#: Links of notes, and lines of nothing but links with separators between.
 _LINK = r"(?:\[\[[^\]]+\]\]|\[[^\]]+\]\([^)]+\))"
 _NAVIGATION = re.compile(rf"^\s*(?:[-*+]\s+)?{_LINK}(?:\s*(?:\||/|->|>|→|::|·|•)\s*{_LINK})+\s*$")
 _LINK_ONLY = re.compile(rf"^\s*(?:[-*+]\s+)?{_LINK}\s*$")
@@ -92,6 +93,22 @@ def note_titles(found: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.min_by("section", F.when(F.col("level") == 1, F.col("seq"))).alias("t")).select("path", F.coalesce("t", stem).alias("title"))
 
 
+def title_of(found: list[tuple[str, int, str, str]], path: str | None) -> str:
+    """A note's first section of level 1, else its file's stem."""
+    return next((s for s, level, _, _ in found if level == 1), (path or "").rsplit("/", 1)[-1].removesuffix(".md"))
+
+
+def section_blocks(section: str, text: str) -> list[tuple[str, str]]:
+    """The blocks of a section, none if it lists sources; paragraphs of summaries are abstracts."""
+    name = section.strip().lower()
+    if name in REFERENCES:
+        return []
+    own = blocks_of(text) or [("paragraph", text)]
+    if len(own) > 1 and own[0][1].strip() == section.strip():
+        own = own[1:]
+    return [("abstract" if name in ABSTRACTS and k == "paragraph" else k, t) for k, t in own]
+
+
 def blocks_of(text: str) -> list[tuple[str, str]]:
     """The typed blocks of a section: code, diagrams, formulas, images, captions, tables and paragraphs."""
     out: list[tuple[str, str]] = []
@@ -113,9 +130,9 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
             kind = "diagram" if word in X.DIAGRAM_FENCES else "formula" if word in X.FORMULA_FENCES else "code_block"
             out.append((kind, "\n".join(lines[i : end + 1])))
             i = end + 1
-        elif bare.startswith("$$"):
+        elif bare == "$$":
             flush()
-            end = i if bare.count("$$") > 1 else next((j for j in range(i + 1, len(lines)) if "$$" in lines[j]), len(lines) - 1)
+            end = next((j for j in range(i + 1, len(lines)) if lines[j].strip() == "$$"), len(lines) - 1)
             out.append(("formula", "\n".join(lines[i : end + 1])))
             i = end + 1
         elif re.match(r"^!\[[^\]]*\]\([^)]*\)$|^!\[\[[^\]]+\]\]$", bare):
@@ -151,59 +168,109 @@ def blocks(found: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for path, seq, section, level, section_path, text in batch.itertuples(index=False):
-                if section.strip().lower() in REFERENCES:
-                    continue
-                own = blocks_of(text) or [("paragraph", text)]
-                if len(own) > 1 and own[0][1].strip() == section.strip():
-                    own = own[1:]
-                summary = section.strip().lower() in ABSTRACTS
-                out += [(path, seq, section, level, section_path, i, "abstract" if summary and k == "paragraph" else k, t) for i, (k, t) in enumerate(own)]
+                out += [(path, seq, section, level, section_path, i, k, t) for i, (k, t) in enumerate(section_blocks(section, text))]
             yield pd.DataFrame(out, columns=["path", "seq", "section", "level", "section_path", "block_seq", "kind", "text"])
 
     return found.select("path", "seq", "section", "level", "section_path", "text").mapInPandas(run, "path string, seq int, section string, level int, section_path string, block_seq int, kind string, text string")
 
 
+def _page_lines(text: str) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: X.normalize(x)), lambda x: x != "")
+
+
 def repeated_lines(pages: DataFrame, file: str = "source_path", text: str = "text", edge: int = 3) -> DataFrame:
-    """Lines that return at the edges of a file's pages: file, line, n. A line counts each time it is among the first or
-    last `edge` lines of a page; of up to 3 pages it must be on all, of more on half of them."""
-    lines = pages.filter(F.col(text).isNotNull()).select(F.col(file).alias("file"), F.filter(F.transform(F.split(text, "\n"), lambda x: X.normalize(x)), lambda x: x != "").alias("lines"))
-    size = F.size("lines")
-    ends = F.when(size <= 2 * edge, F.col("lines")).otherwise(F.concat(F.slice("lines", 1, edge), F.slice("lines", -edge, edge)))
+    """Lines, in lower case, that return at an end of a file's pages: file, place (top, bottom), line, n. A line counts each
+    time it is among the first (or last) `edge` lines of a page; of up to 3 pages it must be there as often as there are
+    pages, of more half as often. A file of one page has none."""
+    lines = pages.filter(F.col(text).isNotNull()).select(F.col(file).alias("file"), F.transform(_page_lines(text), lambda x: F.lower(x)).alias("lines"))
     sizes = lines.groupBy("file").agg(F.count("*").alias("pages"))
-    counts = lines.select("file", F.explode(ends).alias("line")).groupBy("file", "line").agg(F.count("*").alias("n"))
+    # both ends in one array, so that one pass counts them
+    ends = F.concat(F.transform(F.slice("lines", 1, edge), lambda x: F.struct(F.lit("top").alias("place"), x.alias("line"))), F.transform(F.slice("lines", F.greatest(F.lit(1), F.size("lines") - edge + 1), F.lit(edge)), lambda x: F.struct(F.lit("bottom").alias("place"), x.alias("line"))))
+    counts = lines.select("file", F.explode(ends).alias("x")).groupBy("file", "x.place", "x.line").agg(F.count("*").alias("n"))
     least = F.when(F.col("pages") <= 3, F.col("pages")).otherwise(F.ceil(F.col("pages") / 2))
-    return counts.join(sizes, "file").filter((F.col("pages") > 1) & (F.col("n") >= least)).select("file", "line", "n")
+    return counts.join(sizes, "file").filter((F.col("pages") > 1) & (F.col("n") >= least)).select("file", "place", "line", "n")
 
 
 def trimmed_pages(pages: DataFrame, id_col: str = "page_id", file: str = "source_path", text: str = "text", label: str = "page_label", edge: int = 3) -> DataFrame:
-    """Pages without running lines at their edges: id, text, n_removed. Repeated lines, numbers of up to four digits, the
-    page's label and `page N` go from both ends until a line stays; pages that become empty are dropped."""
-    known = repeated_lines(pages, file, text, edge).groupBy("file").agg(F.collect_set("line").alias("known"))
-    rows = pages.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(file).alias("file"), F.col(label).alias("label"), F.filter(F.transform(F.split(text, "\n"), lambda x: X.normalize(x)), lambda x: x != "").alias("lines")).join(known, "file", "left")
+    """Pages without running lines at their ends: id, text, n_removed. Lines that return at that end, numbers of up to four
+    digits, the page's label, and `page` or `p.` before it go from both ends until a line stays; empty pages are dropped."""
+    known = repeated_lines(pages, file, text, edge).groupBy("file").agg(*[F.collect_set(F.when(F.col("place") == k, F.col("line"))).alias(k) for k in ("top", "bottom")])
+    rows = pages.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(file).alias("file"), F.lower(F.coalesce(F.col(label), F.lit(""))).alias("label"), _page_lines(text).alias("lines")).join(known, "file", "left")
     none = F.array().cast("array<string>")
-    furniture = lambda x: F.array_contains(F.coalesce("known", none), x) | x.rlike(r"(?i)^(?:\d{1,4}|page \d+)$") | F.coalesce(x == F.col("label"), F.lit(False))
-    stays = F.transform("lines", lambda x: ~furniture(x))
-    marked = rows.withColumn("stays", stays).withColumn("first", F.array_position("stays", True)).withColumn("last", F.size("lines") + 1 - F.array_position(F.reverse("stays"), True))
-    kept = marked.filter(F.col("first") > 0).withColumn("kept", F.slice("lines", F.col("first").cast("int"), (F.col("last") - F.col("first") + 1).cast("int")))
+    number = lambda x: x.rlike(r"^\d{1,4}$") | ((F.col("label") != "") & ((x == F.col("label")) | ((x.startswith("page") | x.startswith("p.")) & (F.regexp_replace(x, r"^(?:page|p\.)\s*", "") == F.col("label")))))
+    stays = lambda side: F.transform("lines", lambda x: ~(F.array_contains(F.coalesce(side, none), F.lower(x)) | number(F.lower(x))))
+    marked = rows.withColumn("first", F.array_position(stays("top"), True).cast("int")).withColumn("last", (F.size("lines") + 1 - F.array_position(F.reverse(stays("bottom")), True)).cast("int"))
+    kept = marked.filter((F.col("first") > 0) & (F.col("last") >= F.col("first")) & (F.col("last") <= F.size("lines"))).withColumn("kept", F.slice("lines", F.col("first"), F.col("last") - F.col("first") + 1))
     return kept.select(F.col("id").alias(id_col), F.array_join("kept", "\n").alias("text"), (F.size("lines") - F.size("kept")).alias("n_removed"))
 
 
-def page_blocks(pages: DataFrame, file: str = "source_path", page: str = "page", text: str = "text") -> DataFrame:
-    """Typed blocks of trimmed pages: file, page, line_no, kind (heading, figure_caption, table, abstract, paragraph),
-    section, text. Lines after a heading of references are left out to the file's end. Blocks are runs of lines of the
-    same kind on a page; a window over the file's headings carries the section on."""
-    lines = pages.filter(F.col(text).isNotNull()).select(F.col(file).alias("file"), F.col(page).alias("page"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).withColumn("line", X.normalize(F.col("raw"))).filter("line != ''").drop("raw")
-    kind = F.when(X.heading_level(F.col("line")).isNotNull(), "heading").when(X.is_figure_caption(F.col("line")), "figure_caption").when(F.col("line").rlike(r"^\|.*\|$"), "table").otherwise("paragraph")
-    order = Window.partitionBy("file").orderBy("page", "line_no")
-    seen = lines.withColumn("kind", kind).withColumn("section", F.last(F.when(F.col("kind") == "heading", F.regexp_replace("line", r"^(?:#{1,6}|\d+(?:\.\d+)*\.?)\s+", "")), ignorenulls=True).over(order))
-    ended = F.max(F.when((F.col("kind") == "heading") & F.lower("section").isin(*X.REFERENCE_TITLES), 1).otherwise(0)).over(order)
-    body = seen.withColumn("ended", ended).filter("ended = 0").drop("ended")
-    starts = F.when((F.col("kind") == "paragraph") & (F.lag("kind").over(order) == "paragraph") & (F.lag("page").over(order) == F.col("page")), 0).when((F.col("kind") == "table") & (F.lag("kind").over(order) == "table") & (F.lag("page").over(order) == F.col("page")), 0).otherwise(1)
-    numbered = body.withColumn("starts", starts).withColumn("block", F.sum("starts").over(order))
-    out = numbered.filter("kind != 'heading'").groupBy("file", "page", "block", "kind", "section").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    joined = F.array_join(F.transform("l", lambda x: x["line"]), " ")
-    final = F.when((F.col("kind") == "paragraph") & (F.lower("section") == "abstract"), "abstract").otherwise(F.col("kind"))
-    return out.select("file", "page", "line_no", final.alias("kind"), "section", F.when(F.col("kind") == "paragraph", X.clean_block(joined)).otherwise(joined).alias("text"))
+def paper_heads(pages: DataFrame, file: str = "source_path", page: str = "page", text: str = "text", name: str = "source_file") -> DataFrame:
+    """What a paper's first page says: file, first_page, title, authors, year."""
+    own = pages.filter(F.col(text).isNotNull() & F.col(file).isNotNull())
+    first = own.groupBy(F.col(file).alias("file")).agg(F.min(F.col(page)).alias("first_page"), F.min_by(F.struct(F.col(text).alias("t"), F.col(name).alias("s")), F.struct(F.col(page), F.xxhash64(text))).alias("f"))
+    rows = first.select("file", "first_page", X.text_lines(F.col("f.t")).alias("lines"), F.col("f.s").alias("s"), X.first_year(F.col("f.t")).alias("year"))
+    titled = rows.withColumn("title", X.first_title(F.col("lines"), F.col("s")))
+    return titled.select("file", "first_page", "title", X.first_authors(F.col("lines"), F.col("title")).alias("authors"), "year")
+
+
+def page_blocks(pages: DataFrame, file: str = "source_path", page: str = "page", text: str = "text", name: str = "source_file", levels: int = 12) -> DataFrame:
+    """Typed blocks of papers' pages: file, page, line_no, title, kind (figure_caption, table, abstract, paragraph), section,
+    section_level, section_path, text, block_index (within the file, from 0). Lines after a heading of references are left
+    out to the file's end, those of title, authors and year before the first block too. Blocks are runs of lines of one kind
+    on a page. Headings (of up to `levels` levels) are carried on by pages first and by lines within them, so that no
+    window holds the lines of a whole file. Paragraphs and tables end at blank lines. Pages without a number come first."""
+    heads = paper_heads(pages, file, page, text, name)
+    numbered = pages.filter(F.col(text).isNotNull() & F.col(file).isNotNull()).select(F.col(file).alias("file"), F.col(page).alias("page"), F.xxhash64(text).alias("k"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
+    lines = numbered.withColumn("line", X.normalize(F.col("raw"))).filter("line != ''").drop("raw").join(heads, "file")
+    level = X.heading_level(F.col("line"))
+    kind = F.when(_preamble() & F.col("page").eqNullSafe(F.col("first_page")), "preamble").when(level.isNotNull(), "heading").when(X.is_figure_caption(F.col("line")), "figure_caption").when(F.col("line").startswith("|"), "table").otherwise("paragraph")
+    at = F.struct(F.col("page"), F.col("k"), F.col("line_no"))
+    seen = lines.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", F.least(level, F.lit(levels)))).withColumn("name", F.when(F.col("kind") == "heading", X.heading_title(F.col("line")))).withColumn("at", at)
+    # preamble lines count as text once anything else has come
+    page_key, inside = ["file", "page", "k"], Window.partitionBy("file", "page", "k").orderBy("line_no")
+    last = lambda n: F.max(F.when(F.col("level") == n, F.struct("at", "level", "name")))
+    ended = F.max(F.when((F.col("kind") == "heading") & F.lower("name").isin(*X.REFERENCE_TITLES), 1).otherwise(0))
+    begun = F.max(F.when(F.col("kind") != "preamble", 1).otherwise(0))
+    stats = [last(n).alias(f"h{n}") for n in range(1, levels + 1)] + [ended.alias("ended"), begun.alias("begun")]
+    names = [f"h{n}" for n in range(1, levels + 1)] + ["ended", "begun"]
+    per_page = seen.groupBy(*page_key).agg(*stats)
+    earlier = Window.partitionBy("file").orderBy("page", "k").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_page.select(*page_key, *[F.max(c).over(earlier).alias(f"p_{c}") for c in names])
+    here = seen.select("*", *[last(n).over(inside).alias(f"h{n}") for n in range(1, levels + 1)], ended.over(inside).alias("ended"), begun.over(inside).alias("begun"))
+    both = here.alias("a").join(before.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in page_key]).select("a.*", *[f"b.p_{c}" for c in names])
+    stack = F.array_compact(F.array(*[F.greatest(f"h{n}", f"p_h{n}") for n in range(1, levels + 1)]))
+    # a heading stands as long as none of its level or above has come after it
+    standing = F.filter(stack, lambda x: ~F.exists(stack, lambda y: (y["level"] < x["level"]) & (y["at"] > x["at"])))
+    open_ = F.coalesce(F.greatest("ended", "p_ended"), F.lit(0)) == 0
+    kept = both.filter(open_ & (F.col("kind") != "heading")).withColumn("stack", standing).withColumn("kind", F.when((F.col("kind") == "preamble") & (F.greatest("begun", F.coalesce("p_begun", F.lit(0))) == 1), "paragraph").otherwise(F.col("kind"))).filter("kind != 'preamble'")
+    run = (F.lag("kind").over(inside) == F.col("kind")) & F.col("kind").isin("paragraph", "table") & (F.lag("line_no").over(inside) == F.col("line_no") - 1) & F.lag("stack").over(inside).eqNullSafe(F.col("stack"))
+    grouped = kept.withColumn("starts", F.when(run, 0).otherwise(1)).withColumn("block", F.sum("starts").over(inside))
+    out = grouped.groupBy(*page_key, "block", "kind", "title").agg(F.min("line_no").alias("line_no"), F.first("stack").alias("stack"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    section = F.coalesce(F.try_element_at(F.col("stack"), F.lit(-1))["name"], F.lit("Document"))
+    path = F.when(F.size("stack") > 0, F.array_join(F.transform("stack", lambda x: x["name"]), " > ")).otherwise("Document")
+    spoken = lambda sep: F.array_join(F.transform("l", lambda x: x["line"]), sep)
+    body = F.when(F.col("kind") == "table", spoken("\n")).otherwise(X.clean_block(spoken(" ")))
+    final = F.when((F.col("kind") == "paragraph") & (F.lower(section) == "abstract"), "abstract").otherwise(F.col("kind"))
+    rows = out.select("file", "page", "k", "line_no", "title", final.alias("kind"), section.alias("section"), F.coalesce(F.try_element_at(F.col("stack"), F.lit(-1))["level"], F.lit(0)).alias("section_level"), path.alias("section_path"), body.alias("text")).filter("text != ''")
+    counted = rows.groupBy(*page_key).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    placed = rows.withColumn("here", F.row_number().over(inside)).alias("a").join(counted.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in page_key]).select("a.*", "b.before")
+    return placed.select("file", "page", "line_no", "title", "kind", "section", "section_level", "section_path", "text", (F.col("before") + F.col("here") - 1).cast("int").alias("block_index"))
+
+
+def _preamble() -> Column:
+    """Whether a line gives a paper's title, its authors, or, in up to eight words, its year."""
+    authors = [F.array_join("authors", sep) for sep in (", ", " and ", " , ")]
+    named = (F.size("authors") > 0) & ((F.col("line") == authors[0]) | (F.col("line") == authors[1]) | (F.col("line") == authors[2]))
+    dated = (F.col("year") != "") & F.array_contains(F.regexp_extract_all("line", F.lit(r"\b(\d+)\b"), F.lit(1)), F.col("year")) & (F.size(F.split("line", " ")) <= 8)
+    return (F.col("line") == F.col("title")) | named | dated
+
+
+def paper_chunks(pages: DataFrame, file: str = "source_path", page: str = "page", text: str = "text", name: str = "source_file", size: int = 1200, overlap: int = 200) -> DataFrame:
+    """The chunks of papers' pages: as `chunking.chunks`, by the rules of papers."""
+    from quillmere.operators import chunking
+
+    found = page_blocks(pages, file, page, text, name)
+    return chunking.chunks(found.select(F.col("file").alias("path"), "title", "section_path", "page", F.lit(0).alias("seq"), F.col("block_index").alias("block_seq"), "kind", "text"), size, overlap, chunking.PAPERS)
 
 
 def table_markdown(rows: list[list[str | None]]) -> str:

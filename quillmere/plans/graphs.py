@@ -73,6 +73,24 @@ def _seeds(spark: SparkSession, base: str) -> DataFrame:
     return notes(spark, base).orderBy("path").limit(2).select(F.concat(F.lit("note::"), "path").alias("id"))
 
 
+def graph_results(spark: SparkSession, base: str) -> DataFrame:
+    """What users read of a graph search; evidence and snippet as text."""
+    found = graph.results(*_graph(spark, base, stored=True), QUERY, 10)
+    return found.select("source_path", "title", "language_branch", "score", "rank", "snippet", F.size("evidence").alias("n_evidence"))
+
+
+def graph_search_two_hops(spark: SparkSession, base: str) -> DataFrame:
+    return graph.search(*_graph(spark, base, stored=True), "nedkofyr vault", 10, hops=2)
+
+
+def note_resolution(spark: SparkSession, base: str) -> DataFrame:
+    """Notes by their exact path, by title, and by a fuzzy name."""
+    nodes = cut(graph.note_nodes(notes(spark, base)))
+    first = nodes.agg(F.min("source_path")).first()[0]
+    asked = [first.upper(), "nedkofyr", QUERY]
+    return spark.createDataFrame([(q, *((lambda r: (r[0], len(r[1])))(graph.resolve(nodes, q)))) for q in asked], "query string, id string, n_warnings int")
+
+
 def seed_expansion(spark: SparkSession, base: str) -> DataFrame:
     _, edges, domains = _graph(spark, base, stored=True)
     return graph.expand(edges, domains, _seeds(spark, base), 2, 20)
@@ -101,7 +119,7 @@ def related_notes(spark: SparkSession, base: str) -> DataFrame:
     return near.join(seed.select(X.branch(F.col("path")).alias("b")), X.branch(F.col("source_path")) == F.col("b")).orderBy(F.desc("score"), "source_path").limit(10).select("source_path", "score")
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes_by_type, graph_edges_by_type, mirror_pairs, domain_membership, link_resolution, entity_mentions, entity_labels, graph_search, seed_expansion, path_explanation, hybrid_graph_merge, related_notes)}
+QUERIES = {f.__name__: f for f in (graph_nodes_by_type, graph_edges_by_type, mirror_pairs, domain_membership, link_resolution, entity_mentions, entity_labels, graph_search, graph_results, graph_search_two_hops, note_resolution, seed_expansion, path_explanation, hybrid_graph_merge, related_notes)}
 
 _NOTES = r"""WITH d AS (SELECT doc_id, title AS t0, lang, source, text, doc_id // 2 AS p FROM documents),
  z AS (SELECT min(p) AS p0, count(DISTINCT p) AS np, greatest(11, count(DISTINCT p) // 50) AS dn FROM d),
@@ -114,10 +132,10 @@ _NOTES = r"""WITH d AS (SELECT doc_id, title AS t0, lang, source, text, doc_id /
  mi AS (SELECT nid AS numeric_id, min(path) AS a, max(path) AS b FROM n GROUP BY nid HAVING count(*) = 2),
  li AS (SELECT DISTINCT path, target FROM n WHERE target IN (SELECT path FROM n)),
  al AS (SELECT DISTINCT nid, title AS alias FROM n WHERE length(title) >= 3),
- wd AS (SELECT DISTINCT path, nid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM n),
- lw AS (SELECT path, lower(text) AS low FROM n),
- me AS (SELECT wd.path, al.nid AS numeric_id, min(al.alias) AS alias FROM wd JOIN al ON wd.w = regexp_extract(lower(al.alias), '[\p{L}\p{N}_]+') AND wd.nid <> al.nid JOIN lw ON lw.path = wd.path
-        WHERE NOT contains(al.alias, ' ') OR contains(lw.low, lower(al.alias)) GROUP BY ALL),
+ bd AS (SELECT path, nid, regexp_replace(CASE WHEN starts_with(text, '---' || chr(10)) AND strpos(text, chr(10) || '---' || chr(10)) > 0 THEN substr(text, strpos(text, chr(10) || '---' || chr(10)) + 5) ELSE text END, '(?s)```.*?```', '', 'g') AS body FROM n),
+ wd AS (SELECT DISTINCT path, nid, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}_]+')) AS w FROM bd),
+ me AS (SELECT wd.path, al.nid AS numeric_id, min(al.alias) AS alias FROM wd JOIN al ON wd.w = regexp_extract(lower(al.alias), '[\p{L}\p{N}_]+') AND wd.nid <> al.nid JOIN bd ON bd.path = wd.path
+        WHERE regexp_matches(lower(bd.body), '(^|[^\p{L}\p{N}_])' || regexp_escape(lower(al.alias)) || '([^\p{L}\p{N}_]|$)') GROUP BY ALL),
  dp AS (SELECT a.path AS src, b.path AS dst FROM n a JOIN n b ON a.domain = b.domain AND a.path <> b.path)"""
 _EDGES = """, ed AS (SELECT 'note::' || path AS src, 'tag::' || tag AS dst, 'has_tag' AS t FROM tg UNION ALL SELECT 'tag::' || tag, 'note::' || path, 'has_tag' FROM tg
   UNION ALL SELECT 'note::' || path, 'doi::' || doi, 'cites_doi' FROM n UNION ALL SELECT 'doi::' || doi, 'note::' || path, 'cites_doi' FROM n
@@ -157,7 +175,7 @@ SQL = {
  ma AS (SELECT * FROM (SELECT id, k, {_MATCH.format(t="s", h="h", q=QUERY)} AS sc FROM nd) WHERE sc > 0),
  st AS (SELECT id, sum(b) AS b FROM (SELECT id, sc + 3 AS b FROM ma WHERE k = 'note' UNION ALL SELECT e.dst, ma.sc + 1.5 FROM ma JOIN (SELECT DISTINCT src, dst FROM ed) e ON e.src = ma.id WHERE ma.k <> 'note') GROUP BY id),
  nn AS (SELECT src, dst, max({_weights(graph.SEARCH_BONUS)}) AS v FROM ed WHERE t IN ('mirror_of', 'links_to', 'same_top_level_domain') AND src <> dst GROUP BY ALL),
- tt AS (SELECT id, sum(b) AS s FROM (SELECT id, b FROM st UNION ALL SELECT nn.dst, st.b * nn.v / 2 FROM st JOIN nn ON nn.src = st.id) GROUP BY id)
+ tt AS (SELECT id, sum(b) AS s FROM (SELECT id, b FROM st UNION ALL SELECT nn.dst, st.b * nn.v FROM st JOIN nn ON nn.src = st.id) GROUP BY id)
 SELECT substr(id, 7) AS source_path, round(s, 3) AS score, row_number() OVER (ORDER BY round(s, 9) DESC, substr(id, 7)) AS rank FROM tt QUALIFY rank <= 20""",
     "seed_expansion": f"{_NOTES}{_EDGES}{_expansion("SELECT 'note::' || path AS id FROM n ORDER BY path LIMIT 2", 2, 20)} SELECT source_path, score FROM ex",
     "path_explanation": f"""{_NOTES}{_EDGES}, u AS (SELECT src, dst, min(c) AS c FROM (SELECT src, dst, {_weights(graph.PATH_COST)} AS c FROM ed UNION ALL SELECT dst, src, {_weights(graph.PATH_COST)} FROM ed) GROUP BY ALL),

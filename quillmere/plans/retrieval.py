@@ -107,7 +107,7 @@ def search_degraded(spark: SparkSession, base: str) -> DataFrame:
 
 def embedded_texts(spark: SparkSession, base: str) -> DataFrame:
     rows = corpus.embed(table(spark, base, "chunking_blocks").select("block_id", "text"), "text", corpus.hashed_embedder(16))
-    return rows.select("block_id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm"))
+    return rows.select("block_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
 
 
 QUERIES = {f.__name__: f for f in (fts_bm25_topk, fts_bm25_batch, vector_l2_topk, hybrid_rrf_topk, hybrid_thresholds, batch_query_routing, llm_rerank_parse, memory_recall, search_routed, search_degraded, embedded_texts)}
@@ -117,7 +117,7 @@ SQL = {
     "fts_bm25_batch": r"""
 WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
  st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
- q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[-1]), '[\p{L}\p{N}_]+')) AS term FROM eval_items WHERE item_id <= 20),
+ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[-1]), '[\p{L}\p{N}_]+')) AS term FROM eval_items),
  post AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY ALL),
  df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
  sc AS (SELECT q.item_id, p.doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / st.avgdl))), 9) AS score

@@ -60,7 +60,7 @@ def paper_heads(spark: SparkSession, base: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, base: str) -> DataFrame:
-    return structure.page_blocks(table(spark, base, "indexing_pages")).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return structure.page_blocks(table(spark, base, "indexing_pages")).select("file", "page", "block_index", "kind", "section", "section_level", F.length("text").alias("n_chars"))
 
 
 def section_rows(spark: SparkSession, base: str) -> DataFrame:
@@ -69,9 +69,15 @@ def section_rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def packed_chunks(spark: SparkSession, base: str) -> DataFrame:
-    found = section_rows(spark, base)
-    titled = structure.blocks(found).join(structure.note_titles(found), "path")
-    return chunking.chunks(titled).select("path", "chunk_index", "chunk_kind", "block_count", "char_count", "word_count")
+    docs = table(spark, base, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return chunking.note_chunks(docs).select("path", "chunk_index", "chunk_kind", "block_count", "char_count", "word_count")
+
+
+def pdf_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Pages, trimmed, as chunks of papers."""
+    pages = table(spark, base, "indexing_pages")
+    trimmed = structure.trimmed_pages(pages).join(pages.select("page_id", "source_path", "source_file", "page"), "page_id")
+    return structure.paper_chunks(trimmed).select("path", "chunk_index", "page", "block_kind", "chunk_kind", "block_count", "char_count", "word_count")
 
 
 def recursive_split(spark: SparkSession, base: str) -> DataFrame:
@@ -95,12 +101,12 @@ def notes_filter_list(spark: SparkSession, base: str) -> DataFrame:
     return corpus.listed_notes(notes, "EN", "bex", 50)
 
 
-def literal_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, "see https://arxiv.org/abs/2101.00001v2, and (https://doi.org/10.48550/arXiv.2202.00002)."), (2, "[a](https://example.org/paper_(final).pdf) https://openreview.net/forum?id=abc&x=1"), (3, "none"), (4, None), (5, "http://example.org/a.pdf?x=1 http://example.org/a.pdf?x=1")], "id int, text string")
-
-
 def url_candidates(spark: SparkSession, base: str) -> DataFrame:
-    found = corpus.linked_pdfs(literal_urls(spark).select(F.col("id").cast("string").alias("path"), "text"))
+    """Addresses of every form, one text a document."""
+    n = F.col("doc_id").cast("string")
+    form = [F.concat(F.lit("see https://arxiv.org/abs/"), n, F.lit("v2, too.")), F.concat(F.lit("(https://doi.org/10.48550/arXiv."), n, F.lit(").")), F.concat(F.lit("[a](https://example.org/paper_("), n, F.lit(").pdf) and more")), F.concat(F.lit("https://openreview.net/forum?id=r"), n, F.lit("&x=1"))]
+    text = F.when(F.col("doc_id") % 4 == 0, form[0]).when(F.col("doc_id") % 4 == 1, form[1]).when(F.col("doc_id") % 4 == 2, form[2]).otherwise(form[3])
+    found = corpus.linked_pdfs(table(spark, base, "documents").select(n.alias("path"), F.concat(text, F.lit("\n"), "text").alias("text")))
     return found.select("url", F.array_join("candidates", " ").alias("candidates"), F.array_join("notes", ",").alias("notes"), "file_name")
 
 
@@ -112,7 +118,7 @@ def event_sessions(spark: SparkSession, base: str) -> DataFrame:
     return reindex.sessions(table(spark, base, "events"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_snippet, chunk_ids, chunk_stats, kind_counts, index_projection, repeated_lines, trimmed_pages, heading_lines, page_years, paper_heads, page_blocks, section_rows, packed_chunks, recursive_split, note_validation, note_fields, notes_filter_list, url_candidates, events_by_hour, event_sessions)}
+QUERIES = {f.__name__: f for f in (normalize_snippet, chunk_ids, chunk_stats, kind_counts, index_projection, repeated_lines, trimmed_pages, heading_lines, page_years, paper_heads, page_blocks, section_rows, packed_chunks, pdf_chunks, recursive_split, note_validation, note_fields, notes_filter_list, url_candidates, events_by_hour, event_sessions)}
 
 #: White space as Spark's engine knows it, for DuckDB's.
 _S = r"[\s\x0b\x{85}\p{Z}]"
@@ -123,12 +129,19 @@ def _normal(x: str) -> str:
 
 
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_normal('x')}), lambda x: x <> '')"
+def _explicit(x: str) -> str:
+    """The level of a line that says it is a heading."""
+    number = rf"regexp_extract({x}, '^(\d+(?:\.\d+)*)\s+\S', 1)"
+    return rf"""CASE WHEN regexp_matches({x}, '^#{{1,6}}\s+\S') THEN length(regexp_extract({x}, '^(#{{1,6}})\s+\S', 1)) WHEN {number} <> '' AND length({x}) <= 120 THEN length({number}) - length(replace({number}, '.', '')) + 1
+      WHEN lower({x}) IN ('references', 'bibliography', 'works cited', 'literature cited', 'abstract') THEN 1 END"""
+
+
 _LATEST = "indexing_chunks QUALIFY row_number() OVER (PARTITION BY {0} ORDER BY indexed_at DESC NULLS LAST) = 1"
 _REPEATED = f"""WITH l AS (SELECT source_path AS file, {_LINES} AS ls FROM indexing_pages WHERE text IS NOT NULL),
- e AS (SELECT file, unnest(CASE WHEN len(ls) <= 6 THEN ls ELSE list_concat(ls[1:3], ls[-3:]) END) AS line FROM l),
+ e AS (SELECT file, 'top' AS place, lower(unnest(ls[1:3])) AS line FROM l UNION ALL SELECT file, 'bottom', lower(unnest(ls[-3:])) FROM l),
  s AS (SELECT file, count(*) AS pages FROM l GROUP BY file),
- c AS (SELECT file, line, count(*) AS n FROM e GROUP BY ALL),
- rep AS (SELECT file, line, n FROM c JOIN s USING (file) WHERE pages > 1 AND n >= CASE WHEN pages <= 3 THEN pages ELSE ceil(pages / 2.0) END)"""
+ c AS (SELECT file, place, line, count(*) AS n FROM e GROUP BY ALL),
+ rep AS (SELECT file, place, line, n FROM c JOIN s USING (file) WHERE pages > 1 AND n >= CASE WHEN pages <= 3 THEN pages ELSE ceil(pages / 2.0) END)"""
 
 SQL = {
     "normalize_snippet": rf"""
@@ -142,23 +155,26 @@ SELECT count(*) AS chunk_count, count(DISTINCT source_path) AS file_count, round
 SELECT what, value, count(*) AS count FROM (SELECT 'chunk_kind' AS what, coalesce(chunk_kind, 'none') AS value FROM indexing_chunks
   UNION ALL SELECT 'block_kind', coalesce(block_kind, 'none') FROM indexing_chunks UNION ALL SELECT 'parser', coalesce(parser, 'none') FROM indexing_chunks) GROUP BY ALL""",
     "index_projection": f"SELECT id, source_path, page, year, section_path, chunk_index FROM {_LATEST.format('id')}",
-    "repeated_lines": f"{_REPEATED} SELECT file, line, n FROM rep",
-    "trimmed_pages": f"""{_REPEATED}, k AS (SELECT file, list(line) AS known FROM rep GROUP BY file),
- p AS (SELECT page_id, page_label AS label, coalesce(known, []) AS known, {_LINES} AS ls FROM indexing_pages LEFT JOIN k ON source_path = file WHERE text IS NOT NULL),
- m AS (SELECT page_id, ls, list_filter(range(1, len(ls) + 1), lambda i: NOT (list_contains(known, ls[i]) OR regexp_full_match(lower(ls[i]), '[0-9]{{1,4}}|page [0-9]+') OR coalesce(ls[i] = label, false))) AS stay FROM p)
-SELECT page_id, len(ls) - (stay[-1] - stay[1] + 1) AS n_removed, length(array_to_string(ls[stay[1]:stay[-1]], chr(10))) AS n_chars FROM m WHERE len(stay) > 0""",
-    "heading_lines": r"""
+    "repeated_lines": f"{_REPEATED} SELECT file, place, line, n FROM rep",
+    "trimmed_pages": f"""{_REPEATED}, k AS (SELECT file, list(line) FILTER (place = 'top') AS tops, list(line) FILTER (place = 'bottom') AS bottoms FROM rep GROUP BY file),
+ p AS (SELECT page_id, lower(coalesce(page_label, '')) AS label, coalesce(tops, []) AS tops, coalesce(bottoms, []) AS bottoms, {_LINES} AS ls FROM indexing_pages LEFT JOIN k ON source_path = file WHERE text IS NOT NULL),
+ m AS (SELECT page_id, ls, list_transform(ls, lambda x: regexp_full_match(x, '[0-9]{{1,4}}') OR label <> '' AND (lower(x) = label OR regexp_replace(lower(x), '^(page|p\\.)\\s*', '') = label AND regexp_matches(lower(x), '^(page|p\\.)'))) AS num, tops, bottoms FROM p),
+ i AS (SELECT page_id, ls, list_filter(range(1, len(ls) + 1), lambda j: NOT (num[j] OR list_contains(tops, lower(ls[j]))))[1] AS a, list_filter(range(1, len(ls) + 1), lambda j: NOT (num[j] OR list_contains(bottoms, lower(ls[j]))))[-1] AS z FROM m)
+SELECT page_id, len(ls) - (z - a + 1) AS n_removed, length(array_to_string(ls[a:z], chr(10))) AS n_chars FROM i WHERE z >= a""",
+    "heading_lines": rf"""
 WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM indexing_pages),
- h AS (SELECT page_id, line_no, line, length(regexp_extract(line, '^(#{1,6})\s+\S', 1)) AS hashes, regexp_extract(line, '^(\d+(?:\.\d+)*)\.?\s+\p{L}', 1) AS num FROM l)
-SELECT page_id, line_no, level, caption FROM (SELECT page_id, line_no, CASE WHEN hashes > 0 THEN hashes WHEN num <> '' AND length(line) <= 120 THEN length(num) - length(replace(num, '.', '')) + 1
-  WHEN lower(trim(line)) IN ('references', 'bibliography', 'works cited', 'literature cited', 'abstract') THEN 1 END AS level, regexp_matches(line, '(?i)^\s*(figure|fig\.)\s*\d+') AS caption FROM h) WHERE level IS NOT NULL OR caption""",
+ h AS (SELECT page_id, line_no, line, {_explicit("line")} AS said, list_filter(regexp_split_to_array(line, '{_S}+'), lambda w: w <> '') AS ws,
+   length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS caps FROM l),
+ k AS (SELECT *, length(line) <= 100 AND NOT regexp_matches(line, '[.!?;:]$') AND len(ws) BETWEEN 1 AND 12 AND (caps >= greatest(4, length(line) // 3) OR len(list_filter(ws[1:5], lambda w: NOT regexp_matches(w, '^\p{{Lu}}'))) = 0) AS looks FROM h)
+SELECT page_id, line_no, level, caption FROM (SELECT page_id, line_no, coalesce(said, CASE WHEN looks THEN 1 END) AS level, regexp_matches(line, '(?i)^(figure|fig\.)\s*\d+[a-z0-9.-]*[:.]?\s+') AS caption FROM k) WHERE level IS NOT NULL OR caption""",
     "paper_heads": rf"""
 WITH p AS (SELECT page_id, source_file, {_LINES} AS ls FROM indexing_pages WHERE page = 1),
- t AS (SELECT *, coalesce(list_filter(ls[1:8], lambda x: NOT (regexp_matches(x, '^#{{1,6}}\s+\S') OR regexp_matches(x, '^\d+(?:\.\d+)*\.?\s+\p{{L}}') AND length(x) <= 120 OR lower(trim(x)) IN ('references', 'bibliography', 'works cited', 'literature cited', 'abstract'))
-   AND length(x) <= 160 AND len(string_split(x, ' ')) >= 3)[1], source_file) AS title FROM p),
- a AS (SELECT *, coalesce(list_position(ls, title), 0) AS pos FROM t),
- n AS (SELECT page_id, title, list_filter(ls[pos + 1:pos + 3], lambda x: (contains(x, ',') OR contains(x, ' and ')) AND NOT regexp_matches(x, '\d'))[1] AS l FROM a)
-SELECT page_id, title, coalesce(array_to_string(list_filter(list_transform(string_split(replace(l, ' and ', ','), ','), lambda x: trim(x)), lambda x: x <> ''), '|'), '') AS authors FROM n""",
+ t AS (SELECT *, coalesce(list_filter(ls[1:8], lambda x: ({_explicit("x")}) IS NULL AND length(x) <= 160 AND len(regexp_split_to_array(x, '{_S}+')) >= 3)[1],
+   replace(replace(regexp_replace(coalesce(source_file, 'document'), '\.[^.]*$', ''), '_', ' '), '-', ' ')) AS title FROM p),
+ a AS (SELECT *, ls[coalesce(list_position(ls, title), 0) + 1:coalesce(list_position(ls, title), 0) + 3] AS after FROM t),
+ e AS (SELECT *, list_position(list_transform(after, lambda x: ({_explicit("x")}) IS NOT NULL), true) AS stop FROM a),
+ n AS (SELECT page_id, title, list_filter(CASE WHEN stop > 0 THEN after[1:stop - 1] ELSE after END, lambda x: (contains(x, ',') OR contains(lower(x), ' and ')) AND NOT regexp_matches(x, '\d') AND length(x) <= 120 AND len(regexp_split_to_array(x, '{_S}+')) <= 20)[1] AS l FROM e)
+SELECT page_id, title, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(l, ',| and '), lambda x: trim(x)), lambda x: x <> ''), '|'), '') AS authors FROM n""",
     "page_years": r"SELECT page_id, regexp_extract(text, '\b((?:19|20)\d{2})\b', 1) AS year FROM indexing_pages",
     "note_fields": r"""
 WITH d AS (SELECT *, CASE WHEN starts_with(text, '---' || chr(10)) AND strpos(text, chr(10) || '---' || chr(10)) > 0 THEN substr(text, 5, greatest(0, strpos(text, chr(10) || '---' || chr(10)) - 4)) ELSE '' END AS fm,
@@ -177,17 +193,18 @@ WHERE starts_with(path, 'EN/') AND contains(lower(concat_ws(chr(10), path, title
 WITH d AS (SELECT concat_ws('#', source_path, doc_id::VARCHAR) AS path, text, starts_with(text, '---' || chr(10)) AND strpos(text, chr(10) || '---' || chr(10)) > 0 AS closed, strpos(text, chr(10) || '---' || chr(10)) AS e
            FROM documents WHERE source_path LIKE '%.md'),
  f AS (SELECT *, CASE WHEN closed THEN substr(text, 5, greatest(0, e - 4)) ELSE '' END AS fm, CASE WHEN closed THEN substr(text, e + 5) ELSE text END AS body FROM d),
- g AS (SELECT *, coalesce(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '')[2], '') AS second FROM f)
-SELECT path, unnest(list_filter([CASE WHEN fm = '' THEN 'missing_frontmatter' END, CASE WHEN fm <> '' AND NOT regexp_matches(fm, '(?m)^title:') THEN 'missing_frontmatter_key:title' END,
-  CASE WHEN fm <> '' AND NOT regexp_matches(fm, '(?m)^tags:') THEN 'missing_frontmatter_key:tags' END, CASE WHEN NOT regexp_matches(body, '(?m)^#\s+\S') THEN 'missing_title' END,
-  CASE WHEN NOT contains(second, '[[') THEN 'missing_breadcrumb' END,
-  CASE WHEN starts_with(path, 'EN/') AND NOT contains(text, '[[UA/') OR starts_with(path, 'UA/') AND NOT contains(text, '[[EN/') THEN 'missing_counterpart_link' END], lambda x: x IS NOT NULL)) AS issue FROM g""",
-    "url_candidates": """
-SELECT * FROM (VALUES ('https://arxiv.org/abs/2101.00001v2', 'https://arxiv.org/pdf/2101.00001v2 https://arxiv.org/abs/2101.00001v2', '1', '2101.00001v2.pdf'),
- ('https://doi.org/10.48550/arXiv.2202.00002', 'https://arxiv.org/abs/2202.00002 https://arxiv.org/pdf/2202.00002 https://doi.org/10.48550/arXiv.2202.00002', '1', 'arXiv.2202.00002.pdf'),
- ('https://example.org/paper_(final).pdf', 'https://example.org/paper_(final).pdf', '2', 'paper_-final.pdf'),
- ('https://openreview.net/forum?id=abc&x=1', 'https://openreview.net/pdf?id=abc https://openreview.net/forum?id=abc&x=1', '2', 'forum.pdf'),
- ('http://example.org/a.pdf?x=1', 'http://example.org/a.pdf?x=1', '5', 'a.pdf')) v(url, candidates, notes, file_name)""",
+ g AS (SELECT *, coalesce(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '')[2], '') AS second, CASE WHEN starts_with(path, 'UA/') THEN 'UA' WHEN starts_with(path, 'EN/') THEN 'EN' ELSE 'root' END AS br, starts_with(text, '---' || chr(10)) AS opened FROM f)
+SELECT path, unnest(list_filter([CASE WHEN NOT opened THEN 'missing_frontmatter' END, CASE WHEN opened AND NOT regexp_matches(fm, '(?m)^cssclasses\s*:') THEN 'missing_frontmatter_cssclasses' END,
+  CASE WHEN opened AND NOT regexp_matches(fm, '(?m)^tags\s*:') THEN 'missing_frontmatter_tags' END, CASE WHEN NOT regexp_matches(body, '(?m)^#\s+\S') THEN 'missing_title' END,
+  CASE WHEN br = 'EN' AND NOT contains(second, '[[Home') OR br = 'UA' AND NOT contains(second, '[[UA/Головна') OR br = 'root' AND NOT contains(second, '[[Home') AND NOT contains(second, '[[UA/Головна') THEN 'missing_breadcrumb' END,
+  CASE WHEN br = 'EN' AND NOT contains(text, '🇺🇦 [[') OR br = 'UA' AND NOT contains(text, '🇬🇧 [[') THEN 'missing_counterpart_link' END], lambda x: x IS NOT NULL)) AS issue FROM g""",
+    "url_candidates": r"""
+WITH d AS (SELECT doc_id::VARCHAR AS n, doc_id % 4 AS f FROM documents),
+ u AS (SELECT n, f, CASE f WHEN 0 THEN 'https://arxiv.org/abs/' || n || 'v2' WHEN 1 THEN 'https://doi.org/10.48550/arXiv.' || n WHEN 2 THEN 'https://example.org/paper_(' || n || ').pdf' ELSE 'https://openreview.net/forum?id=r' || n || '&x=1' END AS url FROM d)
+SELECT url, CASE f WHEN 0 THEN url || ' ' || replace(url, '/abs/', '/pdf/') || '.pdf' WHEN 1 THEN 'https://arxiv.org/abs/' || n || ' https://arxiv.org/pdf/' || n || '.pdf ' || url
+    WHEN 3 THEN replace(replace(url, 'forum', 'pdf'), '&x=1', '') || ' ' || url ELSE url END AS candidates, n AS notes,
+  regexp_replace(regexp_replace(CASE WHEN f = 3 THEN 'forum' ELSE CASE WHEN position('.' IN regexp_extract(url, '([^/]*)$', 1)) > 0 THEN regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '') ELSE regexp_extract(url, '([^/]*)$', 1) END END, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') || '.pdf' AS file_name
+FROM u""",
     "events_by_hour": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "event_sessions": """
 WITH o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),

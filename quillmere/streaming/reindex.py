@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.operators.corpus import latest
+from quillmere.operators.corpus import exists, latest, remove
 
 
 def follow(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, keys: tuple[str, ...] = ("id",), parts: int = 16):
@@ -18,15 +18,14 @@ def follow(spark: SparkSession, source: str, schema: T.StructType, target: str,
     def merge(batch: DataFrame, epoch: int) -> None:
         fresh = batch.withColumn("bucket", bucket).persist()
         touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most `parts`
-        try:
-            old = spark.read.parquet(target).filter(F.col("bucket").isin(touched)).select(fresh.columns)
-            fresh_and_old = fresh.unionByName(old)
-        except Exception:  # noqa: BLE001 - there is no index yet
-            fresh_and_old = fresh
-        merged = latest(fresh_and_old.withColumn("_key", F.xxhash64(*keys)), "_key").drop("_key")
+        fresh_and_old = fresh
+        if exists(spark, target):  # else there is no index yet; an index that can't be read fails the batch
+            fresh_and_old = fresh.unionByName(spark.read.parquet(target).filter(F.col("bucket").isin(touched)).select(fresh.columns))
+        merged = latest(fresh_and_old.withColumn("_key", F.struct(*keys)), "_key").drop("_key")
         staged = f"{target}_staged_{epoch}"
         merged.write.mode("overwrite").partitionBy("bucket").parquet(staged)
         spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+        remove(spark, staged)
         fresh.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -67,3 +67,12 @@ def test_llm_reranks_by_replies_or_warns(chunks):
     hits, warnings, _ = retrieval.search(chunks, "id", "text", "v", "cat", mode="fts", reranker="llm", k=2, replier=lambda texts: ["90" if "bird" in t else "5" for t in texts])
     assert hits.first().id == 3 and not warnings
     assert retrieval.search(chunks, "id", "text", "v", "cat", mode="fts", reranker="llm", k=2)[1]
+
+
+def test_governed_files_seed_only_where_there_is_no_other(spark, chunks):
+    edges = spark.createDataFrame([("note::a.md", "note::far.md", "mirror_of"), ("note::b.md", "note::off.md", "mirror_of")], "src string, dst string, edge_type string")
+    domains = spark.createDataFrame([], "id string, domain string")
+    found = lambda *governed: {r.source_path for r in retrieval.search(chunks, "id", "text", "v", "cat", [1.0, 0.0], mode="hybrid-graph", k=6, graph=(edges, domains), governed=governed)[0].collect()}
+    assert {"far.md", "off.md"} <= found()
+    assert "far.md" not in found("a.md")
+    assert "far.md" in found("a.md", "b.md", "c.md", "d.md")
