@@ -164,6 +164,7 @@ class Items:
         self.part = flat([(s != np.roll(s, 1)) | (np.arange(len(s)) == 0) for s in self.sentence], bool)
         self.is_rare = flat(self.rare, bool)
         self.free = flat([_far(r, s) for r, s in zip(self.rare, self.sentence, strict=True)], bool)
+        self.grams = [{k: grams(w, k) for k in {min(n, len(w)), min(3, len(w))}} for w in self.words]
         self.lengths = sorted({min(n, len(w)) for w in self.words})
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[(self.unique & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -195,26 +196,36 @@ class Runs:
 
     def matches(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (place in h, place here) of equal n-grams."""
-        low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        i = np.repeat(np.arange(len(h)), high - low)
-        return i, self.place[low[i] + np.arange(len(i)) - np.searchsorted(i, i)]
+        low = np.searchsorted(self.hash, h)
+        there = np.flatnonzero(self.hash[np.minimum(low, len(self.hash) - 1)] == h) if len(self.hash) else np.zeros(0, np.int64)
+        low = low[there]
+        many = np.searchsorted(self.hash, h[there], "right") - low
+        if (many == 1).all():
+            return there, self.place[low]
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(there, many), self.place[np.repeat(low, many) + nth]
 
 
-def held(item: np.ndarray, sentence: np.ndarray, rare: np.ndarray, runs: dict[int, Runs], n: int, least: float = 0.0, dense: float = 0.75) -> tuple[float, int, int]:
+def held(own: dict[int, np.ndarray], sentence: np.ndarray, rare: np.ndarray, runs: dict[int, Runs], n: int, least: float = 0.0, dense: float = 0.75) -> tuple[float, int, int]:
     """The share of an item's words that a document holds, and the first and last of the document's words that hold them.
-    `runs`: the document's n-grams, by n. Shares below `least` may come out as none."""
-    n = min(n, len(item))
+    `own` and `runs`: the item's and the document's n-grams, by n. Shares below `least` may come out as none."""
+    size = len(sentence)
+    n = min(n, size)
     short = min(3, n)
-    i, j = runs[n].matches(grams(item, n))
+    i, j = runs[n].matches(own[n])
     if not len(i):
         return 0.0, 0, 0
     diagonals = np.unique(j - i)
-    i, j = runs[short].matches(grams(item, short))
-    shift = j - i
+    cuts = np.flatnonzero(np.diff(diagonals) > 4)
+    low, high = np.append(diagonals[:1], diagonals[cuts + 1]) - 4, np.append(diagonals[cuts], diagonals[-1:]) + 4
+    i, j = runs[short].matches(own[short])
+    order = np.argsort(j - i, kind="stable")
+    first, last = np.searchsorted((j - i)[order], low, "left"), np.searchsorted((j - i)[order], high, "right")
     best = (0.0, 0, 0)
-    for cluster in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > 4) + 1):
-        near = (shift >= cluster[0] - 4) & (shift <= cluster[-1] + 4)
-        covered, to = np.zeros(len(item), bool), np.full(len(item), -1)
+    # so few runs can't cover enough, even with a gap after each
+    for cluster in np.flatnonzero((short + 2) * (last - first) - 2 >= least * size).tolist():
+        near = np.sort(order[first[cluster] : last[cluster]])
+        covered, to = np.zeros(size, bool), np.full(size, -1)
         for k in range(short):
             covered[i[near] + k] = True
             to[i[near] + k] = j[near] + k
@@ -226,12 +237,12 @@ def held(item: np.ndarray, sentence: np.ndarray, rare: np.ndarray, runs: dict[in
         if covered.mean() <= best[0] or covered.mean() < least:
             continue
         for s in np.unique(sentence[at]):
-            own = np.flatnonzero((sentence == s) & covered)
-            span = np.arange(own[0], own[-1] + 1)
-            wide = np.arange(max(0, own[0] - 2), min(len(item), own[-1] + 3))
+            here = np.flatnonzero((sentence == s) & covered)
+            span = np.arange(here[0], here[-1] + 1)
+            wide = np.arange(max(0, here[0] - 2), min(size, here[-1] + 3))
             marks = wide[rare[wide] & (sentence[wide] == s)]
             if matched[span].mean() < dense or len(marks) and matched[marks].mean() < 0.5:
-                covered[own] = False
+                covered[here] = False
         where = to[covered & (to >= 0)]
         if len(where) and covered.mean() > best[0]:
             best = (float(covered.mean()), int(where.min()), int(where.max()))
@@ -283,8 +294,8 @@ def possible(items: Items, w: np.ndarray, owner: np.ndarray, pairs: np.ndarray,
     return out
 
 
-def scan(items: Items, ids: list[int], texts: list[str], least: float) -> list[tuple]:
-    """The leaks in a batch of documents."""
+def scan(items: Items, ids: list[int], texts: list[str], least: float, spans: bool = True) -> list[tuple]:
+    """The leaks in a batch of documents; without `spans` where they stand is left open (null)."""
     out: list[tuple] = []
     w, owner = words(texts)
     if not len(w) or not len(items.ids):
@@ -308,15 +319,14 @@ def scan(items: Items, ids: list[int], texts: list[str], least: float) -> list[t
     begin = np.searchsorted(owner, np.arange(len(texts) + 1))
     last, runs = -1, {}
     for d, k in pairs[possible(items, w, owner, pairs, least)].tolist():
-        item = items.words[k]
         if d != last:
             last, runs = d, {}
-        n = min(items.n, len(item))
-        for x in {n, min(3, n)} - runs.keys():
+        own = items.grams[k]
+        for x in own.keys() - runs.keys():
             runs[x] = Runs(w[begin[d] : begin[d + 1]], x)
-        share, a, b = held(item, items.sentence[k], items.rare[k], runs, items.n, least)
+        share, a, b = held(own, items.sentence[k], items.rare[k], runs, items.n, least)
         if share >= least:
-            start, end = _span(texts[d], w[begin[d] : begin[d + 1]][a : b + 1])
+            start, end = _span(texts[d], w[begin[d] : begin[d + 1]][a : b + 1]) if spans else (None, None)
             out += [(i, ids[d], share, start, end) for i in items.ids[k]]
     return out
 
@@ -353,8 +363,8 @@ def instructions(items: DataFrame, item_text: str, shared_lines: int) -> set[str
     return {r.x for r in heads.groupBy("x").agg(F.count_distinct("y").alias("n")).filter(F.col("n") >= shared_lines).select("x").collect()}
 
 
-def leaks(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", least: float = 1 / 3, n: int = 6, shared_lines: int = 3, slice_items: int = 50_000, slice_bytes: int = 32 << 20) -> DataFrame:
-    """The test items found in documents: item_id, doc_id, held (share of the item's words), span_start, span_end."""
+def leaks(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", least: float = 1 / 3, n: int = 6, shared_lines: int = 3, slice_items: int = 50_000, slice_bytes: int = 32 << 20, spans: bool = True) -> DataFrame:
+    """The test items found in documents: item_id, doc_id, held (share of the item's words), span_start, span_end (null without `spans`)."""
     shared = instructions(items, item_text, shared_lines)
     pool = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).filter(F.length("t") > 0)
     size = pool.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
@@ -369,7 +379,7 @@ def leaks(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text
             for batch in batches:
                 for at in range(0, len(batch), 1000):
                     piece = batch.iloc[at : at + 1000]
-                    yield pd.DataFrame(scan(known.value, piece["d"].tolist(), piece["t"].tolist(), least), columns=["item_id", "doc_id", "held", "span_start", "span_end"])
+                    yield pd.DataFrame(scan(known.value, piece["d"].tolist(), piece["t"].tolist(), least, spans), columns=["item_id", "doc_id", "held", "span_start", "span_end"]).astype({"span_start": "Int32", "span_end": "Int32"})
 
         found = read.mapInPandas(run, SCHEMA)
         out = found if out is None else out.unionByName(found)
@@ -382,7 +392,7 @@ def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") ->
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
-    return leaks(table(spark, base, "eval_items"), table(spark, base, "documents")).select("item_id", "doc_id").distinct()
+    return leaks(table(spark, base, "eval_items"), table(spark, base, "documents"), spans=False).select("item_id", "doc_id").distinct()
 
 
 def p7_spans(spark: SparkSession, base: str) -> DataFrame:
@@ -391,7 +401,7 @@ def p7_spans(spark: SparkSession, base: str) -> DataFrame:
 
 def p7_clean_documents(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents")
-    return without_leaks(docs, leaks(table(spark, base, "eval_items"), docs)).select("doc_id", F.length("text").alias("n_chars"))
+    return without_leaks(docs, leaks(table(spark, base, "eval_items"), docs, spans=False)).select("doc_id", F.length("text").alias("n_chars"))
 
 
 QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p7_clean_documents": p7_clean_documents}
