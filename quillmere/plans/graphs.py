@@ -74,9 +74,9 @@ def _seeds(spark: SparkSession, base: str) -> DataFrame:
 
 
 def graph_results(spark: SparkSession, base: str) -> DataFrame:
-    """What users read of a graph search; evidence and snippet as text."""
+    """What users read of a graph search."""
     found = graph.results(*_graph(spark, base, stored=True), QUERY, 10)
-    return found.select("source_path", "title", "language_branch", "score", "rank", "snippet", F.size("evidence").alias("n_evidence"))
+    return found.select("source_path", "title", "language_branch", "score", "rank", "snippet")
 
 
 def graph_search_two_hops(spark: SparkSession, base: str) -> DataFrame:
@@ -159,7 +159,27 @@ def _expansion(seeds: str, hops: int, limit: int) -> str:
  ex AS (SELECT substr(dst, 7) AS source_path, round(sum(g), 6) AS score FROM ({both}) WHERE starts_with(dst, 'note::') AND dst NOT IN (SELECT id FROM sd) GROUP BY dst ORDER BY score DESC, source_path LIMIT {limit})"""
 
 
-_MATCH = "(CASE WHEN {t} = '{q}' THEN 6.0 ELSE 0 END) + (CASE WHEN contains({t}, '{q}') THEN 2 ELSE 0 END) + " + " + ".join(f"(CASE WHEN contains({{t}}, '{w}') THEN 1 ELSE 0 END) + (CASE WHEN contains({{h}}, '{w}') THEN 0.5 ELSE 0 END)" for w in QUERY.split())
+def _match(query: str) -> str:
+    return f"(CASE WHEN {{t}} = '{query}' THEN 6.0 ELSE 0 END) + (CASE WHEN contains({{t}}, '{query}') THEN 2 ELSE 0 END) + " + " + ".join(f"(CASE WHEN contains({{t}}, '{w}') THEN 1 ELSE 0 END) + (CASE WHEN contains({{h}}, '{w}') THEN 0.5 ELSE 0 END)" for w in query.split())
+
+
+def _search(query: str) -> str:
+    """What a query gives notes by themselves (st: id, b), and the best bonus between notes (nn: src, dst, v)."""
+    return f"""{_NOTES}{_EDGES}, nd AS (SELECT 'note::' || path AS id, 'note' AS k, lower(title || chr(10) || path || chr(10) || CASE WHEN tag1 = tag2 THEN tag1 ELSE tag1 || ' ' || tag2 END) AS s, lower(title) || chr(10) || lower(path) AS h FROM n
+  UNION ALL SELECT DISTINCT 'tag::' || tag, 'tag', tag, '' FROM tg UNION ALL SELECT DISTINCT 'doi::' || doi, 'doi', doi, '' FROM n
+  UNION ALL SELECT 'entity::' || nid, 'entity', lower(string_agg(alias, chr(10) ORDER BY alias)), '' FROM al GROUP BY nid),
+ ma AS (SELECT * FROM (SELECT id, k, {_match(query).format(t="s", h="h")} AS sc FROM nd) WHERE sc > 0),
+ st AS (SELECT id, sum(b) AS b FROM (SELECT id, sc + 3 AS b FROM ma WHERE k = 'note' UNION ALL SELECT e.dst, ma.sc + 1.5 FROM ma JOIN (SELECT DISTINCT src, dst FROM ed) e ON e.src = ma.id WHERE ma.k <> 'note') GROUP BY id),
+ nn AS (SELECT src, dst, max({_weights(graph.SEARCH_BONUS)}) AS v FROM ed WHERE t IN ('mirror_of', 'links_to', 'same_top_level_domain') AND src <> dst GROUP BY ALL)"""
+
+
+_ONE_HOP = """, tt AS (SELECT id, sum(b) AS s FROM (SELECT id, b FROM st UNION ALL SELECT nn.dst, st.b * nn.v FROM st JOIN nn ON nn.src = st.id) GROUP BY id)
+"""
+_TWO_HOPS = """, r1 AS (SELECT st.id AS start, st.b, nn.dst AS id, nn.v FROM st JOIN nn ON nn.src = st.id),
+ r2 AS (SELECT r1.start, r1.b, nn.dst AS id, max(nn.v) AS v FROM r1 JOIN nn ON nn.src = r1.id WHERE nn.dst <> r1.start GROUP BY ALL),
+ tt AS (SELECT id, sum(b) AS s FROM (SELECT id, b FROM st UNION ALL SELECT id, b * v FROM r1 UNION ALL SELECT r2.id, r2.b * r2.v / 2 FROM r2 ANTI JOIN r1 ON r1.start = r2.start AND r1.id = r2.id) GROUP BY id)
+"""
+_RANKED = "SELECT substr(id, 7) AS source_path, round(s, 3) AS score, row_number() OVER (ORDER BY round(s, 9) DESC, substr(id, 7)) AS rank FROM tt QUALIFY rank <= "
 
 SQL = {
     "graph_nodes_by_type": f"{_NOTES} SELECT 'note' AS node_type, count(*) AS count FROM n UNION ALL SELECT 'tag', count(DISTINCT tag) FROM tg UNION ALL SELECT 'doi', count(DISTINCT doi) FROM n UNION ALL SELECT 'entity', count(DISTINCT nid) FROM al",
@@ -169,14 +189,15 @@ SQL = {
     "link_resolution": f"{_NOTES} SELECT path, target FROM li",
     "entity_mentions": f"{_NOTES} SELECT path, numeric_id, alias FROM me",
     "entity_labels": f"{_NOTES} SELECT nid AS numeric_id, arg_max(title, CASE WHEN branch = 'EN' THEN '1' ELSE '0' END || path) AS label, string_agg(DISTINCT title, '|' ORDER BY title) AS aliases FROM n WHERE length(title) >= 3 GROUP BY nid",
-    "graph_search": f"""{_NOTES}{_EDGES}, nd AS (SELECT 'note::' || path AS id, 'note' AS k, lower(title || chr(10) || path || chr(10) || CASE WHEN tag1 = tag2 THEN tag1 ELSE tag1 || ' ' || tag2 END) AS s, lower(title) || chr(10) || lower(path) AS h FROM n
-  UNION ALL SELECT DISTINCT 'tag::' || tag, 'tag', tag, '' FROM tg UNION ALL SELECT DISTINCT 'doi::' || doi, 'doi', doi, '' FROM n
-  UNION ALL SELECT 'entity::' || nid, 'entity', lower(string_agg(alias, chr(10) ORDER BY alias)), '' FROM al GROUP BY nid),
- ma AS (SELECT * FROM (SELECT id, k, {_MATCH.format(t="s", h="h", q=QUERY)} AS sc FROM nd) WHERE sc > 0),
- st AS (SELECT id, sum(b) AS b FROM (SELECT id, sc + 3 AS b FROM ma WHERE k = 'note' UNION ALL SELECT e.dst, ma.sc + 1.5 FROM ma JOIN (SELECT DISTINCT src, dst FROM ed) e ON e.src = ma.id WHERE ma.k <> 'note') GROUP BY id),
- nn AS (SELECT src, dst, max({_weights(graph.SEARCH_BONUS)}) AS v FROM ed WHERE t IN ('mirror_of', 'links_to', 'same_top_level_domain') AND src <> dst GROUP BY ALL),
- tt AS (SELECT id, sum(b) AS s FROM (SELECT id, b FROM st UNION ALL SELECT nn.dst, st.b * nn.v FROM st JOIN nn ON nn.src = st.id) GROUP BY id)
-SELECT substr(id, 7) AS source_path, round(s, 3) AS score, row_number() OVER (ORDER BY round(s, 9) DESC, substr(id, 7)) AS rank FROM tt QUALIFY rank <= 20""",
+    "graph_search": f"{_search(QUERY)}{_ONE_HOP}{_RANKED}20",
+    "graph_search_two_hops": f"{_search('nedkofyr vault')}{_TWO_HOPS}{_RANKED}10",
+    "graph_results": f"""{_search(QUERY)}{_ONE_HOP}, rk AS ({_RANKED}10)
+SELECT source_path, title, branch AS language_branch, score, rank, title || ' | tags: ' || CASE WHEN tag1 = tag2 THEN tag1 ELSE least(tag1, tag2) || ', ' || greatest(tag1, tag2) END AS snippet FROM rk JOIN n ON n.path = rk.source_path""",
+    "note_resolution": f"""{_NOTES}, nd AS (SELECT path, title, lower(title || chr(10) || path || chr(10) || CASE WHEN tag1 = tag2 THEN tag1 ELSE tag1 || ' ' || tag2 END) AS s, lower(title) || chr(10) || lower(path) AS h FROM n),
+ q AS (SELECT upper(min(path)) AS query FROM n UNION ALL SELECT 'nedkofyr' UNION ALL SELECT '{QUERY}'),
+ ex AS (SELECT query, min(path) AS path FROM q JOIN n ON lower(path) = lower(query) OR lower(title) = lower(query) GROUP BY query),
+ fz AS (SELECT '{QUERY}' AS query, arg_min(path, (-sc, path)) AS path FROM (SELECT path, {_match(QUERY).format(t="s", h="h")} AS sc FROM nd) UNION ALL SELECT 'nedkofyr', arg_min(path, (-sc, path)) FROM (SELECT path, {_match("nedkofyr").format(t="s", h="h")} AS sc FROM nd))
+SELECT q.query, 'note::' || coalesce(ex.path, fz.path) AS id, CASE WHEN ex.path IS NULL THEN 1 ELSE 0 END AS n_warnings FROM q LEFT JOIN ex USING (query) LEFT JOIN fz USING (query)""",
     "seed_expansion": f"{_NOTES}{_EDGES}{_expansion("SELECT 'note::' || path AS id FROM n ORDER BY path LIMIT 2", 2, 20)} SELECT source_path, score FROM ex",
     "path_explanation": f"""{_NOTES}{_EDGES}, u AS (SELECT src, dst, min(c) AS c FROM (SELECT src, dst, {_weights(graph.PATH_COST)} AS c FROM ed UNION ALL SELECT dst, src, {_weights(graph.PATH_COST)} FROM ed) GROUP BY ALL),
  en AS (SELECT 'note::' || min(path) AS a, 'note::' || max(path) AS z FROM n),

@@ -144,5 +144,7 @@ WITH m AS (SELECT doc_id AS seq, 's' || doc_id AS session_id, list_distinct(rege
            FROM documents WHERE lower(trim(source)) = 'memory'),
  o AS (SELECT seq, session_id, len(list_filter(t, lambda x: x IN ('memory', 'leak', 'the', 'cache', 'server'))) AS overlap FROM m)
 SELECT session_id, overlap, row_number() OVER (ORDER BY overlap DESC, seq) AS rank FROM o WHERE overlap > 0 QUALIFY rank <= 10""",
+    "search_routed": rf"""{_RRF_SQL}, fl AS (SELECT vec_id, regexp_replace(regexp_replace(text, '[\s\x0b\x{{85}}\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g') AS f FROM ch)
+SELECT vec_id, round(s, 6) AS score, rank, CASE WHEN length(f) > 320 THEN regexp_replace(f[1:317], ' +$', '') || '...' ELSE f END AS snippet FROM top JOIN fl USING (vec_id) WHERE rank <= 5""",
     "search_degraded": f"WITH {_CHUNKS_SQL}, {_bm25_sql('ch', 'vec_id', 'text', 5)} SELECT vec_id, round(score, 6) AS score, rank FROM fts",
 }
