@@ -120,12 +120,23 @@ def _per_batch(count: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Calla
     return run
 
 
-def _lower_words(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    lower: Counter = Counter()
+def _small_words(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Words behind the first of a sentence: w, in how many sentences small (n) and in how many with a capital (big)."""
+    small, big = Counter(), Counter()
     for text in batch["text"]:
         for s in sentences(text.partition("\n")[2]):
-            lower.update({w.lower() for w in _WORD.findall(s)[1:] if w[0].islower()})
-    yield pd.DataFrame(list(lower.items()), columns=["w", "n"])
+            words = _WORD.findall(s)[1:]
+            small.update({w.lower() for w in words if w[0].islower()})
+            if s.upper() != s:
+                big.update({w.lower() for w in words if w[0].isupper()})
+    yield pd.DataFrame([(w, small[w], big[w]) for w in small.keys() | big.keys()], columns=["w", "n", "big"])
+
+
+def vocabulary(texts: DataFrame, least: int = 3, share: float = 0.2) -> list[str]:
+    """The words that are terms and no names, sorted: written small in `least` sentences and in `share` of those they stand in.
+    The number alone would do away with names as tables grow, since slips write any name small now and then."""
+    counts = texts.mapInPandas(_per_batch(_small_words), "w string, n bigint, big bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("big").alias("big"))
+    return sorted(r.w for r in counts.filter((F.col("n") >= least) & (F.col("n") >= share * (F.col("n") + F.col("big")))).select("w").collect())
 
 
 def parsed(row: int, text: str, number: dict[str, int]) -> Iterator[tuple]:
@@ -372,8 +383,7 @@ def align(notes: DataFrame, block_rows: int = 1500, least: float = LEAST, keep:
     """Pairs of sentences that say the same: row_a, sent_a, row_b, sent_b (row_a < row_b), score."""
     sc = notes.sparkSession.sparkContext
     keyed = cut(keyed_rows(notes))
-    lower = keyed.select("text").mapInPandas(_per_batch(_lower_words), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter("n >= 3")
-    names = sorted(r.w for r in lower.select("w").collect())
+    names = vocabulary(keyed.select("text"))
     number = sc.broadcast({w: k for k, w in enumerate(names, 1)})
     sizes = keyed.groupBy("key").agg(F.sum("n").alias("n"))
     heavy = cut(sizes.filter(F.col("n") > block_rows).select("key"))
