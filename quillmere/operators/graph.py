@@ -1,12 +1,13 @@
 """A typed property graph over notes: building, scored search, expansion from seeds, weighted paths.
 
 Nodes and edges are two tables. Notes of one top-level domain are all linked to each other; these links are never
-written out pair by pair but kept as membership in the domain, from which searches take sums and pairs are counted.
+written out pair by pair but kept as membership in the domain, from which searches take sums and pairs are counted. So are
+mentions in `parts`, the graph that searches work on.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,20 +40,37 @@ def entities(notes: DataFrame) -> DataFrame:
     return rows.filter(F.size("aliases") > 0).groupBy("numeric_id").agg(label.alias("label"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
 
 
-def mentions(notes: DataFrame, known: DataFrame) -> DataFrame:
-    """Notes that mention another note's entity: path, numeric_id, alias (the first that matches, whole words, outside front
-    matter and fences). Aliases meet the notes' words by their first word, as paths and words only; those that are more than
-    one word are then looked up in the texts of the notes they met. Aliases without a word are mentioned nowhere."""
-    alias = known.select("numeric_id", F.explode("aliases").alias("alias")).select("numeric_id", "alias", X.words(F.col("alias")).alias("a")).withColumn("first", F.try_element_at("a", F.lit(1))).filter("first IS NOT NULL")
+def _aliases(known: DataFrame) -> DataFrame:
+    return known.select("numeric_id", F.explode("aliases").alias("alias"))
+
+
+def said(texts: DataFrame, aliases: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+    """Which of some aliases (alias, distinct) notes (path, text) say: path, alias; whole words, outside front matter and fences.
+    Aliases meet the notes' words by their first two words; those that are not one plain word are then looked up in the texts
+    of the notes they met. Aliases without a word are said nowhere."""
+    own = aliases.select("alias", X.words(F.col("alias")).alias("a")).filter(F.size("a") > 0)
+    keyed = own.select("alias", F.array_join(F.slice("a", 1, 2), " ").alias("key"), (F.lower("alias") == F.element_at("a", 1)).alias("plain"))
     body = F.regexp_replace(X.without_frontmatter(F.col("text")), r"(?s)```.*?```", "")
-    texts = notes.filter("text IS NOT NULL").select("path", X.numeric_id(F.col("path")).alias("own"), body.alias("body"))
-    words = texts.select("path", "own", F.explode(F.array_distinct(X.words(F.col("body")))).alias("first"))
-    met = words.join(alias, "first").filter("own != numeric_id").withColumn("plain", F.lower("alias") == F.col("first"))
+    bodies = texts.filter("text IS NOT NULL").select("path", body.alias("body"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda x, y: F.concat(x, F.lit(" "), y))
+    keys = bodies.select("path", X.words(F.col("body")).alias("w")).select("path", F.explode(F.concat(F.array_distinct("w"), pairs)).alias("key"))
+    met = cut(keys.join(_sent(cut(keyed), most_broadcast), "key").select("path", "alias", "plain").distinct())
+    plain, open_ = met.filter("plain").select("path", "alias"), met.filter("NOT plain").select("path", "alias")
     # no letter, digit or underscore may stand beside the alias, whose signs are quoted
     pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace("alias", r"(?U)([^\w\s])", r"\\$1"), F.lit(r"(?!\w)"))
-    looked_up = met.filter("NOT plain").select("path", "numeric_id", "alias").join(texts.select("path", "body"), "path").filter(F.rlike("body", pattern))
-    both = met.filter("plain").select("path", "numeric_id", "alias").unionByName(looked_up.select("path", "numeric_id", "alias"))
-    return both.groupBy("path", "numeric_id").agg(F.min("alias").alias("alias"))
+    return plain.unionByName(bodies.join(_sent(open_, most_broadcast), "path").filter(F.rlike("body", pattern)).select("path", "alias").distinct())
+
+
+def _sent(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows that are there already, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def mentions(notes: DataFrame, known: DataFrame) -> DataFrame:
+    """Notes that mention another note's entity: path, numeric_id, alias (the first that matches)."""
+    called = _aliases(known)
+    met = said(notes, called.select("alias").distinct()).join(called, "alias").filter(X.numeric_id(F.col("path")) != F.col("numeric_id"))
+    return met.groupBy("path", "numeric_id").agg(F.min("alias").alias("alias"))
 
 
 def mirrors(notes: DataFrame) -> DataFrame:
@@ -70,43 +88,164 @@ def resolved_links(notes: DataFrame) -> DataFrame:
     return exact.unionByName(longer).distinct()
 
 
+class Rows:
+    """Edges as a table (src, dst, edge_type), as steps ask for them."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def of(self, kind: str) -> DataFrame:
+        return self.rows.filter(F.col("edge_type") == kind).select("src", "dst")
+
+    def between_notes(self) -> DataFrame:
+        return self.rows.filter(F.col("src").startswith("note::") & F.col("dst").startswith("note::") & (F.col("src") != F.col("dst")))
+
+    def near(self, front: DataFrame, to_notes: bool = False) -> DataFrame:
+        """The edges from the rows of a frontier (column `at`): its columns, dst, edge_type; `to_notes` only those to notes."""
+        out = front.join(self.rows.withColumnRenamed("src", "at"), "at").select(*front.columns, "dst", "edge_type")
+        return out.filter(F.col("dst").startswith("note::")) if to_notes else out
+
+    def sums(self, values: DataFrame) -> DataFrame:
+        """What nodes (id, value) that are no notes give the notes around them together: id, base; a node and note count once."""
+        pairs = self.rows.select(F.col("src").alias("id"), "dst").distinct()
+        return values.join(pairs, "id").filter(F.col("dst").startswith("note::")).groupBy(F.col("dst").alias("id")).agg(F.sum("value").alias("base"))
+
+    def counts(self) -> DataFrame:
+        return self.rows.groupBy("edge_type").count()
+
+
+class Families(Rows):
+    """Edges by type, each read only by the steps that need it. Mentions are never written out pair by pair, as they grow with
+    the square of the notes: they are kept as what notes say (src, alias) and what entities are called (alias, dst)."""
+
+    def __init__(self, both: dict[str, DataFrame], one_way: dict[str, DataFrame], texts: DataFrame, called: DataFrame):
+        self.both, self.one_way, self.texts, self.called = both, one_way, texts, called
+
+    @cached_property
+    def said(self) -> DataFrame:
+        return cut(said(self.texts, self.called.select("alias").distinct()).select(F.concat(F.lit("note::"), "path").alias("src"), "alias"))
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        mentioned = self.said.join(self.called, "alias").filter(_other("src", "dst")).select("src", "dst").distinct()
+        both = self.both | {"mentions_entity": mentioned}
+        every = [d.select("src", "dst", F.lit(t).alias("edge_type")) for t, d in (both | self.one_way).items()]
+        return reduce(DataFrame.unionByName, every + [d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(t).alias("edge_type")) for t, d in both.items()])
+
+    def of(self, kind: str) -> DataFrame:
+        """The edges of a type, from notes only where it has both directions."""
+        return (self.both | self.one_way)[kind].select("src", "dst") if kind in self.both or kind in self.one_way else super().of(kind)
+
+    def between_notes(self) -> DataFrame:
+        pairs, linked = self.both["mirror_of"], self.one_way["links_to"]
+        turned = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return pairs.unionByName(turned).withColumn("edge_type", F.lit("mirror_of")).unionByName(linked.withColumn("edge_type", F.lit("links_to"))).filter("src != dst")
+
+    def near(self, front: DataFrame, to_notes: bool = False) -> DataFrame:
+        front = cut(front)
+        sent, own = _sent(front), front.columns
+        kept = [*own, "dst", "edge_type"]
+        out = [self.between_notes_from(sent).select(kept)]
+        for kind, d in self.both.items():
+            if kind != "mirror_of":
+                turned = sent.join(d.select(F.col("dst").alias("at"), F.col("src").alias("dst")), "at")
+                out += [x.withColumn("edge_type", F.lit(kind)).select(kept) for x in ([turned] if to_notes else [turned, sent.join(d.withColumnRenamed("src", "at"), "at")])]
+        if not to_notes and "has_section" in self.one_way:
+            out.append(sent.join(self.one_way["has_section"].withColumnRenamed("src", "at"), "at").withColumn("edge_type", F.lit("has_section")).select(kept))
+        known = front.filter(F.col("at").startswith("entity::"))
+        if known.limit(1).count():
+            named = cut(known.join(self.called.withColumnRenamed("dst", "at"), "at"))
+            met = self.said.withColumnRenamed("src", "dst").join(_sent(named), "alias").filter(_other("dst", "at"))
+            out.append(met.select(*own, "dst").distinct().withColumn("edge_type", F.lit("mentions_entity")).select(kept))
+        if not to_notes:
+            heard = cut(self.said.withColumnRenamed("src", "at").join(sent, "at"))
+            out.append(self.called.join(_sent(heard), "alias").filter(_other("at", "dst")).select(*own, "dst").distinct().withColumn("edge_type", F.lit("mentions_entity")).select(kept))
+        return reduce(DataFrame.unionByName, out)
+
+    def between_notes_from(self, front: DataFrame) -> DataFrame:
+        pairs, linked = self.both["mirror_of"], self.one_way["links_to"]
+        ways = [(pairs.withColumnRenamed("src", "at"), "mirror_of"), (pairs.select(F.col("dst").alias("at"), F.col("src").alias("dst")), "mirror_of"), (linked.withColumnRenamed("src", "at"), "links_to")]
+        return reduce(DataFrame.unionByName, [front.join(d, "at").withColumn("edge_type", F.lit(t)) for d, t in ways])
+
+    def sums(self, values: DataFrame) -> DataFrame:
+        around = [values.join(d.select("src", F.col("dst").alias("id")).distinct(), "id").select("src", "value") for kind, d in self.both.items() if kind != "mirror_of"]
+        every = reduce(DataFrame.unionByName, [*around, self.mentioned(values)])
+        return every.groupBy(F.col("src").alias("id")).agg(F.sum("value").alias("base")).filter("base > 0")
+
+    def mentioned(self, values: DataFrame) -> DataFrame:
+        """What entities (id, value) give the notes that mention them, in parts to be summed: src, value. Each alias that a note
+        says gives the sum of its entities; those that two of their aliases gave twice, and the note's own, are taken off again."""
+        named = cut(self.called.join(values.select(F.col("id").alias("dst"), "value"), "dst"))
+        if not named.limit(1).count():
+            return named.select(F.col("dst").alias("src"), "value")
+        totals = named.groupBy("alias").agg(F.sum("value").alias("value"))
+        given = self.said.join(totals, "alias").select("src", "value")
+        own = self.both["defines_entity"].distinct().join(named, "dst").join(self.said, ["src", "alias"]).select("src", (-F.col("value")).alias("value"))
+        other = named.select("dst", F.col("alias").alias("other"))
+        twice = named.join(other, "dst").filter("alias < other")
+        heard = self.said.join(twice.select("alias").union(twice.select("other")).distinct(), "alias", "left_semi")
+        heard = heard.join(heard.select("src", F.col("alias").alias("other")), "src").filter("alias < other")
+        again = heard.join(twice, ["alias", "other"]).filter(_other("src", "dst")).select("src", "alias", "dst", "value").distinct().select("src", (-F.col("value")).alias("value"))
+        return given.unionByName(own).unionByName(again)
+
+    def counts(self) -> DataFrame:
+        both = [d.select(F.lit(t).alias("edge_type"), F.lit(2).cast("bigint").alias("n")) for t, d in self.both.items()]
+        one = [d.select(F.lit(t).alias("edge_type"), F.lit(1).cast("bigint").alias("n")) for t, d in self.one_way.items()]
+        entities = self.called.select(F.col("dst").alias("id"), F.lit(2).cast("bigint").alias("value")).distinct()
+        said_of = self.mentioned(entities).select(F.lit("mentions_entity").alias("edge_type"), F.col("value").alias("n"))
+        return reduce(DataFrame.unionByName, [*both, *one, said_of]).groupBy("edge_type").agg(F.sum("n").alias("count")).filter("count > 0")
+
+
+def _other(note: str, entity: str) -> Column:
+    """Whether an entity is not the note's own."""
+    return F.concat(F.lit("entity::"), X.numeric_id(F.regexp_replace(note, "^note::", ""))) != F.col(entity)
+
+
+def _steps_of(edges: DataFrame | Rows) -> Rows:
+    return edges if isinstance(edges, Rows) else Rows(edges)
+
+
 def build(notes: DataFrame, sections: DataFrame | None = None, special: tuple[tuple[str, str], ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes (id, node_type, ...), edges (src, dst, edge_type) and domains (id, domain) of notes with path, title, branch,
+    """A graph whose edges (src, dst, edge_type) are a table, with a row for each mention: to be kept. See `parts`."""
+    nodes, edges, domains = parts(notes, sections, special)
+    return nodes, edges.rows, domains
+
+
+def parts(notes: DataFrame, sections: DataFrame | None = None, special: tuple[tuple[str, str], ...] = (), texts: DataFrame | None = None) -> tuple[DataFrame, Families, DataFrame]:
+    """nodes (id, node_type, ...), edges by type and domains (id, domain) of notes with path, title, branch,
     tags, links, dois and text; sections: path, seq, section, section_path. `special` are paths of pages that mirror one another
-    without a number. Edges of both directions have a row each."""
+    without a number; `texts` are the notes' path and text, if `notes` lack it. Edges of both directions are kept once."""
     nodes = note_nodes(notes)
     note = lambda c: F.concat(F.lit("note::"), c)
     known = entities(notes)
     tags = notes.select(note("path").alias("src"), F.explode("tags").alias("x")).select("src", F.concat(F.lit("tag::"), "x").alias("dst"))
     dois = notes.select(note("path").alias("src"), F.explode("dois").alias("x")).select("src", F.concat(F.lit("doi::"), F.lower("x")).alias("dst"))
     own = notes.select(note("path").alias("src"), X.numeric_id(F.col("path")).alias("numeric_id")).join(known.select("numeric_id"), "numeric_id").select("src", F.concat(F.lit("entity::"), "numeric_id").alias("dst"))
-    said = mentions(notes, known).select(note("path").alias("src"), F.concat(F.lit("entity::"), "numeric_id").alias("dst"))
+    called = _aliases(known).select("alias", F.concat(F.lit("entity::"), "numeric_id").alias("dst"))
     pairs = mirrors(notes).select(note("a").alias("src"), note("b").alias("dst"))
     if special:
         there = notes.select("path").distinct()
         named = notes.sparkSession.createDataFrame(list(special), "a string, b string")
         pairs = pairs.unionByName(named.join(there.withColumnRenamed("path", "a"), "a").join(there.withColumnRenamed("path", "b"), "b").select(note("a").alias("src"), note("b").alias("dst")))
     linked = resolved_links(notes).select(note("path").alias("src"), note("target").alias("dst"))
-    both = [(tags, "has_tag"), (dois, "cites_doi"), (own, "defines_entity"), (said, "mentions_entity"), (pairs, "mirror_of")]
-    families = [d.select("src", "dst", F.lit(t).alias("edge_type")) for d, t in both] + [d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(t).alias("edge_type")) for d, t in both]
-    families.append(linked.select("src", "dst", F.lit("links_to").alias("edge_type")))
+    both = {"has_tag": tags, "cites_doi": dois, "defines_entity": own, "mirror_of": pairs}
+    one_way = {"links_to": linked}
     extra = [tags.select(F.col("dst").alias("id"), F.lit("tag").alias("node_type")), dois.select(F.col("dst").alias("id"), F.lit("doi").alias("node_type")), known.select(F.concat(F.lit("entity::"), "numeric_id").alias("id"), F.lit("entity").alias("node_type"), F.lower(F.array_join("aliases", "\n")).alias("search_text"))]
     if sections is not None:
         at = sections.join(notes.select("path", "title"), "path").select(note("path").alias("src"), F.concat(F.lit("section::"), "path", F.lit("::"), "section_path").alias("dst"), "path", "title", "section", "section_path", "seq")
-        families.append(at.select("src", "dst", F.lit("has_section").alias("edge_type")))
+        one_way["has_section"] = at.select("src", "dst")
         extra.append(at.groupBy(F.col("dst").alias("id")).agg(F.lit("section").alias("node_type"), F.min("path").alias("source_path"), F.min("title").alias("title"), F.min_by("section", "seq").alias("section"), F.min("seq").alias("seq"), F.lower(F.concat_ws(" ", F.min("path"), F.min("title"), F.min_by("section", "seq"), F.min("section_path"))).alias("search_text")))
     for e in extra:
         named = e if "search_text" in e.columns else e.withColumn("search_text", F.lower(F.regexp_replace("id", "^[a-z]+::", "")))
         nodes = nodes.unionByName(named.distinct(), allowMissingColumns=True)
-    edges = reduce(DataFrame.unionByName, families)
     domains = nodes.filter("node_type = 'note' AND top_level_domain IS NOT NULL").select("id", F.col("top_level_domain").alias("domain"))
-    return nodes, edges, domains
+    return nodes, Families(both, one_way, notes if texts is None else texts, called), domains
 
 
-def edge_counts(edges: DataFrame, domains: DataFrame) -> DataFrame:
+def edge_counts(edges: DataFrame | Rows, domains: DataFrame) -> DataFrame:
     """Edges by type; those within a domain are counted from its size."""
     pairs = domains.groupBy("domain").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).cast("bigint").alias("count")).select(F.lit("same_top_level_domain").alias("edge_type"), "count")
-    return edges.groupBy("edge_type").count().unionByName(pairs.filter("count > 0"))
+    return _steps_of(edges).counts().unionByName(pairs.filter("count > 0"))
 
 
 def match(nodes: DataFrame, query: str) -> DataFrame:
@@ -120,25 +259,37 @@ def match(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.select("id", "node_type", score.alias("score")).filter("score > 0")
 
 
-def starts(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
-    """What a query gives notes by themselves: id, base, evidence; a row for each node that matches."""
-    hits = match(nodes, query)
-    own = nodes.filter("node_type = 'note'").select("id", F.concat(F.lit("matched note `"), "source_path", F.lit("`")).alias("evidence"))
-    base = hits.filter("node_type = 'note'").join(own, "id").select("id", (F.col("score") + 3).alias("base"), "evidence")
-    label = F.regexp_replace("id", "^section::.*?::|^[a-z]+::", "")
-    parts = hits.filter("node_type = 'section'").join(edges.filter("edge_type = 'has_section'").select("src", F.col("dst").alias("id")).distinct(), "id").select(F.col("src").alias("id"), (F.col("score") + 2).alias("base"), F.concat(F.lit("matched section `"), label, F.lit("`")).alias("evidence"))
-    marks = hits.filter("node_type NOT IN ('note', 'section')").join(edges.select(F.col("src").alias("id"), "dst").distinct(), "id").filter(F.col("dst").startswith("note::")).select(F.col("dst").alias("id"), (F.col("score") + 1.5).alias("base"), F.concat(F.lit("matched `"), label, F.lit("`")).alias("evidence"))
-    return base.unionByName(parts).unionByName(marks)
+def starts(nodes: DataFrame, edges: DataFrame | Rows, hits: DataFrame, ids: DataFrame) -> DataFrame:
+    """What a query's hits (`match`) give some notes (column `at`) by themselves: id, evidence; a row for each node that matches."""
+    own = hits.filter("node_type = 'note'").join(ids.select(F.col("at").alias("id")), "id").select("id", F.concat(F.lit("matched note `"), F.regexp_replace("id", "^note::", ""), F.lit("`")).alias("evidence"))
+    label = F.regexp_replace("dst", "^section::.*?::|^[a-z]+::", "")
+    kind = F.when(F.col("node_type") == "section", "matched section `").otherwise("matched `")
+    around = _steps_of(edges).near(ids).join(hits.filter("node_type != 'note'").select(F.col("id").alias("dst"), "node_type"), "dst")
+    return own.unionByName(around.select(F.col("at").alias("id"), F.concat(kind, label, F.lit("`")).alias("evidence")).distinct())
 
 
-def search(nodes: DataFrame, edges: DataFrame, domains: DataFrame, query: str, k: int = 5, hops: int = 1) -> DataFrame:
+def bases(edges: DataFrame | Rows, hits: DataFrame) -> DataFrame:
+    """What a query's hits (`match`) give notes by themselves: id, base; a note's own match and those of the nodes around it."""
+    edges = _steps_of(edges)
+    base = hits.filter("node_type = 'note'").select("id", (F.col("score") + 3).alias("base"))
+    inside = hits.filter("node_type = 'section'")
+    parts = inside.join(edges.of("has_section").select("src", F.col("dst").alias("id")).distinct(), "id").select(F.col("src").alias("id"), (F.col("score") + 2).alias("base")) if inside.limit(1).count() else base.limit(0)
+    marks = edges.sums(hits.filter("node_type NOT IN ('note', 'section')").select("id", (F.col("score") + 1.5).alias("value")))
+    return base.unionByName(parts).unionByName(marks).groupBy("id").agg(F.sum("base").alias("base"))
+
+
+def search(nodes: DataFrame, edges: DataFrame | Rows, domains: DataFrame, query: str, k: int = 5, hops: int = 1) -> DataFrame:
     """Notes ranked by their own match and that of their sections, tags, DOIs, entities and of neighbours up to `hops` edges
     between notes away: source_path, score, rank. A neighbour gives its base, times the best bonus among the edges of the last
     step, divided by the number of steps; each note is reached once from each start, by the best of its shortest ways."""
     if k <= 0 or hops < 0:
         raise ValueError("k must be positive and hops not negative")
-    start = starts(nodes, edges, query).groupBy("id").agg(F.sum("base").alias("base"))
-    direct = edges.filter(F.col("src").startswith("note::") & F.col("dst").startswith("note::") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.max(weight(SEARCH_BONUS, 0.3)).alias("bonus"))
+    return _ranked(nodes, edges, domains, cut(bases(edges, cut(match(nodes, query)))), k, hops)
+
+
+def _ranked(nodes: DataFrame, edges: DataFrame | Rows, domains: DataFrame, start: DataFrame, k: int, hops: int) -> DataFrame:
+    """What `search` gives, from the bases of the notes that match (id, base)."""
+    direct = _steps_of(edges).between_notes().groupBy("src", "dst").agg(F.max(weight(SEARCH_BONUS, 0.3)).alias("bonus"))
     gains = [start.select("id", "base")]
     if hops:
         passed = start.select(F.col("id").alias("src"), "base").join(direct, "src")
@@ -152,36 +303,56 @@ def search(nodes: DataFrame, edges: DataFrame, domains: DataFrame, query: str, k
         rest = domains.join(sums, "domain").join(start.select("id", F.col("base").alias("own")), "id", "left").join(within, "id", "left")
         gains.append(rest.select("id", ((F.col("all") - F.coalesce("own", F.lit(0.0)) - F.coalesce("linked", F.lit(0.0))) * SEARCH_BONUS["same_top_level_domain"]).alias("base")).filter("base > 1e-9"))
     if hops > 1:
-        notes_only = direct.select("src", "dst", F.col("bonus").alias("value"))
-        seen = start.select(F.col("id").alias("start"), F.col("id").alias("at"))
-        front = start.select(F.col("id").alias("start"), F.col("id").alias("at"), "base")
-        for n in range(1, hops + 1):
-            inside = front.join(domains.select(F.col("id").alias("at"), "domain"), "at").join(domains.select(F.col("id").alias("dst"), "domain"), "domain").filter("at != dst").select("start", "base", "dst", F.lit(SEARCH_BONUS["same_top_level_domain"]).alias("value"))
-            step = front.join(notes_only.withColumnRenamed("src", "at"), "at").select("start", "base", "dst", "value").unionByName(inside).groupBy("start", "base", "dst").agg(F.max("value").alias("value"))
-            front = cut(step.withColumnRenamed("dst", "at").join(seen, ["start", "at"], "left_anti"))
-            if n > 1:
-                gains.append(front.select(F.col("at").alias("id"), (F.col("base") * F.col("value") / n).alias("base")))
-            seen = seen.unionByName(front.select("start", "at"))
-            front = front.select("start", "at", "base")
+        gains += _far(start, direct, domains, hops)
     total = reduce(DataFrame.unionByName, gains).groupBy("id").agg(F.sum("base").alias("score"))
     order = [F.desc(F.round("score", 9)), F.asc("source_path")]
     out = total.join(nodes.filter("node_type = 'note'").select("id", "source_path"), "id").orderBy(*order).limit(k)
     return out.select("source_path", F.round("score", 3).alias("score"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
-def results(nodes: DataFrame, edges: DataFrame, domains: DataFrame, query: str, k: int = 5) -> DataFrame:
+def _far(start: DataFrame, direct: DataFrame, domains: DataFrame, hops: int) -> list[DataFrame]:
+    """What starts (id, base) give notes of two steps away and more: id, base. A start enters each domain once: from then on it
+    has seen all its notes. Notes go by numbers, as each start has hundreds of rows."""
+    every = start.select("id").union(direct.select("src")).union(direct.select("dst")).union(domains.select("id")).distinct()
+    number = cut(every.select("id", F.monotonically_increasing_id().alias("no")))
+    as_number = lambda df, c, name: df.withColumnRenamed(c, "key").join(number.select(F.col("id").alias("key"), F.col("no").alias(name)), "key").drop("key")
+    ways = cut(as_number(as_number(direct, "src", "at"), "dst", "dst").select("at", "dst", F.col("bonus").alias("value")))
+    members = cut(as_number(domains, "id", "at").select("at", "domain"))
+    begun = cut(as_number(start.select("id", "base"), "id", "start"))
+    front = begun.select("start", F.col("start").alias("at"), "base")
+    seen, entered, gains = front.select("start", "at"), None, []
+    for n in range(1, hops + 1):
+        opened = front.join(members, "at").select("start", "base", "domain").distinct()
+        if entered is not None:
+            opened = opened.join(entered, ["start", "domain"], "left_anti")
+        opened = cut(opened)
+        entered = opened.select("start", "domain") if entered is None else entered.unionByName(opened.select("start", "domain"))
+        inside = opened.join(members.withColumnRenamed("at", "dst"), "domain").select("start", "base", "dst", F.lit(SEARCH_BONUS["same_top_level_domain"]).alias("value"))
+        step = front.join(ways, "at").select("start", "base", "dst", "value").unionByName(inside).groupBy("start", "base", "dst").agg(F.max("value").alias("value"))
+        front = step.withColumnRenamed("dst", "at").join(seen, ["start", "at"], "left_anti")
+        if n > 1:
+            gains.append(front.select("at", (F.col("base") * F.col("value") / n).alias("base")).groupBy("at").agg(F.sum("base").alias("base")))
+        if n < hops:
+            front = cut(front)
+            seen = seen.unionByName(front.select("start", "at"))
+        front = front.select("start", "at", "base")
+    return [g.join(number.withColumnRenamed("no", "at"), "at").select("id", "base") for g in gains]
+
+
+def results(nodes: DataFrame, edges: DataFrame | Rows, domains: DataFrame, query: str, k: int = 5) -> DataFrame:
     """A search's notes as users read them: source_path, title, language_branch, score, rank, snippet (title, up to four tags,
     three sections), evidence (the first five kinds: its own matches, then the edges over which matching neighbours give)."""
-    top = search(nodes, edges, domains, query, k).withColumn("id", F.concat(F.lit("note::"), "source_path"))  # k rows
+    edges, hits = _steps_of(edges), cut(match(nodes, query))
+    start = cut(bases(edges, hits))
+    top = cut(_ranked(nodes, edges, domains, start, k, 1).withColumn("id", F.concat(F.lit("note::"), "source_path")))  # k rows
     notes = nodes.filter("node_type = 'note'")
-    shown = top.join(notes.select("id", "title", "language_branch"), "id")
-    found = starts(nodes, edges, query)
     ids = F.broadcast(top.select("id"))
-    own = found.join(ids, "id").select("id", F.lit(0).alias("step"), "evidence")
-    near = edges.filter("edge_type IN ('mirror_of', 'links_to')").join(ids.withColumnRenamed("id", "dst"), "dst").join(found.select(F.col("id").alias("src")).distinct(), "src").filter("src != dst").groupBy("src", "dst").agg(F.array_join(F.sort_array(F.collect_set("edge_type")), ", ").alias("t"))
+    shown = notes.select("id", "title", "language_branch").join(F.broadcast(top), "id")
+    own = starts(nodes, edges, hits, top.select(F.col("id").alias("at"))).select("id", F.lit(0).alias("step"), "evidence")
+    near = edges.between_notes().filter("edge_type IN ('mirror_of', 'links_to')").join(ids.withColumnRenamed("id", "dst"), "dst").join(start.select(F.col("id").alias("src")), "src").groupBy("src", "dst").agg(F.array_join(F.sort_array(F.collect_set("edge_type")), ", ").alias("t"))
     passed = near.select(F.col("dst").alias("id"), F.lit(1).alias("step"), F.concat(F.lit("expanded via "), "t", F.lit(" from `"), F.regexp_replace("src", "^note::", ""), F.lit("`")).alias("evidence"))
     first = own.unionByName(passed).distinct().withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("step", "evidence"))).filter("n <= 5").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
-    of = lambda kind, name, most, order: edges.filter(F.col("edge_type") == kind).join(ids.withColumnRenamed("id", "src"), "src").join(nodes.select(F.col("id").alias("dst"), *order), "dst").select("src", *order, "dst").distinct().withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(*order, "dst"))).filter(F.col("n") <= most).groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.regexp_replace("dst", "^tag::", "").alias("x") if kind == "has_tag" else F.col("section").alias("x")))), lambda v: v["x"]).alias(name))
+    of = lambda kind, name, most, order: edges.of(kind).join(ids.withColumnRenamed("id", "src"), "src").join(nodes.select(F.col("id").alias("dst"), *order), "dst").select("src", *order, "dst").distinct().withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(*order, "dst"))).filter(F.col("n") <= most).groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.regexp_replace("dst", "^tag::", "").alias("x") if kind == "has_tag" else F.col("section").alias("x")))), lambda v: v["x"]).alias(name))
     tagged = of("has_tag", "tags", 4, ["search_text"])
     out = shown.join(first, "id", "left").join(tagged, "id", "left")
     said = F.when(F.size("tags") > 0, F.concat(F.lit("tags: "), F.array_join("tags", ", ")))
@@ -243,29 +414,33 @@ def related(nodes: DataFrame, edges: DataFrame, domains: DataFrame, source: str,
     return kept.join(named.withColumnRenamed("target", "source_path"), "source_path", "left").select("source_path", "score", F.row_number().over(Window.orderBy("rank")).alias("rank"), "path", "n_edges")
 
 
-def _steps(frontier: DataFrame, edges: DataFrame, domains: DataFrame, values: dict[str, float], best: str) -> DataFrame:
-    """One step from the rows of a frontier (column `at`): its columns, dst, and the best value of the edges there.
-    Domains are entered from the frontier only."""
+def _steps(frontier: DataFrame, edges: DataFrame | Rows, domains: DataFrame, values: dict[str, float], best: str, to_notes: bool = False) -> DataFrame:
+    """One step from the rows of a frontier (column `at`): its columns, dst, and the best value of the edges there;
+    `to_notes` only those to notes. Domains are entered from the frontier only."""
     value = weight(values, 0.3 if best == "max" else 3.0)
-    near = frontier.join(edges.select(F.col("src").alias("at"), "dst", value.alias("value")), "at")
+    near = _steps_of(edges).near(frontier, to_notes).select(*frontier.columns, "dst", value.alias("value"))
     inside = frontier.join(domains.select(F.col("id").alias("at"), "domain"), "at").join(domains.select(F.col("id").alias("dst"), "domain"), "domain").drop("domain").filter("at != dst").withColumn("value", F.lit(values["same_top_level_domain"]))
     rows = near.unionByName(inside.select(*near.columns))
     return rows.groupBy(*frontier.columns, "dst").agg((F.max if best == "max" else F.min)("value").alias("value"))
 
 
-def expand(edges: DataFrame, domains: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 20) -> DataFrame:
+def expand(edges: DataFrame | Rows, domains: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 20) -> DataFrame:
     """Notes around seed notes (column `id`): source_path, score. From each seed a weight of 1 spreads over all edges,
     times their bonus, less 0.7 for each hop; a node is reached once at each depth, by the greatest weight."""
+    seeds = cut(seeds.select("id"))
     frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at"), F.lit(1.0).alias("carried"))
     gains = None
-    for _ in range(hops):
-        step = _steps(frontier, edges, domains, EXPANSION_BONUS, "max").withColumn("gain", F.col("carried") * F.col("value"))
+    for n in range(1, hops + 1):
+        # behind the last step only notes count
+        step = _steps(frontier, edges, domains, EXPANSION_BONUS, "max", n == hops).withColumn("gain", F.col("carried") * F.col("value"))
         reached = step.filter("dst != seed").groupBy("seed", "dst").agg(F.max("gain").alias("gain"))
+        if n < hops:
+            reached = cut(reached)
         part = reached.filter(F.col("dst").startswith("note::")).select("dst", "gain")
         gains = part if gains is None else gains.unionByName(part)
         frontier = reached.select("seed", F.col("dst").alias("at"), (F.col("gain") * 0.7).alias("carried"))
     out = gains.groupBy("dst").agg(F.sum("gain").alias("score"))
-    return out.join(seeds.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.regexp_replace("dst", "^note::", "").alias("source_path"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "source_path").limit(limit)
+    return out.join(_sent(seeds.select(F.col("id").alias("dst"))), "dst", "left_anti").select(F.regexp_replace("dst", "^note::", "").alias("source_path"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "source_path").limit(limit)
 
 
 def explain(edges: DataFrame, domains: DataFrame, source: str, target: str, hops: int = 3, limit: int = 1) -> DataFrame:
