@@ -333,7 +333,8 @@ def _far(start: DataFrame, direct: DataFrame, domains: DataFrame, hops: int) ->
         if n > 1:
             gains.append(front.select("at", (F.col("base") * F.col("value") / n).alias("base")).groupBy("at").agg(F.sum("base").alias("base")))
         if n < hops:
-            front = cut(front)
+            # the first step's notes gain elsewhere: only where they are is kept, at some hundred rows a start
+            front = cut(front) if n > 1 else cut(front.select("start", "at")).join(begun.select("start", "base"), "start")
             seen = seen.unionByName(front.select("start", "at"))
         front = front.select("start", "at", "base")
     return [g.join(number.withColumnRenamed("no", "at"), "at").select("id", "base") for g in gains]
